@@ -32,12 +32,14 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str | list[str], seq
     keys = [key] if isinstance(key, str) else list(key)
     last = _last_per_key(changes, keys, seq)
     cols = base.columns
-    base_keys = base.select(*keys).distinct()
-    ins = last.where(F.col(op) == "I")
-    upd = last.where(F.col(op) == "U").join(base_keys, keys, "left_semi")
-    new_rows = ins.unionByName(upd).select(*cols)
+    # Which changed keys exist in the base: a key-only scan of the base.
+    present = base.select(*keys).distinct().withColumn("_in_base", F.lit(True))
+    flagged = last.join(present, keys, "left")
+    new_rows = flagged.where((F.col(op) == "I") | ((F.col(op) == "U") & F.col("_in_base").isNotNull()))
+    # The base itself is only anti-joined with the changed keys; when the
+    # change set is small AQE broadcasts it and the base is never shuffled.
     kept = base.join(last.select(*keys), keys, "left_anti")
-    return kept.unionByName(new_rows)
+    return kept.unionByName(new_rows.select(*cols))
 
 
 def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq: str = "seq",

@@ -41,12 +41,14 @@ class Bridge:
 def _names_per_parent(b: Bridge) -> DataFrame:
     """Distinct dimension names of each parent joined with ', ' in byte
     order (``string_agg(DISTINCT ...)``); NULL names are skipped.  The
-    (parent, name) pairs are de-duplicated first, so the list per parent
-    is bounded by the dimension's distinct names."""
-    pairs = (b.links.select(b.parent, b.key).join(b.dim.select(b.key, b.name), b.key, "left")
-             .where(F.col(b.name).isNotNull()).select(b.parent, b.name).distinct())
+    list per parent is bounded by the dimension's distinct names."""
+    pairs = (b.links.select(b.parent, b.key).join(b.dim.select(b.key, b.name), b.key, "inner")
+             .where(F.col(b.name).isNotNull()))
+    # collect_set de-duplicates map-side (partial aggregation), so one
+    # shuffle by parent suffices and a parent with a huge link list sends
+    # at most its distinct names per partition.
     return pairs.groupBy(b.parent).agg(
-        F.array_join(F.array_sort(F.collect_list(b.name)), ", ").alias(b.out))
+        F.array_join(F.array_sort(F.collect_set(b.name)), ", ").alias(b.out))
 
 
 def professor_directory(professors: DataFrame, users: DataFrame, bridges: list[Bridge],

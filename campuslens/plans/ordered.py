@@ -9,8 +9,8 @@ rows), so these helpers split the order into ranges instead:
    inside each range on the order plus every other column.
 2. The position inside a range comes from ``monotonically_increasing_id``
    (it encodes the partition id in the upper bits).  The ranged frame is
-   checkpointed to shared storage, so range ids and positions are read,
-   not recomputed, by the later steps.
+   written once to the shared checkpoint folder, so range ids and
+   positions are read, not recomputed, by the later steps.
 3. Per-range row counts and last values form a table of at most ``n``
    rows.  Prefix sums / "previous range" values over that table are the
    only single-partition step, and its size is bounded by ``n``; it is
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 _ATOMIC = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType,
            T.TimestampNTZType, T.BinaryType)
@@ -55,10 +55,12 @@ def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = N
                  (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("_local"))
     # Range ids and positions come from nondeterministic expressions; two
     # reads of the same lineage may be planned differently, so the frame
-    # is written once to the shared checkpoint folder and every later
-    # step reads the same ids.  This also cuts the lineage.
-    ensure_checkpoint_dir(df.sparkSession)
-    return r.checkpoint(eager=True)
+    # is written once (Parquet, in the shared checkpoint folder) and every
+    # later step reads the same ids.  This also cuts the lineage, so a lost
+    # executor never forces the range shuffle to be redone.
+    path = scratch_path(df.sparkSession, "ranged")
+    r.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def global_row_number(df: DataFrame, order: list[Column], used: set[str], out: str = "rn",
