@@ -66,18 +66,13 @@ def running_visits(df: DataFrame, ts: str, by: str | None = None, id_col: str |
                    out: str = "visita") -> DataFrame:
     """Cumulative visit number over time (1, 2, ...), globally or per key.
 
-    Per key, the rows are numbered in the global (key, time) order and
-    the key's first number is subtracted, so a key with most of the rows
-    is spread over many ranges instead of one window task."""
+    Both forms number rows in a range-partitioned order (``plans.ordered``),
+    so neither the whole table nor a key with most of the rows is ever
+    windowed in one task."""
     tie = [F.col(id_col).asc_nulls_last()] if id_col else []
     if by is None:
         return ordered.global_row_number(df, [F.col(ts).asc_nulls_last(), *tie], {ts, id_col}, out=out)
-    numbered = ordered.global_row_number(df, [F.col(by).asc_nulls_last(), F.col(ts).asc_nulls_last(), *tie],
-                                         {by, ts, id_col}, out="_g")
-    first = numbered.groupBy(F.col(by).alias("_k")).agg(F.min("_g").alias("_g0"))
-    # one row per key; a hot key is split by AQE's skew-join handling
-    return (numbered.join(first, F.col(by).eqNullSafe(F.col("_k")), "inner")
-            .withColumn(out, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0", "_k"))
+    return ordered.per_key_row_number(df, by, [F.col(ts).asc_nulls_last(), *tie], {ts, id_col}, out=out)
 
 
 def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: str | None = None,

@@ -9,8 +9,9 @@ rows), so these helpers split the order into ranges instead:
    inside each range on the order plus every other column.
 2. The position inside a range comes from ``monotonically_increasing_id``
    (it encodes the partition id in the upper bits).  The ranged frame is
-   written once to the shared checkpoint folder, so range ids and
-   positions are read, not recomputed, by the later steps.
+   written once to the shared checkpoint folder as a table bucketed by
+   range id, so range ids and positions are read, not recomputed, and the
+   per-range steps need no further exchange.
 3. Per-range row counts and last values form a table of at most ``n``
    rows.  Prefix sums / "previous range" values over that table are the
    only single-partition step, and its size is bounded by ``n``; it is
@@ -58,9 +59,15 @@ def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = N
     # is written once (Parquet, in the shared checkpoint folder) and every
     # later step reads the same ids.  This also cuts the lineage, so a lost
     # executor never forces the range shuffle to be redone.
-    path = scratch_path(df.sparkSession, "ranged")
-    r.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # The table is bucketed by range id, so the later per-range steps (the
+    # in-range ``lag``, per-range counts and last values) find their input
+    # already clustered and plan no exchange.  Each write task holds one
+    # range, so the bucketed write adds no shuffle either.
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranged")
+    name = "campuslens_ranged_" + path.rsplit("-", 1)[-1]
+    r.write.format("parquet").option("path", path).bucketBy(n, "_pid").saveAsTable(name)
+    return spark.table(name)
 
 
 def global_row_number(df: DataFrame, order: list[Column], used: set[str], out: str = "rn",
@@ -91,3 +98,30 @@ def global_previous(df: DataFrame, order: list[Column], used: set[str], carry: l
     for c in carry:
         out = out.withColumn(prefix + c, F.when(F.col("_local") == 0, F.col("_b_" + c)).otherwise(F.col(prefix + c)))
     return out.drop("_pid", "_local", *["_b_" + c for c in carry])
+
+
+def per_key_row_number(df: DataFrame, key: str, order: list[Column], used: set[str], out: str = "rn",
+                       n: int | None = None) -> DataFrame:
+    """1-based row number inside each ``key`` in ``order``, for any key
+    size.  Ranges are cut on (key, order), so a key holding most rows spans
+    many ranges.  Inside a range the position comes from a window on the
+    (bucketed) range id and key, which needs no exchange.  Rows of the
+    key in earlier ranges are added from a carry table.
+
+    Only a key that crosses a range boundary has rows in an earlier range,
+    and each boundary is crossed by at most one key.  The carry table
+    therefore has at most n rows and is broadcast."""
+    r = ranged(df, [F.col(key).asc_nulls_last(), *order], used | {key}, n)
+    pos = r.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid", key).orderBy("_local")))
+    per = r.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+    ends = r.groupBy("_pid").agg(F.min(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_first"),
+                                 F.max(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_last"))
+    # keys at either end of a range: at most 2n values
+    edge = ends.select(F.col("_first").alias("_e")).union(ends.select(F.col("_last").alias("_e"))).distinct()
+    span = per.join(F.broadcast(edge), F.col(key).eqNullSafe(F.col("_e")), "left_semi")
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (span.select(F.col("_pid").alias("_cp"), F.col(key).alias("_ck"), F.sum("_c").over(before).alias("_prior"))
+             .where(F.col("_prior") > 0))
+    j = pos.join(F.broadcast(carry), (F.col("_pid") == F.col("_cp")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
+    return (j.withColumn(out, F.col("_pos") + F.coalesce(F.col("_prior"), F.lit(0)))
+            .drop("_pid", "_local", "_pos", "_cp", "_ck", "_prior"))
