@@ -26,14 +26,19 @@ def list_sorted(df: DataFrame, cols: dict[str, str] | list[str], order_by: list)
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType,
                    mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
-    """Typed ingest of JSON lines.  Returns (rows, rejects): rows that do
-    not fit the schema go to ``rejects`` with their raw text instead of
-    silently becoming NULLs."""
+    """Typed ingest of JSON lines.  Returns (rows, rejects): lines that are
+    not JSON or do not fit the schema go to ``rejects`` with their raw
+    text instead of silently becoming NULLs.
+
+    Lines are read as text and parsed with ``from_json``, so the reject
+    table can carry the raw line and be queried on its own."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    raw = (spark.read.schema(full).option("mode", mode).options(**TEXT_OPTIONS)
-           .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    opts = {"mode": mode, "columnNameOfCorruptRecord": CORRUPT, **TEXT_OPTIONS}
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    parsed = lines.select(F.col("value"), F.from_json("value", full, opts).alias("_r"))
+    bad_row = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    good = parsed.where(~bad_row).select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    bad = parsed.where(bad_row).select(F.col("value").alias(CORRUPT))
     return good, bad
 
 
