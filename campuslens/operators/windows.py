@@ -99,18 +99,14 @@ def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: s
     return out.drop(*["_prev_" + c for c in carry])
 
 
-def route_path(stops: DataFrame, route: str = "id_ruta", order: str = "orden", stop: str = "id_parada",
-               lat: str = "latitud", lng: str = "longitud") -> DataFrame:
-    """Stops of each route in order as an array of (lat, lng) points plus a
-    text form.  The array per route is bounded by the route's stop count
-    (stops are a catalogue, not an event table)."""
-    pts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(stop).alias("s"),
-                                                F.col(lat).alias("lat"), F.col(lng).alias("lng"))))
-    g = stops.groupBy(route).agg(pts.alias("_p"))
-    path = F.transform(F.col("_p"), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng")))
-    text = F.array_join(F.transform(F.col("_p"), lambda p: F.concat_ws(
-        " ", F.format_number(p["lat"], 4), F.format_number(p["lng"], 4))), ";")
-    return g.select(route, path.alias("puntos"), text.alias("ruta_texto"), F.size("_p").alias("paradas"))
+def route_path(stops: DataFrame, route: str = "id_ruta", order: str = "orden", stop: str = "id_parada") -> DataFrame:
+    """Stops of each route in drawing order (``orden``, ties by stop id)
+    with their 1-based step number ``paso``: the polyline the stop page
+    draws, as rows.  Numbering uses the range-partitioned per-key order,
+    so a route with a very large number of stops is still split across
+    tasks and no per-route array is built."""
+    return ordered.per_key_row_number(stops, route, [F.col(order).asc_nulls_last(), F.col(stop).asc_nulls_last()],
+                                      {order, stop}, out="paso")
 
 
 def fleet_alerts(pos: DataFrame, max_speed: float = 60, gap: float = 15, per_bus: bool = False,

@@ -239,6 +239,24 @@ BINDINGS: dict[str, Binding] = {
         "CAST(CAST(8.66 + n_nationkey / 1000.0 AS DECIMAL(10,4)) AS STRING) || "
         "CASE WHEN n_nationkey % 5 = 2 THEN 'W' ELSE 'E' END AS coordenadas",
     )),
+    # stops of many short routes (about 20 stops each), growing with ``part``
+    "route_stops": Binding("part", (
+        "p_partkey AS id_parada",
+        "CAST(floor(p_partkey / 20) AS BIGINT) AS id_ruta",
+        "p_name AS nombre",
+        _dbl("3.7") + " + " + _dbl("p_retailprice") + " / 100000 AS latitud",
+        _dbl("8.6") + " + " + _dbl("p_size") + " / 1000 AS longitud",
+        "p_size AS orden",
+    )),
+    # building coordinates as text, some unparseable, growing with ``customer``
+    "building_coords": Binding("customer", (
+        "c_custkey AS id_edificio",
+        "CASE WHEN c_custkey % 50 = 0 THEN 'sin coordenadas' ELSE "
+        "CAST(c_custkey % 90 AS STRING) || '.' || lpad(CAST(c_custkey % 9973 AS STRING), 4, '0') || "
+        "CASE WHEN c_acctbal < 0 THEN 's' ELSE 'N' END || ' , ' || "
+        "CAST(c_nationkey AS STRING) || '.' || lpad(CAST(c_custkey % 997 AS STRING), 3, '0') || "
+        "CASE WHEN c_custkey % 3 = 0 THEN 'W' ELSE 'E' END END AS coordenadas",
+    )),
     # map searches (huella_usuarios shape B): a user looks up a building
     "map_visits": Binding("events", (
         "event_id AS id_visita",
