@@ -56,6 +56,27 @@ def digest(columns: list[str], rows: list[tuple]) -> tuple[int, str]:
     return len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
+                  "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def spark_type_as_duck(t: str) -> str:
+    if t.startswith("decimal"):
+        return t.upper().replace(" ", "")
+    return _SPARK_TO_DUCK.get(t, t.upper())
+
+
+def type_mismatches(sdf, con, sql: str) -> dict:
+    duck_types = {r[0]: r[1].replace(" ", "") for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = {}
+    for name, t in sdf.dtypes:
+        want = duck_types.get(name)
+        if want is not None and spark_type_as_duck(t) != want:
+            out[name] = (t, want)
+    return out
+
+
 def compare(spark, con, sf_dir: str, query, sql: str) -> dict:
     sdf = query(spark, sf_dir)
     s_cols = sdf.columns
@@ -68,7 +89,8 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> dict:
     out = {"spark_rows": s_n, "oracle_rows": d_n,
            "columns_match": sorted(s_cols) == sorted(d_cols),
            "hash_match": s_h == d_h}
-    out["ok"] = out["columns_match"] and out["hash_match"] and s_n == d_n
+    out["type_mismatches"] = type_mismatches(sdf, con, sql)
+    out["ok"] = out["columns_match"] and out["hash_match"] and s_n == d_n and not out["type_mismatches"]
     if not out["ok"]:
         out["spark_cols"] = s_cols
         out["oracle_cols"] = d_cols
