@@ -118,15 +118,20 @@ def audit_rows(actions: DataFrame, as_of) -> DataFrame:
 
 
 def append_audit(actions: DataFrame, log_path: str, footprint_path: str, as_of,
-                 staging_path: str | None = None) -> None:
+                 run_id: str | None = None) -> str:
     """Each action goes to both the activity log and the footprint table.
-    The projection is staged once in shared storage and appended from
-    there to both tables, so they hold the same rows even if the input is
-    not repeatable (and a lost executor cannot make them differ)."""
+
+    The projection is staged once in shared storage and copied from there
+    to both tables, so they hold the same rows even if the input is not
+    repeatable.  Each run writes its own ``run_id=<id>`` folder in both
+    tables (overwrite), so re-running a failed run with the same id
+    replaces its rows instead of appending them twice.  Returns the id."""
     from ..session import scratch_path
     spark = actions.sparkSession
-    staging = staging_path or scratch_path(spark, "audit-staging")
+    run = run_id or scratch_path(spark, "run").rsplit("-", 1)[-1]
+    staging = scratch_path(spark, f"audit-staging-{run}")
     audit_rows(actions, as_of).write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
-    staged.write.mode("append").parquet(log_path)
-    staged.write.mode("append").parquet(footprint_path)
+    staged.write.mode("overwrite").parquet(f"{log_path}/run_id={run}")
+    staged.write.mode("overwrite").parquet(f"{footprint_path}/run_id={run}")
+    return run

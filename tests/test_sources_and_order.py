@@ -66,3 +66,15 @@ def test_snapshot_merge_is_idempotent(spark, scratch):
     merge(batch, 1)                                  # replay of the same batch
     got = sorted(tuple(r) for r in jobs.read_snapshot(spark, path).collect())
     assert got == [(1, "a"), (2, "b2"), (3, "c")]
+
+
+def test_append_audit_rerun_is_idempotent(spark, scratch):
+    acts = spark.createDataFrame([(1, "ver", "Radio", None)], "id_usuario long, accion string, modulo string, "
+                                                               "fecha_hora timestamp_ntz")
+    log, foot = f"{scratch}/log", f"{scratch}/foot"
+    run = io.append_audit(acts, log, foot, "2024-01-15 12:00:00")
+    io.append_audit(acts, log, foot, "2024-01-15 12:00:00", run_id=run)    # retry of the same run
+    io.append_audit(acts, log, foot, "2024-01-15 12:00:00")                # a new run
+    assert spark.read.parquet(log).count() == 2 and spark.read.parquet(foot).count() == 2
+    row = spark.read.parquet(foot).first()
+    assert row.fecha_hora == dt.datetime(2024, 1, 15, 12, 0) and row.dispositivo is None
