@@ -65,6 +65,14 @@ def _stream_latest_position(spark, sf) -> DataFrame:
     return jobs.read_snapshot(spark, out)
 
 
+@register("stream_position_rejects", cte("positions") + "SELECT * FROM positions WHERE fecha_hora IS NULL")
+def _stream_position_rejects(spark, sf) -> DataFrame:
+    src, schema = _land(spark, sf, "positions")
+    out, ck = _paths(spark, "position-rejects")
+    _drain(jobs.start_stream_rejects(spark, src, out, ck, schema))
+    return spark.read.parquet(out)
+
+
 @register("stream_activity_by_module", cte("activity") + """
 SELECT date_trunc('hour', fecha_hora) AS inicio, date_trunc('hour', fecha_hora) + INTERVAL 1 HOUR AS fin, modulo,
        CAST(count(*) AS BIGINT) AS total

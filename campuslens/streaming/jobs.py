@@ -56,6 +56,17 @@ def source(spark: SparkSession, path: str, schema: T.StructType, max_files: int
     return reader.parquet(path)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark dropped as too late, summed over the progress
+    reports the query still holds (``numRowsDroppedByWatermark``)."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
+            total += int(n or 0)
+    return total
+
+
 def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     if trigger:

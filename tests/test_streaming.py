@@ -68,7 +68,9 @@ def test_windowed_counts_drop_late_rows(spark, scratch):
     jobs.start_stream_activity_by_module(spark, src, out, ck, schema).awaitTermination()
     # 10:20 belongs to a window the watermark (12:20) has already closed: dropped
     land(spark, [act(3, "2024-01-01 10:20:00"), act(4, "2024-01-01 14:00:00")], ACT, src)
-    jobs.start_stream_activity_by_module(spark, src, out, ck, schema).awaitTermination()
+    q = jobs.start_stream_activity_by_module(spark, src, out, ck, schema)
+    q.awaitTermination()
+    assert jobs.late_rows(q) == 1
     got = sorted((r.inicio, r.total) for r in spark.read.parquet(out).collect())
     assert got[0] == (t("2024-01-01 10:00:00"), 1)
     assert (t("2024-01-01 12:00:00"), 1) in got
