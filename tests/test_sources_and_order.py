@@ -78,3 +78,15 @@ def test_append_audit_rerun_is_idempotent(spark, scratch):
     assert spark.read.parquet(log).count() == 2 and spark.read.parquet(foot).count() == 2
     row = spark.read.parquet(foot).first()
     assert row.fecha_hora == dt.datetime(2024, 1, 15, 12, 0) and row.dispositivo is None
+
+
+def test_order_helpers_on_empty_and_single_row(spark):
+    empty = spark.createDataFrame([], "id long, k long, t long")
+    one = spark.createDataFrame([(1, 7, 3)], "id long, k long, t long")
+    order = [F.col("t").asc(), F.col("id").asc()]
+    for df, n in ((empty, 0), (one, 1)):
+        assert ordered.global_row_number(df, order, {"t", "id"}).count() == n
+        assert ordered.global_previous(df, order, {"t", "id"}, ["t"]).count() == n
+        assert ordered.per_key_row_number(df, "k", order, {"t", "id"}).count() == n
+    assert ordered.global_row_number(one, order, {"t", "id"}).first().rn == 1
+    assert ordered.global_previous(one, order, {"t", "id"}, ["t"]).first().prev_t is None
