@@ -90,3 +90,15 @@ def test_order_helpers_on_empty_and_single_row(spark):
         assert ordered.per_key_row_number(df, "k", order, {"t", "id"}).count() == n
     assert ordered.global_row_number(one, order, {"t", "id"}).first().rn == 1
     assert ordered.global_previous(one, order, {"t", "id"}, ["t"]).first().prev_t is None
+
+
+def test_ranges_stay_balanced_with_a_hot_key_and_repeated_times(spark):
+    # a third of the rows share one key and one timestamp
+    df = spark.range(30000).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 97).alias("t"))
+    r = ordered.ranged(df, [F.col("k").asc(), F.col("t").asc()], {"k", "t"}, n=8)
+    sizes = [row.c for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert len(sizes) == 8
+    assert max(sizes) <= 2 * (30000 / 8), sizes
