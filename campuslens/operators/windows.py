@@ -99,6 +99,13 @@ def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: s
     return out.drop(*["_prev_" + c for c in carry])
 
 
+def report_gaps_global(df: DataFrame, ts: str, minutes: float = 15, id_col: str | None = None,
+                       key: str = "id_bus") -> DataFrame:
+    """Gaps between consecutive rows of the whole table in time order (the
+    page's loop); ``report_gaps(..., per_key=False)``."""
+    return report_gaps(df, key, ts, minutes, id_col=id_col, per_key=False)
+
+
 def route_path(stops: DataFrame, route: str = "id_ruta", order: str = "orden", stop: str = "id_parada") -> DataFrame:
     """Stops of each route in drawing order (``orden``, ties by stop id)
     with their 1-based step number ``paso``: the polyline the stop page
