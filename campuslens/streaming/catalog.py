@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.bindings import AS_OF, BINDINGS, Binding, bind, cte
-from ..plans.catalog import ORACLE, QUERIES, register
+from ..plans.catalog import ORACLE, register
 from ..session import scratch_path
 from . import jobs
 

@@ -5,7 +5,6 @@ exact threshold never alerts)."""
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from campuslens.operators import aggregates as A
 from campuslens.operators import changes as CH
