@@ -46,7 +46,7 @@ def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq
                   op: str = "op") -> DataFrame:
     """The rows each effective change returns (``RETURNING *``): the new
     row for I/U, the removed row for D; changes that touch nothing are
-    left out.  One full-outer join of the last changes with the base."""
+    left out.  One left join of the last change per key with the base."""
     keys = [key] if isinstance(key, str) else list(key)
     last = _last_per_key(changes, keys, seq)
     cols = [c for c in base.columns if c not in keys]

@@ -78,8 +78,8 @@ def _search_predicate(df: DataFrame, search: str) -> Column:
 def browse_page(df: DataFrame, search: str | None = None, sort: list[tuple[str, bool]] | None = None,
                 page: int = 0, size: int = 10) -> DataFrame:
     """One page of a table view: case-insensitive text search over all
-    columns, sort (ascending flag per column, NULL first when ascending as
-    the table widget does) completed by every other column so that pages
+    columns, sort (ascending flag per column; NULL first when ascending,
+    last when descending) completed by every other column so that pages
     never overlap, then ``offset``/``limit``."""
     out = df.where(_search_predicate(df, search)) if search else df
     sort = sort or []
