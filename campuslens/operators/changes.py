@@ -105,40 +105,38 @@ def replace_links(bridge: DataFrame, new: DataFrame, parent: str, touched: DataF
 
 
 def cascade_delete(tables: dict[str, DataFrame], fks: list[tuple[str, str, str, str]], root: str,
-                   ids: DataFrame) -> dict[str, DataFrame]:
-    """Delete ``ids`` (one column named like the root key) from ``root`` and,
-    following ``fks`` = [(child, child_col, parent, parent_col)], every
-    dependent row (``ON DELETE CASCADE``).  Returns the new tables."""
-    doomed: dict[str, list[tuple[str, DataFrame]]] = {}
+                   ids: DataFrame, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Delete ``ids`` (one column, named like the root's key) from ``root``
+    and, following ``fks`` = [(child, child_col, parent, parent_col)], every
+    dependent row (``ON DELETE CASCADE``).  Returns the new tables.
+
+    Each level is one semi-join of the child with the distinct referenced
+    values of the parent's removed rows (usually a small, broadcastable
+    key set); each table is then anti-joined once with its removed keys.
+    ``keys`` names each table's primary key (default: its first column)."""
+    keys = dict(keys or {})
+    pk = {t: keys.get(t, df.columns[0]) for t, df in tables.items()}
     root_key = ids.columns[0]
-    doomed[root] = [(root_key, ids.select(root_key).distinct())]
+    removed: dict[str, DataFrame] = {
+        root: tables[root].join(ids.select(root_key).distinct(), root_key, "left_semi")}
     frontier = [root]
     while frontier:
         parent = frontier.pop(0)
         for child, ccol, ptab, pcol in fks:
             if ptab != parent:
                 continue
-            gone_parent = _removed(tables[parent], doomed[parent])
-            gone = (tables[child].join(gone_parent.select(F.col(pcol).alias(ccol)).distinct(), ccol, "left_semi"))
-            pk_child = [c for c in tables[child].columns][0]
-            doomed.setdefault(child, []).append((pk_child, gone.select(pk_child).distinct()))
+            refs = removed[parent].select(F.col(pcol).alias(ccol)).where(F.col(ccol).isNotNull()).distinct()
+            gone = tables[child].join(refs, ccol, "left_semi")
+            removed[child] = gone if child not in removed else removed[child].unionByName(gone)
             frontier.append(child)
     out = {}
     for name, df in tables.items():
-        for col, keys in doomed.get(name, []):
-            df = df.join(keys, col, "left_anti")
+        if name in removed:
+            df = df.join(removed[name].select(pk[name]).distinct(), pk[name], "left_anti")
         out[name] = df
     return out
 
 
-def _removed(df: DataFrame, doomed: list[tuple[str, DataFrame]]) -> DataFrame:
-    out = None
-    for col, keys in doomed:
-        part = df.join(keys, col, "left_semi")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def mark_arrival(foot: DataFrame, arrivals: DataFrame, as_of, user: str = "usuario_id",
                  building: str = "edificio_id", time: str = "llegada") -> DataFrame:
     """Set ``tiempo_llegada`` and ``mensaje_enviado`` on every footprint row
