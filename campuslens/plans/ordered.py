@@ -45,28 +45,47 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _bucket_keys(spark, n: int) -> DataFrame:
+    """For each range id p in [0, n), a long value whose Spark bucket id
+    (``pmod(hash(v), n)``, the function bucketed tables use) is exactly p.
+    Bucketing on these values puts every range in its own bucket; bucketing
+    on the range id itself would hash several ranges into one bucket and
+    give that task several times the average load.  Candidates are the
+    first 40n integers (a bucket is missed with probability about e^-40);
+    the result has n rows."""
+    cand = spark.range(0, 40 * n).select(
+        F.col("id").alias("_bk"), F.pmod(F.hash(F.col("id")), F.lit(n)).cast("long").alias("_pid"))
+    return cand.groupBy("_pid").agg(F.min("_bk").alias("_bk"))
+
+
 def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by ``order``, with ``_pid`` (range
-    id) and ``_local`` (0-based position inside the range)."""
+    id), ``_local`` (0-based position inside the range) and ``_bk`` (the
+    bucket key: one bucket per range)."""
     n = _partitions(df, n)
     full = list(order) + _tie_break(df, used)
     r = df.repartitionByRange(n, *full).sortWithinPartitions(*full)
     pid = F.spark_partition_id().cast("long")
     r = r.select("*", pid.alias("_pid"),
                  (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("_local"))
+    # n rows; a missed range id (not expected) falls back to its own id
+    keys = _bucket_keys(df.sparkSession, n)
+    r = (r.join(F.broadcast(keys), "_pid", "left")
+         .withColumn("_bk", F.coalesce(F.col("_bk"), F.col("_pid"))))
     # Range ids and positions come from nondeterministic expressions; two
     # reads of the same lineage may be planned differently, so the frame
     # is written once (Parquet, in the shared checkpoint folder) and every
     # later step reads the same ids.  This also cuts the lineage, so a lost
     # executor never forces the range shuffle to be redone.
-    # The table is bucketed by range id, so the later per-range steps (the
-    # in-range ``lag``, per-range counts and last values) find their input
-    # already clustered and plan no exchange.  Each write task holds one
-    # range, so the bucketed write adds no shuffle either.
+    # The table is bucketed with one range per bucket, so the later
+    # per-range steps (the in-range ``lag``, per-range counts and last
+    # values), which group on ``_bk``, find their input already clustered
+    # and balanced and plan no exchange.  Each write task holds one range,
+    # so the bucketed write adds no shuffle either.
     spark = df.sparkSession
     path = scratch_path(spark, "ranged")
     name = "campuslens_ranged_" + path.rsplit("-", 1)[-1]
-    r.write.format("parquet").option("path", path).bucketBy(n, "_pid").saveAsTable(name)
+    r.write.format("parquet").option("path", path).bucketBy(n, "_bk").saveAsTable(name)
     return spark.table(name)
 
 
@@ -74,13 +93,13 @@ def global_row_number(df: DataFrame, order: list[Column], used: set[str], out: s
                       n: int | None = None) -> DataFrame:
     """1-based row number over the whole frame in ``order``."""
     r = ranged(df, order, used, n)
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    counts = r.groupBy("_bk", "_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     # at most n rows: one per range
     return (r.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_local") + 1)
-            .drop("_pid", "_local", "_off"))
+            .drop("_pid", "_local", "_off", "_bk"))
 
 
 def global_previous(df: DataFrame, order: list[Column], used: set[str], carry: list[str],
@@ -88,16 +107,16 @@ def global_previous(df: DataFrame, order: list[Column], used: set[str], carry: l
     """For each row, the ``carry`` columns of the row just before it in
     ``order`` over the whole frame (NULL for the first row)."""
     r = ranged(df, order, used, n)
-    w = Window.partitionBy("_pid").orderBy("_local")
+    w = Window.partitionBy("_bk").orderBy("_local")
     inner = r.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in carry])
-    last = r.groupBy("_pid").agg(F.max(F.struct(F.col("_local"), *[F.col(c) for c in carry])).alias("_last"))
+    last = r.groupBy("_bk", "_pid").agg(F.max(F.struct(F.col("_local"), *[F.col(c) for c in carry])).alias("_last"))
     wb = Window.orderBy("_pid")
     bound = last.select("_pid", *[F.lag(F.col("_last")[c]).over(wb).alias("_b_" + c) for c in carry])
     # ``bound`` has one row per non-empty range (at most n rows)
     out = inner.join(F.broadcast(bound), "_pid", "left")
     for c in carry:
         out = out.withColumn(prefix + c, F.when(F.col("_local") == 0, F.col("_b_" + c)).otherwise(F.col(prefix + c)))
-    return out.drop("_pid", "_local", *["_b_" + c for c in carry])
+    return out.drop("_pid", "_local", "_bk", *["_b_" + c for c in carry])
 
 
 def per_key_row_number(df: DataFrame, key: str, order: list[Column], used: set[str], out: str = "rn",
@@ -112,9 +131,9 @@ def per_key_row_number(df: DataFrame, key: str, order: list[Column], used: set[s
     and each boundary is crossed by at most one key.  The carry table
     therefore has at most n rows and is broadcast."""
     r = ranged(df, [F.col(key).asc_nulls_last(), *order], used | {key}, n)
-    pos = r.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid", key).orderBy("_local")))
-    per = r.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
-    ends = r.groupBy("_pid").agg(F.min(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_first"),
+    pos = r.withColumn("_pos", F.row_number().over(Window.partitionBy("_bk", key).orderBy("_local")))
+    per = r.groupBy("_bk", "_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+    ends = r.groupBy("_bk", "_pid").agg(F.min(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_first"),
                                  F.max(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_last"))
     # keys at either end of a range: at most 2n values
     edge = ends.select(F.col("_first").alias("_e")).union(ends.select(F.col("_last").alias("_e"))).distinct()
@@ -124,4 +143,4 @@ def per_key_row_number(df: DataFrame, key: str, order: list[Column], used: set[s
              .where(F.col("_prior") > 0))
     j = pos.join(F.broadcast(carry), (F.col("_pid") == F.col("_cp")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
     return (j.withColumn(out, F.col("_pos") + F.coalesce(F.col("_prior"), F.lit(0)))
-            .drop("_pid", "_local", "_pos", "_cp", "_ck", "_prior"))
+            .drop("_pid", "_local", "_bk", "_pos", "_cp", "_ck", "_prior"))
