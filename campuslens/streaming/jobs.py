@@ -11,16 +11,15 @@ Event time: campus tables use ``timestamp_ntz``, but watermarks need
 wall-clock time were UTC, so windows do not depend on the session zone.
 
 Sinks that receive updates (latest position, running audience) are
-merged into versioned snapshots, one folder per micro-batch id, so a
-re-run of a batch after a failure rewrites the same folder
-(idempotent).  Append-only sinks are Parquet with the checkpoint's
+merged into a snapshot kept in two alternating slots; each batch reads
+the newest earlier snapshot and overwrites the other slot, so a re-run
+of a batch after a failure rewrites the same slot (idempotent) and
+storage stays at two snapshots.  Append-only sinks are Parquet with the checkpoint's
 exactly-once log, or per-batch folders written by ``foreachBatch``.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,36 +76,49 @@ def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
 # ------------------------------------------------------------- snapshot sinks
 
 
-def _batch_versions(spark: SparkSession, path: str) -> list[int]:
-    try:
-        files = spark.read.parquet(path).inputFiles()
-    except Exception:  # no version written yet
-        return []
-    found = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
-    return sorted(found)
+def _slot_batches(spark: SparkSession, path: str) -> dict[int, int]:
+    """Batch id held by each of the two snapshot slots (absent slots are
+    left out).  A slot only appears once its write job has committed."""
+    out = {}
+    for slot in (0, 1):
+        try:
+            b = spark.read.parquet(f"{path}/slot={slot}").agg(F.max("_batch")).first()[0]
+        except Exception:  # slot not written yet
+            continue
+        if b is not None:
+            out[slot] = int(b)
+    return out
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest merged version of an update-mode sink."""
-    versions = _batch_versions(spark, path)
-    if not versions:
+    """The newest merged snapshot of an update-mode sink."""
+    slots = _slot_batches(spark, path)
+    if not slots:
         raise FileNotFoundError(f"no snapshot under {path}")
-    return spark.read.parquet(f"{path}/batch_id={versions[-1]}")
+    slot = max(slots, key=slots.get)
+    return spark.read.parquet(f"{path}/slot={slot}").drop("_batch")
 
 
 def merge_into_snapshot(path: str, keys: list[str]):
     """``foreachBatch`` function: the batch's updated rows replace the rows
-    of the same keys in the previous version; the result is written as
-    version ``batch_id``."""
+    of the same keys in the newest earlier snapshot, and the result is
+    written to the other of two slots.  Storage stays at two snapshots;
+    a replayed batch finds the same earlier snapshot and rewrites its own
+    slot, so replays are idempotent."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        older = [v for v in _batch_versions(spark, path) if v < batch_id]
-        if older:
-            prev = spark.read.parquet(f"{path}/batch_id={older[-1]}")
-            new = prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*prev.columns))
+        slots = {k: v for k, v in _slot_batches(spark, path).items() if v < batch_id}
+        rows = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+        if slots:
+            prev_slot = max(slots, key=slots.get)
+            prev = spark.read.parquet(f"{path}/slot={prev_slot}")
+            new = (prev.join(batch.select(*keys), keys, "left_anti")
+                   .withColumn("_batch", F.lit(batch_id).cast("long"))
+                   .unionByName(rows.select(*prev.columns)))
+            target = 1 - prev_slot
         else:
-            new = batch
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            new, target = rows, 0
+        new.write.mode("overwrite").parquet(f"{path}/slot={target}")
     return merge
 
 

@@ -102,3 +102,13 @@ def test_ranges_stay_balanced_with_a_hot_key_and_repeated_times(spark):
     sizes = [row.c for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()]
     assert len(sizes) == 8
     assert max(sizes) <= 2 * (30000 / 8), sizes
+
+
+def test_snapshot_keeps_two_slots(spark, scratch):
+    path = f"{scratch}/snap2"
+    merge = jobs.merge_into_snapshot(path, ["k"])
+    for b in range(5):
+        merge(spark.createDataFrame([(b % 3, f"v{b}")], "k long, v string"), b)
+    assert sorted(os.listdir(path)) == ["slot=0", "slot=1"]
+    got = sorted(tuple(r) for r in jobs.read_snapshot(spark, path).collect())
+    assert got == [(0, "v3"), (1, "v4"), (2, "v2")]
