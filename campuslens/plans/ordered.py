@@ -84,11 +84,35 @@ def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = N
     # so the bucketed write adds no shuffle either.
     spark = df.sparkSession
     path = scratch_path(spark, "ranged")
-    name = "campuslens_ranged_" + path.rsplit("-", 1)[-1]
+    name = f"{_scratch_database(spark)}.ranged_" + path.rsplit("-", 1)[-1]
     r.write.format("parquet").option("path", path).bucketBy(n, "_bk").saveAsTable(name)
     return spark.table(name)
 
 
+SCRATCH_DB = "campuslens_scratch"
+
+
+def _scratch_database(spark) -> str:
+    """The catalog database holding ranged tables (external tables whose
+    files live in the shared checkpoint folder); ``default`` if a database
+    cannot be created in this catalog."""
+    try:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB}")
+        return SCRATCH_DB
+    except Exception:
+        return "default"
+
+
+def drop_ranged_tables(spark) -> int:
+    """Unregister the ranged tables of this session's catalog once the
+    queries reading them have run (their files stay in the checkpoint
+    folder, which the cluster's retention cleans).  Returns the count."""
+    names = [t.name for t in spark.catalog.listTables(SCRATCH_DB)] if spark.catalog.databaseExists(SCRATCH_DB) else []
+    for t in names:
+        spark.sql(f"DROP TABLE IF EXISTS {SCRATCH_DB}.{t}")
+    return len(names)
+
+
 def global_row_number(df: DataFrame, order: list[Column], used: set[str], out: str = "rn",
                       n: int | None = None) -> DataFrame:
     """1-based row number over the whole frame in ``order``."""

@@ -112,3 +112,11 @@ def test_snapshot_keeps_two_slots(spark, scratch):
     assert sorted(os.listdir(path)) == ["slot=0", "slot=1"]
     got = sorted(tuple(r) for r in jobs.read_snapshot(spark, path).collect())
     assert got == [(0, "v3"), (1, "v4"), (2, "v2")]
+
+
+def test_ranged_tables_live_in_scratch_database(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(50)], "id long, k long")
+    out = ordered.global_row_number(df, [F.col("id").asc()], {"id"})
+    assert out.count() == 50
+    assert ordered.drop_ranged_tables(spark) >= 1
+    assert ordered.drop_ranged_tables(spark) == 0
