@@ -58,12 +58,18 @@ def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq
 
 
 def update_keep_blank(base: DataFrame, changes: DataFrame, key: str, cols: list[str],
-                      keep_if_blank: list[str]) -> DataFrame:
+                      keep_if_blank: list[str], seq: str | None = None) -> DataFrame:
     """UPDATE of existing rows: ``cols`` take the new value, except that a
     blank or NULL new value in a ``keep_if_blank`` column keeps the old one.
     Rows without a change are unchanged; changes to missing keys do nothing.
-    ``changes`` holds at most one row per key."""
-    ch = changes.select(key, *[F.col(c).alias("_new_" + c) for c in cols], F.lit(True).alias("_hit"))
+    Several changes of one key are reduced to one first: the last by
+    ``seq``, or without ``seq`` the greatest row (so the result is
+    repeatable and base rows are never duplicated)."""
+    if seq is None:
+        changes = changes.withColumn("_seq", F.lit(0))
+        seq = "_seq"
+    ch = _last_per_key(changes.select(key, seq, *cols), [key], seq)
+    ch = ch.select(key, *[F.col(c).alias("_new_" + c) for c in cols], F.lit(True).alias("_hit"))
     j = base.join(ch, key, "left")
     out = []
     for c in base.columns:

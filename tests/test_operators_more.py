@@ -139,3 +139,13 @@ def test_split_timestamp_end_of_day(spark):
     df = spark.createDataFrame([(ts("2024-01-01 23:59:59.999999"),)], "t timestamp_ntz")
     r = FL.split_timestamp(df, "t").first()
     assert (r.fecha, r.hora) == (dt.date(2024, 1, 1), 86399)
+
+
+def test_update_keep_blank_reduces_repeated_changes(spark):
+    from campuslens.operators import changes as CH
+    base = spark.createDataFrame([(1, "Ana", "h1")], "id long, nombre string, pw string")
+    ch = spark.createDataFrame([(1, "A1", "", 1), (1, "A2", None, 2)], "id long, nombre string, pw string, seq long")
+    got = [tuple(r) for r in CH.update_keep_blank(base, ch, "id", ["nombre", "pw"], ["pw"], seq="seq").collect()]
+    assert got == [(1, "A2", "h1")]
+    got2 = CH.update_keep_blank(base, ch.drop("seq"), "id", ["nombre", "pw"], ["pw"]).collect()
+    assert len(got2) == 1
