@@ -76,15 +76,20 @@ def _start(writer, checkpoint: str, trigger: dict | None) -> StreamingQuery:
 # ------------------------------------------------------------- snapshot sinks
 
 
+def _init_slots(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Create both snapshot slots empty if they do not exist yet (save mode
+    ``ignore`` leaves existing slots untouched, e.g. on a restart)."""
+    empty = spark.createDataFrame([], T.StructType(
+        [f for f in schema.fields if f.name != "_batch"] + [T.StructField("_batch", T.LongType())]))
+    for slot in (0, 1):
+        empty.write.mode("ignore").parquet(f"{path}/slot={slot}")
+
+
 def _slot_batches(spark: SparkSession, path: str) -> dict[int, int]:
-    """Batch id held by each of the two snapshot slots (absent slots are
-    left out).  A slot only appears once its write job has committed."""
+    """Batch id held by each non-empty snapshot slot."""
     out = {}
     for slot in (0, 1):
-        try:
-            b = spark.read.parquet(f"{path}/slot={slot}").agg(F.max("_batch")).first()[0]
-        except Exception:  # slot not written yet
-            continue
+        b = spark.read.parquet(f"{path}/slot={slot}").agg(F.max("_batch")).first()[0]
         if b is not None:
             out[slot] = int(b)
     return out
@@ -93,9 +98,7 @@ def _slot_batches(spark: SparkSession, path: str) -> dict[int, int]:
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest merged snapshot of an update-mode sink."""
     slots = _slot_batches(spark, path)
-    if not slots:
-        raise FileNotFoundError(f"no snapshot under {path}")
-    slot = max(slots, key=slots.get)
+    slot = max(slots, key=slots.get) if slots else 0
     return spark.read.parquet(f"{path}/slot={slot}").drop("_batch")
 
 
@@ -107,6 +110,7 @@ def merge_into_snapshot(path: str, keys: list[str]):
     slot, so replays are idempotent."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        _init_slots(spark, path, batch.schema)
         slots = {k: v for k, v in _slot_batches(spark, path).items() if v < batch_id}
         rows = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
         if slots:
