@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 
 _ATOMIC = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType,
            T.TimestampNTZType, T.BinaryType)
@@ -97,7 +97,8 @@ def _scratch_database(spark) -> str:
     files live in the shared checkpoint folder); ``default`` if a database
     cannot be created in this catalog."""
     try:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB}")
+        location = ensure_checkpoint_dir(spark).rstrip("/") + "/" + SCRATCH_DB
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} LOCATION '{location}'")
         return SCRATCH_DB
     except Exception:
         return "default"
