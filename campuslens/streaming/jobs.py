@@ -32,6 +32,9 @@ from ..operators import joins as J
 from ..sources import io
 
 AVAILABLE_NOW = {"availableNow": True}
+# Every ``start_*`` takes ``max_files`` (``maxFilesPerTrigger``): the number
+# of landed files per micro-batch, which bounds the batch size and so the
+# rows one key can bring to one task in a batch.
 
 
 def _epoch() -> Column:
@@ -137,10 +140,10 @@ def write_batch_folder(path: str, transform=None):
 # ------------------------------------------------------------- jobs
 
 
-def start_stream_readings(spark, in_path, out_path, checkpoint, schema, trigger=AVAILABLE_NOW) -> StreamingQuery:
+def start_stream_readings(spark, in_path, out_path, checkpoint, schema, max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Sensor rows (id_sensor, valor, fecha_hora) -> date and time of day
     split -> appended to Parquet."""
-    rows = source(spark, in_path, schema)
+    rows = source(spark, in_path, schema, max_files)
     out = rows.select("id_sensor", "valor", F.to_date("fecha_hora").alias("fecha"),
                       C.seconds_of_day("fecha_hora").alias("hora"))
     return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
@@ -148,20 +151,20 @@ def start_stream_readings(spark, in_path, out_path, checkpoint, schema, trigger=
 
 
 def start_stream_rejects(spark, in_path, reject_path, checkpoint, schema, time_col="fecha_hora",
-                         trigger=AVAILABLE_NOW) -> StreamingQuery:
+                         max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Rows without an event time (they cannot be placed in time order)."""
-    rows = source(spark, in_path, schema).where(F.col(time_col).isNull())
+    rows = source(spark, in_path, schema, max_files).where(F.col(time_col).isNull())
     return _start(rows.writeStream.format("parquet").option("path", reject_path).outputMode("append"),
                   checkpoint, trigger)
 
 
 def start_stream_latest_position(spark, in_path, out_path, checkpoint, schema,
-                                 trigger=AVAILABLE_NOW) -> StreamingQuery:
+                                 max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Current row per bus: a streaming max-aggregation (newest time, ties
     by position id) in update mode, merged into a snapshot per batch.
     Rows without a time are left to ``start_stream_rejects``.  The state
     holds one row per bus (a fleet-sized table)."""
-    rows = source(spark, in_path, schema)
+    rows = source(spark, in_path, schema, max_files)
     timed = rows.where(F.col("fecha_hora").isNotNull())
     rest = [c for c in schema.fieldNames() if c not in ("id_bus", "fecha_hora", "id_posicion")]
     best = F.max(F.struct(F.col("fecha_hora"), F.col("id_posicion"), *[F.col(c) for c in rest])).alias("_b")
@@ -172,10 +175,10 @@ def start_stream_latest_position(spark, in_path, out_path, checkpoint, schema,
 
 
 def start_stream_activity_by_module(spark, in_path, out_path, checkpoint, schema, window="1 hour",
-                                    watermark="10 minutes", trigger=AVAILABLE_NOW) -> StreamingQuery:
+                                    watermark="10 minutes", max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Actions per module per tumbling window; a window is written once the
     watermark passes its end (append mode); later rows are dropped."""
-    rows = source(spark, in_path, schema).withColumn("_t", instant("fecha_hora")).withWatermark("_t", watermark)
+    rows = source(spark, in_path, schema, max_files).withColumn("_t", instant("fecha_hora")).withWatermark("_t", watermark)
     agg = rows.groupBy(F.window("_t", window).alias("w"), "modulo").agg(F.count(F.lit(1)).alias("total"))
     out = agg.select(wall("w.start").alias("inicio"), wall("w.end").alias("fin"), "modulo", "total")
     return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
@@ -183,11 +186,11 @@ def start_stream_activity_by_module(spark, in_path, out_path, checkpoint, schema
 
 
 def start_stream_connected_users(spark, in_path, out_path, checkpoint, schema, window="5 minutes",
-                                 slide="1 minute", watermark="10 minutes", trigger=AVAILABLE_NOW) -> StreamingQuery:
+                                 slide="1 minute", watermark="10 minutes", max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Distinct users per sliding window.  Streaming ``countDistinct`` is not
     supported, so (window, user) pairs are de-duplicated with the watermark
     bounding their state, then counted per window (append mode)."""
-    rows = (source(spark, in_path, schema).where(F.col("id_usuario").isNotNull())
+    rows = (source(spark, in_path, schema, max_files).where(F.col("id_usuario").isNotNull())
             .withColumn("_t", instant("fecha_hora")).withWatermark("_t", watermark))
     pairs = rows.select(F.window("_t", window, slide).alias("w"), "id_usuario").dropDuplicates(["w", "id_usuario"])
     agg = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("usuarios"))
@@ -209,8 +212,8 @@ def fleet_alert_rows(rows: DataFrame, max_speed: float = 60) -> DataFrame:
 
 
 def start_stream_fleet_alerts(spark, in_path, out_path, checkpoint, schema, max_speed=60,
-                              trigger=AVAILABLE_NOW) -> StreamingQuery:
-    out = fleet_alert_rows(source(spark, in_path, schema), max_speed)
+                              max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
+    out = fleet_alert_rows(source(spark, in_path, schema, max_files), max_speed)
     return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
                   checkpoint, trigger)
 
@@ -255,12 +258,12 @@ def _gap_state(minutes: float):
 
 
 def start_stream_report_gaps(spark, in_path, out_path, checkpoint, schema, minutes=15,
-                             trigger=AVAILABLE_NOW) -> StreamingQuery:
+                             max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Per-bus gap alert with the last seen time as state
     (``applyInPandasWithState``).  Inside a batch a bus's rows are sorted;
     a row older than the bus's state is marked ``tardia`` and gets no gap.
     Rows without a time are skipped (they cannot be ordered)."""
-    rows = (source(spark, in_path, schema).where(F.col("fecha_hora").isNotNull() & F.col("id_bus").isNotNull())
+    rows = (source(spark, in_path, schema, max_files).where(F.col("fecha_hora").isNotNull() & F.col("id_bus").isNotNull())
             .select("id_posicion", "id_bus", "fecha_hora",
                     F.timestamp_diff("MICROSECOND", _epoch(), F.col("fecha_hora")).alias("_us")))
     out = rows.groupBy("id_bus").applyInPandasWithState(
@@ -270,23 +273,23 @@ def start_stream_report_gaps(spark, in_path, out_path, checkpoint, schema, minut
                   checkpoint, trigger)
 
 
-def start_stream_wifi_severity(spark, in_path, out_path, checkpoint, schema, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    out = source(spark, in_path, schema).withColumn("severidad", C.wifi_severity("latencia", "nivel_senal", "jitter"))
+def start_stream_wifi_severity(spark, in_path, out_path, checkpoint, schema, max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
+    out = source(spark, in_path, schema, max_files).withColumn("severidad", C.wifi_severity("latencia", "nivel_senal", "jitter"))
     return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
                   checkpoint, trigger)
 
 
 def start_stream_validate_attendance(spark, in_path, out_path, checkpoint, schema, codes: DataFrame,
-                                     trigger=AVAILABLE_NOW) -> StreamingQuery:
+                                     max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Each micro-batch of scans is validated against the (static) code
     table with the batch operator ``validate_attendance``."""
-    scans = source(spark, in_path, schema)
+    scans = source(spark, in_path, schema, max_files)
     fn = write_batch_folder(out_path, lambda b: J.validate_attendance(b, codes))
     return _start(scans.writeStream.foreachBatch(fn), checkpoint, trigger)
 
 
 def start_stream_audit_fanout(spark, in_path, log_path, footprint_path, checkpoint, schema, as_of,
-                              trigger=AVAILABLE_NOW) -> StreamingQuery:
+                              max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Each action goes to the activity log and the footprint table.  The
     batch is staged once and copied to both, each under its batch id, so
     a replayed batch rewrites the same folders."""
@@ -296,25 +299,25 @@ def start_stream_audit_fanout(spark, in_path, log_path, footprint_path, checkpoi
         staged = batch.sparkSession.read.parquet(stage)
         staged.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         staged.write.mode("overwrite").parquet(f"{footprint_path}/batch_id={batch_id}")
-    return _start(source(spark, in_path, schema).writeStream.foreachBatch(fan), checkpoint, trigger)
+    return _start(source(spark, in_path, schema, max_files).writeStream.foreachBatch(fan), checkpoint, trigger)
 
 
 def start_stream_dedup_actions(spark, in_path, out_path, checkpoint, schema, key="id_registro",
-                               watermark="1 day", trigger=AVAILABLE_NOW) -> StreamingQuery:
+                               watermark="1 day", max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Drop repeated deliveries of the same action id arriving within the
     watermark delay of each other (the reference double-writes)."""
-    rows = source(spark, in_path, schema).withColumn("_t", instant("fecha_hora")).withWatermark("_t", watermark)
+    rows = source(spark, in_path, schema, max_files).withColumn("_t", instant("fecha_hora")).withWatermark("_t", watermark)
     out = rows.dropDuplicatesWithinWatermark([key]).drop("_t")
     return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
                   checkpoint, trigger)
 
 
 def start_stream_audience(spark, in_path, out_path, checkpoint, schema, watermark="1 day",
-                          trigger=AVAILABLE_NOW) -> StreamingQuery:
+                          max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Running weekly plays and seconds per programme.  Weekly windows are
     offset by 4 days from the epoch (a Thursday), so they start on Monday
     like DATE_TRUNC('week').  Update mode, merged into a snapshot."""
-    rows = (source(spark, in_path, schema).withColumn("_t", instant("fecha"))
+    rows = (source(spark, in_path, schema, max_files).withColumn("_t", instant("fecha"))
             .withWatermark("_t", watermark))
     agg = rows.groupBy(F.window("_t", "7 days", "7 days", "4 days").alias("w"), "id_programa").agg(
         F.count(F.lit(1)).alias("total_reproducciones"),

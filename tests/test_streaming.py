@@ -85,3 +85,15 @@ def test_connected_users_distinct_per_window(spark, scratch):
     got = {r.inicio: r.usuarios for r in spark.read.parquet(out).collect()}
     assert got[t("2024-01-01 10:00:00")] == 2      # users 1 and 2, user 1 counted once
     assert got[t("2024-01-01 09:56:00")] == 1
+
+
+def test_max_files_splits_batches(spark, scratch):
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    schema = None
+    for i in range(3):
+        schema = land(spark, [pos(10 + i, 1, f"2024-01-01 10:{i:02d}:00")], POS, src)
+    q = jobs.start_stream_report_gaps(spark, src, out, ck, schema, max_files=1)
+    q.awaitTermination()
+    assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 3
+    got = sorted((r.id_posicion, r.minutos) for r in spark.read.parquet(out).collect())
+    assert got == [(10, None), (11, 1.0), (12, 1.0)]
