@@ -97,3 +97,30 @@ def test_max_files_splits_batches(spark, scratch):
     assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 3
     got = sorted((r.id_posicion, r.minutos) for r in spark.read.parquet(out).collect())
     assert got == [(10, None), (11, 1.0), (12, 1.0)]
+
+
+SCAN = "id_profesor long, id_aula long, codigo_qr string, hora_scan timestamp_ntz"
+
+
+def test_stream_validate_attendance_per_batch(spark, scratch):
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    codes = spark.createDataFrame([(1, 5, "A", t("2024-01-01 00:00:00"), t("2024-01-08 00:00:00"))],
+                                  "id_qr long, id_aula long, codigo_qr string, fecha_generacion timestamp_ntz, "
+                                  "valido_hasta timestamp_ntz")
+    schema = land(spark, [(1, 5, "A", t("2024-01-02 09:00:00"))], SCAN, src)
+    jobs.start_stream_validate_attendance(spark, src, out, ck, schema, codes).awaitTermination()
+    land(spark, [(2, 5, "B", t("2024-01-02 09:00:00")), (3, 5, "A", t("2024-01-09 09:00:00"))], SCAN, src)
+    jobs.start_stream_validate_attendance(spark, src, out, ck, schema, codes).awaitTermination()
+    got = {r.id_profesor: r.valida for r in spark.read.parquet(out).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_stream_audit_fanout_writes_both_tables(spark, scratch):
+    src, log, foot, ck = f"{scratch}/in", f"{scratch}/log", f"{scratch}/foot", f"{scratch}/ck"
+    schema = land(spark, [act(1, "2024-01-01 10:00:00")], ACT, src)
+    jobs.start_stream_audit_fanout(spark, src, log, foot, ck, schema, "2024-01-15 12:00:00").awaitTermination()
+    land(spark, [act(2, "2024-01-01 10:05:00")], ACT, src)
+    jobs.start_stream_audit_fanout(spark, src, log, foot, ck, schema, "2024-01-15 12:00:00").awaitTermination()
+    a = sorted(tuple(r) for r in spark.read.parquet(log).drop("batch_id").collect())
+    b = sorted(tuple(r) for r in spark.read.parquet(foot).drop("batch_id").collect())
+    assert a == b and len(a) == 2
