@@ -160,10 +160,11 @@ def transport_daily(buses: DataFrame, routes: DataFrame, alerts: DataFrame, date
         F.avg((F.col("hora_fin") - F.col("hora_inicio")).cast("double")).alias("tiempo_promedio_llegada"),
         F.min("nombre").alias("ruta"))
     al = alerts.where(F.to_date(alert_time) == d).agg(F.count(F.lit(1)).alias("alertas_hoy"))
+    rs = r.select(F.struct("rutas_activas", "tiempo_promedio_llegada", "ruta").alias("_r")).scalar()  # one pass
     return b.select(d.alias("fecha"), "capacidad", "buses_en_servicio", "buses_fuera_servicio",
-                    _scalar(r, "rutas_activas").alias("rutas_activas"), _scalar(al, "alertas_hoy").alias("alertas_hoy"),
-                    "ocupacion_promedio", _scalar(r, "tiempo_promedio_llegada").alias("tiempo_promedio_llegada"),
-                    _scalar(r, "ruta").alias("ruta"))
+                    rs["rutas_activas"].alias("rutas_activas"), _scalar(al, "alertas_hoy").alias("alertas_hoy"),
+                    "ocupacion_promedio", rs["tiempo_promedio_llegada"].alias("tiempo_promedio_llegada"),
+                    rs["ruta"].alias("ruta"))
 
 
 def transport_latest(df: DataFrame, date_col: str = "fecha", id_col: str = "id_transporte",
