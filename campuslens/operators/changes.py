@@ -32,8 +32,11 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str | list[str], seq
     keys = [key] if isinstance(key, str) else list(key)
     last = _last_per_key(changes, keys, seq)
     cols = base.columns
-    # Which changed keys exist in the base: a key-only scan of the base.
-    present = base.select(*keys).distinct().withColumn("_in_base", F.lit(True))
+    # Which changed keys exist in the base.  The base's keys are semi-joined
+    # with the changed keys (small in the usual case, so AQE broadcasts
+    # them and the base is streamed, never shuffled).
+    present = (base.select(*keys).join(last.select(*keys), keys, "left_semi").distinct()
+               .withColumn("_in_base", F.lit(True)))
     flagged = last.join(present, keys, "left")
     new_rows = flagged.where((F.col(op) == "I") | ((F.col(op) == "U") & F.col("_in_base").isNotNull()))
     # The base itself is only anti-joined with the changed keys; when the
@@ -50,7 +53,9 @@ def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq
     keys = [key] if isinstance(key, str) else list(key)
     last = _last_per_key(changes, keys, seq)
     cols = [c for c in base.columns if c not in keys]
-    b = base.select(*keys, *[F.col(c).alias("_old_" + c) for c in cols], F.lit(True).alias("_in_base"))
+    # only the base rows of changed keys take part in the join
+    touched = base.join(last.select(*keys), keys, "left_semi")
+    b = touched.select(*keys, *[F.col(c).alias("_old_" + c) for c in cols], F.lit(True).alias("_in_base"))
     j = last.join(b, keys, "left")
     effective = (F.col(op) == "I") | ((F.col(op).isin("U", "D")) & F.col("_in_base").isNotNull())
     shown = [F.when(F.col(op) == "D", F.col("_old_" + c)).otherwise(F.col(c)).alias(c) for c in cols]
@@ -95,7 +100,10 @@ def insert_ignore(base: DataFrame, new: DataFrame, key: str | list[str], seq: st
     first = F.min(F.struct(*order, *[F.col(c) for c in rest if c != seq])).alias("_b")
     firsts = new.where(C.all_of([F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(first)
     firsts = firsts.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest if c != seq])
-    fresh = firsts.join(base.select(*keys).distinct(), keys, "left_anti")
+    # base keys that collide with a new row (the new rows are usually few,
+    # so they are broadcast and the base is streamed)
+    taken = base.select(*keys).join(firsts.select(*keys), keys, "left_semi").distinct()
+    fresh = firsts.join(taken, keys, "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 
