@@ -2,9 +2,10 @@
 
 Every grouped aggregate here has a map-side partial step (hash-based, or
 sort-based for the struct maxima), so a key holding a large share of the
-rows is reduced before the shuffle.  KPI rows that the reference fetched with several sequential
-queries are fused into one pass per table; one-row results are combined
-as scalar subqueries (each runs once; no join is planned).
+rows is reduced before the shuffle.  KPI rows that the reference fetched
+with several sequential queries are fused into one pass per table;
+one-row results from other tables are combined as scalar subqueries
+(each runs once; no join is planned).
 """
 
 from __future__ import annotations
