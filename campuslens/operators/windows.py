@@ -91,7 +91,7 @@ def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: s
     else:
         order = [F.col(ts).asc_nulls_last(), *tie]
         carry = [ts]
-    used = {key, ts} | ({id_col} if id_col else set())
+    used = {ts} | ({key} if per_key else set()) | ({id_col} if id_col else set())
     prev = ordered.global_previous(df, order, used, carry, prefix="_prev_")
     same = F.col("_prev_" + key).eqNullSafe(F.col(key)) if per_key else F.lit(True)
     gap = F.when(same, C.minutes_between("_prev_" + ts, ts))
