@@ -39,3 +39,13 @@ def test_global_order_has_no_single_partition_window_on_events(spark, key):
         if "SinglePartition" in line:
             below = "\n".join(p.splitlines()[i:i + 4])
             assert "_pid" in below, below
+
+
+def test_footprint_kpis_reads_the_table_once(spark):
+    p = plan(E.queries()["footprint_kpis"](spark, SF))
+    assert p.count("FileScan") == 1 and "Expand" in p
+
+
+def test_day_layout_prunes_partitions(spark):
+    p = plan(E.queries()["history_by_day"](spark, SF))
+    assert "PartitionFilters: [isnotnull(dia" in p
