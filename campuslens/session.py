@@ -57,6 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    set_on_context = spark.sparkContext.getCheckpointDir()
+    if set_on_context:
+        # the application chose a folder with SparkContext.setCheckpointDir;
+        # its parent is the shared folder it named (Spark adds a subfolder)
+        base = set_on_context.rstrip("/").rsplit("/", 1)[0]
+        spark.conf.set(CHECKPOINT_KEY, base)
+        return base
     path = fallback or os.environ.get("CAMPUSLENS_CHECKPOINT_DIR") or "/tmp/campuslens-checkpoints"
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
