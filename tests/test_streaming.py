@@ -5,6 +5,8 @@ a second batch with the first batch's state."""
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from campuslens.streaming import jobs
 
 POS = ("id_posicion long, id_bus long, id_ruta long, latitud double, longitud double, velocidad decimal(18,4), "
@@ -124,3 +126,49 @@ def test_stream_audit_fanout_writes_both_tables(spark, scratch):
     a = sorted(tuple(r) for r in spark.read.parquet(log).drop("batch_id").collect())
     b = sorted(tuple(r) for r in spark.read.parquet(foot).drop("batch_id").collect())
     assert a == b and len(a) == 2
+
+
+def _land_in_time_order(spark, df, ts, path, parts=4):
+    """Write ``df`` as ``parts`` files, one write per time range, so the
+    file source sees them in time order (one file per micro-batch)."""
+    ordered_rows = df.where(F.col(ts).isNotNull())
+    q = ordered_rows.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")),
+                                                [i / parts for i in range(1, parts)], 100000)).first()[0]
+    edges = [None] + list(q) + [None]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    for lo, hi in zip(edges, edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (micros > lo)
+        if hi is not None:
+            cond = cond & (micros <= hi)
+        ordered_rows.where(cond).coalesce(1).write.mode("append").parquet(path)
+    return df.schema
+
+
+def test_stream_audience_equals_batch_over_several_batches(spark, scratch):
+    from campuslens.operators import aggregates as A
+    from campuslens.plans.bindings import bind
+    listens = bind(spark, "/root/testdata/sf0.001", "listens")
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    schema = _land_in_time_order(spark, listens, "fecha", src)
+    q = jobs.start_stream_audience(spark, src, out, ck, schema, max_files=1)
+    q.awaitTermination()
+    assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 4
+    got = sorted(tuple(r) for r in jobs.read_snapshot(spark, out).collect())
+    want = sorted(tuple(r) for r in A.audience(listens.where(F.col("fecha").isNotNull()), "week").collect())
+    assert got == want
+
+
+def test_stream_latest_position_equals_batch_over_several_batches(spark, scratch):
+    from campuslens.operators import windows as W
+    from campuslens.plans.bindings import bind
+    pos = bind(spark, "/root/testdata/sf0.001", "positions")
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    schema = _land_in_time_order(spark, pos, "fecha_hora", src)
+    jobs.start_stream_latest_position(spark, src, out, ck, schema, max_files=1).awaitTermination()
+    cols = ["id_bus", "fecha_hora", "id_posicion"]
+    got = sorted(tuple(r) for r in jobs.read_snapshot(spark, out).select(*cols).collect())
+    want = sorted(tuple(r) for r in W.latest_per_key(pos.where(F.col("fecha_hora").isNotNull()), "id_bus",
+                                                     ["fecha_hora"]).select(*cols).collect())
+    assert got == want
