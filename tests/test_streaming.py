@@ -172,3 +172,19 @@ def test_stream_latest_position_equals_batch_over_several_batches(spark, scratch
     want = sorted(tuple(r) for r in W.latest_per_key(pos.where(F.col("fecha_hora").isNotNull()), "id_bus",
                                                      ["fecha_hora"]).select(*cols).collect())
     assert got == want
+
+
+def test_stream_report_gaps_equals_batch_over_several_batches(spark, scratch):
+    from campuslens.operators import windows as W
+    from campuslens.plans.bindings import bind
+    pos = bind(spark, "/root/testdata/sf0.001", "positions")
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    schema = _land_in_time_order(spark, pos, "fecha_hora", src)
+    jobs.start_stream_report_gaps(spark, src, out, ck, schema, max_files=1).awaitTermination()
+    streamed = spark.read.parquet(out)
+    assert streamed.where("tardia").count() == 0
+    got = sorted((r.id_posicion, r.minutos, r.alerta) for r in streamed.collect())
+    batch = W.report_gaps(pos.where(F.col("fecha_hora").isNotNull()), "id_bus", "fecha_hora", 15,
+                          id_col="id_posicion")
+    want = sorted((r.id_posicion, r.minutos, r.alerta) for r in batch.collect())
+    assert got == want
