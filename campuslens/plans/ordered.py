@@ -53,9 +53,16 @@ def _bucket_keys(spark, n: int) -> DataFrame:
     give that task several times the average load.  Candidates are the
     first 40n integers (a bucket is missed with probability about e^-40);
     the result has n rows."""
-    cand = spark.range(0, 40 * n).select(
-        F.col("id").alias("_bk"), F.pmod(F.hash(F.col("id")), F.lit(n)).cast("long").alias("_pid"))
-    return cand.groupBy("_pid").agg(F.min("_bk").alias("_bk"))
+    key = (spark.sparkContext.applicationId, n)
+    if key not in _BUCKET_KEYS:
+        cand = spark.range(0, 40 * n).select(
+            F.col("id").alias("_bk"), F.pmod(F.hash(F.col("id")), F.lit(n)).cast("long").alias("_pid"))
+        # depends only on n: computed once per application and kept (n rows)
+        _BUCKET_KEYS[key] = cand.groupBy("_pid").agg(F.min("_bk").alias("_bk")).persist()
+    return _BUCKET_KEYS[key]
+
+
+_BUCKET_KEYS: dict[tuple[str, int], DataFrame] = {}
 
 
 def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = None) -> DataFrame:
