@@ -120,10 +120,12 @@ def trunc_to(ts, unit: str) -> Column:
 
 
 def guest_array(text) -> Column:
-    """Comma text -> array of trimmed names; '' or NULL -> []."""
+    """Comma text -> array of trimmed names; '' or NULL -> [].  As on the
+    class page, only an empty text means "no guests": a text of blanks
+    splits into one empty name."""
     c = col(text)
     parts = F.transform(F.split(c, ","), lambda x: F.trim(x))
-    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def blank_to_null(c) -> Column:

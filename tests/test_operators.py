@@ -273,9 +273,9 @@ def test_parse_coordinates_hemispheres(spark):
 
 
 def test_guest_list_and_autocomplete(spark):
-    df = spark.createDataFrame([(" ana , luis,eva",), ("",), (None,)], "g string")
+    df = spark.createDataFrame([(" ana , luis,eva",), ("",), (None,), ("  ",)], "g string")
     got = [list(r.g) for r in FL.guest_list(df, "g").collect()]
-    assert got == [["ana", "luis", "eva"], [], []]
+    assert got == [["ana", "luis", "eva"], [], [], [""]]
     names = spark.createDataFrame([("Rectorado",), ("Biblioteca",)], "n string")
     assert FL.autocomplete(names, "n", "r").count() == 0
     assert [r.n for r in FL.autocomplete(names, "n", "BLIO").collect()] == ["Biblioteca"]
