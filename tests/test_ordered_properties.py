@@ -52,3 +52,31 @@ def test_per_key_row_number_matches_grouped_sort(spark, rows, n):
         seen[r[1]] = seen.get(r[1], 0) + 1
         want[r[0]] = seen[r[1]]
     assert {r.id: r.n for r in out.collect()} == want
+
+
+CODES = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(0, 25), st.sampled_from("ABC")),
+                 min_size=0, max_size=12)
+SCANS = st.lists(st.tuples(st.integers(0, 2), st.integers(-2, 70), st.sampled_from("ABC")), min_size=0, max_size=15)
+
+
+@SETTINGS
+@given(codes=CODES, scans=SCANS, bucket_days=st.integers(1, 10))
+def test_validate_attendance_matches_brute_force(spark, codes, scans, bucket_days):
+    import datetime as dt
+
+    from campuslens.operators import joins as J
+    day0 = dt.datetime(2024, 1, 1)
+    code_rows = [(i, room, text, day0 + dt.timedelta(hours=6 * start), day0 + dt.timedelta(hours=6 * (start + length)))
+                 for i, (room, start, length, text) in enumerate(codes)]
+    scan_rows = [(i, room, text, day0 + dt.timedelta(hours=6 * t)) for i, (room, t, text) in enumerate(scans)]
+    cdf = spark.createDataFrame(code_rows, "id_qr long, id_aula long, codigo_qr string, fecha_generacion timestamp_ntz, "
+                                           "valido_hasta timestamp_ntz")
+    sdf = spark.createDataFrame(scan_rows, "id_profesor long, id_aula long, codigo_qr string, hora_scan timestamp_ntz")
+    got = {r.id_profesor: (r.id_qr_vigente, r.valida)
+           for r in J.validate_attendance(sdf, cdf, bucket_days=bucket_days).collect()}
+    want = {}
+    for sid, room, text, when in scan_rows:
+        live = [c for c in code_rows if c[1] == room and c[3] <= when <= c[4]]
+        best = max(live, key=lambda c: (c[3], c[0])) if live else None
+        want[sid] = (best[0] if best else None, bool(best and best[2] == text))
+    assert got == want
