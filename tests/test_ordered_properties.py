@@ -80,3 +80,49 @@ def test_validate_attendance_matches_brute_force(spark, codes, scans, bucket_day
         best = max(live, key=lambda c: (c[3], c[0])) if live else None
         want[sid] = (best[0] if best else None, bool(best and best[2] == text))
     assert got == want
+
+
+@SETTINGS
+@given(routes=st.lists(st.tuples(st.integers(0, 5), st.sampled_from(["N", "S", "E"])), max_size=6, unique_by=lambda r: r[0]),
+       stops=st.lists(st.integers(0, 6), max_size=10),
+       pax=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 50)), st.integers(0, 4)), max_size=10),
+       buses=st.lists(st.integers(0, 4), max_size=4), tracked=st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=4))
+def test_passengers_by_route_equals_the_product_query(spark, routes, stops, pax, buses, tracked):
+    from campuslens.operators import joins as J
+    r = spark.createDataFrame(routes, "id_ruta long, nombre string")
+    s = spark.createDataFrame([(i, rid) for i, rid in enumerate(stops)], "id_parada long, id_ruta long")
+    p = spark.createDataFrame(pax, "id_pasajero long, id_bus long")
+    b = spark.createDataFrame([(x,) for x in buses], "id_bus long")
+    t = spark.createDataFrame([(x,) for x in tracked], "id_bus long")
+    got = {row.ruta: row.pasajeros for row in J.passengers_by_route(r, s, p, b, t).collect()}
+    # the reference's query, literally: route LEFT JOIN stops LEFT JOIN passengers ON <tracked bus>
+    ok_bus = {x for x in buses if x in {y for y in tracked if y is not None}}
+    want = {}
+    for rid, name in routes:
+        route_stops = [sid for sid in stops if sid == rid] or [None]
+        matched = [pid for pid, bus in pax if bus in ok_bus] or [None]
+        want[name] = want.get(name, 0) + sum(1 for _ in route_stops for pid in matched if pid is not None)
+    assert got == want
+
+
+@SETTINGS
+@given(base=st.lists(st.integers(0, 8), unique=True, max_size=6),
+       changes=st.lists(st.tuples(st.integers(0, 10), st.sampled_from("IUD"), st.integers(0, 99)), max_size=12))
+def test_apply_changes_equals_replaying_the_last_change(spark, base, changes):
+    from campuslens.operators import changes as CH
+    bdf = spark.createDataFrame([(k, f"b{k}") for k in base], "k long, v string")
+    cdf = spark.createDataFrame([(k, seq, op, f"c{seq}") for seq, (k, op, _) in enumerate(changes)],
+                                "k long, seq long, op string, v string")
+    got = sorted(tuple(r) for r in CH.apply_changes(bdf, cdf, "k").collect())
+    last = {}
+    for seq, (k, op, _) in enumerate(changes):
+        last[k] = (op, f"c{seq}")
+    state = {k: f"b{k}" for k in base}
+    for k, (op, v) in last.items():
+        if op == "D":
+            state.pop(k, None)
+        elif op == "I":
+            state[k] = v
+        elif op == "U" and k in state:
+            state[k] = v
+    assert got == sorted(state.items())
