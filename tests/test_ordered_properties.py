@@ -126,3 +126,27 @@ def test_apply_changes_equals_replaying_the_last_change(spark, base, changes):
         elif op == "U" and k in state:
             state[k] = v
     assert got == sorted(state.items())
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)),
+                               st.one_of(st.none(), st.sampled_from(["Radio", "radio-x", "Mapa", "Bus"])),
+                               st.integers(0, 9), st.integers(-8, 2)), max_size=25))
+def test_footprint_kpis_matches_brute_force(spark, rows):
+    import datetime as dt
+
+    from campuslens.operators import aggregates as A
+    as_of = dt.datetime(2024, 1, 15, 12, 0)
+    data = [(u, m, s, as_of + dt.timedelta(minutes=off)) for u, m, s, off in rows]
+    df = spark.createDataFrame(data, "id_usuario long, modulo string, duracion_segundos long, fecha_hora timestamp_ntz")
+    r = A.footprint_kpis(df, "2024-01-15 12:00:00").first()
+    users = {u for u, *_ in data if u is not None}
+    recent = {u for u, _, _, t in data if u is not None and as_of - dt.timedelta(minutes=5) < t <= as_of}
+    radio = sum(s for _, m, s, _ in data if m is not None and m.lower().startswith("radio"))
+    counts = {}
+    for _, m, _, _ in data:
+        counts[m] = counts.get(m, 0) + 1
+    top = min(counts.items(), key=lambda kv: (-kv[1], kv[0] is None, kv[0] or ""))[0] if counts else None
+    assert (r.total_acciones, r.usuarios_activos, r.usuarios_conectados, r.tiempo_radio) == \
+        (len(data), len(users), len(recent), radio)
+    assert r.modulo_top == (top if top is not None else "-")
