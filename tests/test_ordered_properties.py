@@ -150,3 +150,38 @@ def test_footprint_kpis_matches_brute_force(spark, rows):
     assert (r.total_acciones, r.usuarios_activos, r.usuarios_conectados, r.tiempo_radio) == \
         (len(data), len(users), len(recent), radio)
     assert r.modulo_top == (top if top is not None else "-")
+
+
+@SETTINGS
+@given(links=st.lists(st.tuples(st.integers(0, 4), st.integers(0, 6)), max_size=20),
+       names=st.lists(st.one_of(st.none(), st.sampled_from(["Arte", "Física", "Derecho", "Bio"])), min_size=7, max_size=7))
+def test_professor_directory_matches_brute_force(spark, links, names):
+    from campuslens.operators import joins as J
+    prof = spark.createDataFrame([(p, p + 100) for p in range(5)], "id_profesor long, id_usuario long")
+    users = spark.createDataFrame([(p + 100, f"P{p}", f"p{p}@x") for p in range(4)],
+                                  "id_usuario long, nombre string, correo string")
+    dim = spark.createDataFrame(list(enumerate(names)), "id_departamento long, nombre string")
+    bridge = spark.createDataFrame(links, "id_profesor long, id_departamento long")
+    got = {r.id: r.departamentos for r in
+           J.professor_directory(prof, users, [J.Bridge(bridge, dim, "id_departamento", out="departamentos")]).collect()}
+    want = {}
+    for p in range(5):
+        found = {names[d] for q, d in links if q == p and names[d] is not None}
+        want[p] = ", ".join(sorted(found, key=lambda s: s.encode()))
+    assert got == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 5))), max_size=25))
+def test_latest_per_key_matches_brute_force(spark, rows):
+    from campuslens.operators import windows as W
+    data = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id_posicion long, id_bus long, t long")
+    got = {r.id_bus: r.id_posicion for r in W.latest_per_key(df, "id_bus", ["t"]).collect()}
+    want = {}
+    for i, k, t in data:
+        # PostgreSQL ORDER BY t DESC: NULL first; ties by the greater id
+        rank = (t is None, t if t is not None else 0, i)
+        if k not in want or rank > want[k][0]:
+            want[k] = (rank, i)
+    assert got == {k: v[1] for k, v in want.items()}
