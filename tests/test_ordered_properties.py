@@ -1,6 +1,9 @@
-"""Property tests of the range-partitioned order helpers against a
-brute-force Python computation on random small inputs (NULL keys,
-repeated times, skewed keys, any number of ranges)."""
+"""Property tests against brute-force Python computations on random small
+inputs: the range-partitioned order helpers (NULL keys, repeated times,
+skewed keys, any number of ranges) and the operators whose plans differ
+most from the reference's query text (attendance range join, factored
+passenger count, change replay, fused KPI row, bridge aggregation,
+latest row per key)."""
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
