@@ -53,7 +53,11 @@ def _bucket_keys(spark, n: int) -> DataFrame:
     give that task several times the average load.  Candidates are the
     first 40n integers (a bucket is missed with probability about e^-40);
     the result has n rows."""
-    key = (spark.sparkContext.applicationId, n)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no context; one cache entry per session object
+        app = str(id(spark))
+    key = (app, n)
     if key not in _BUCKET_KEYS:
         cand = spark.range(0, 40 * n).select(
             F.col("id").alias("_bk"), F.pmod(F.hash(F.col("id")), F.lit(n)).cast("long").alias("_pid"))

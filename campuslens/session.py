@@ -52,12 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     unset (local tests) is a folder chosen, and then it is registered
     with the session so ``DataFrame.checkpoint`` uses it too.
     """
+    context = _context(spark)
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if context is not None and context.getCheckpointDir() is None:
+            context.setCheckpointDir(current)
         return current
-    set_on_context = spark.sparkContext.getCheckpointDir()
+    set_on_context = context.getCheckpointDir() if context is not None else None
     if set_on_context:
         # the application chose a folder with SparkContext.setCheckpointDir;
         # its parent is the shared folder it named (Spark adds a subfolder)
@@ -66,10 +67,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return base
     path = fallback or os.environ.get("CAMPUSLENS_CHECKPOINT_DIR") or "/tmp/campuslens-checkpoints"
     spark.conf.set(CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if context is not None:
+        context.setCheckpointDir(path)
     return path
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect
+    session, which has none (the folder is then read from the conf only)."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never reused)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
