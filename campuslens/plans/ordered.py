@@ -9,9 +9,10 @@ rows), so these helpers split the order into ranges instead:
    inside each range on the order plus every other column.
 2. The position inside a range comes from ``monotonically_increasing_id``
    (it encodes the partition id in the upper bits).  The ranged frame is
-   written once to the shared checkpoint folder as a table bucketed by
-   range id, so range ids and positions are read, not recomputed, and the
-   per-range steps need no further exchange.
+   written once to the shared checkpoint folder as a table bucketed with
+   exactly one range per bucket (bucket key values chosen by their Spark
+   hash), so range ids and positions are read, not recomputed, and the
+   per-range steps need no further exchange and stay balanced.
 3. Per-range row counts and last values form a table of at most ``n``
    rows.  Prefix sums / "previous range" values over that table are the
    only single-partition step, and its size is bounded by ``n``; it is
