@@ -188,3 +188,17 @@ def test_stream_report_gaps_equals_batch_over_several_batches(spark, scratch):
                           id_col="id_posicion")
     want = sorted((r.id_posicion, r.minutos, r.alerta) for r in batch.collect())
     assert got == want
+
+
+def test_long_running_trigger_with_files_arriving(spark, scratch):
+    src, out, ck = f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck"
+    schema = land(spark, [pos(1, 1, "2024-01-01 10:00:00")], POS, src)
+    q = jobs.start_stream_latest_position(spark, src, out, ck, schema, trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+        land(spark, [pos(2, 1, "2024-01-01 11:00:00"), pos(3, 2, "2024-01-01 09:00:00")], POS, src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r.id_bus, r.id_posicion) for r in jobs.read_snapshot(spark, out).collect())
+    assert got == [(1, 2), (2, 3)]
