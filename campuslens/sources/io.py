@@ -61,11 +61,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def chart_series(df: DataFrame, label: str, value: str, order_by: list | None = None) -> DataFrame:
-    """(label, value) rows in chart order."""
+    """(label, value) rows in chart order (``order_by`` columns, ascending
+    with NULL last; default: the label)."""
+    renamed = {label: "label", value: "value"}
     order = order_by or [label]
-    return df.select(F.col(label).alias("label"), F.col(value).alias("value"), *[
-        F.col(o) for o in order if o not in (label, value)]).orderBy(
-        *[C.asc_pg(o if o not in (label,) else "label") for o in order]).select("label", "value")
+    extra = [o for o in order if o not in renamed]
+    out = df.select(F.col(label).alias("label"), F.col(value).alias("value"), *extra)
+    return out.orderBy(*[C.asc_pg(renamed.get(o, o)) for o in order]).select("label", "value")
 
 
 def _search_predicate(df: DataFrame, search: str) -> Column:

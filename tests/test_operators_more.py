@@ -149,3 +149,9 @@ def test_update_keep_blank_reduces_repeated_changes(spark):
     assert got == [(1, "A2", "h1")]
     got2 = CH.update_keep_blank(base, ch.drop("seq"), "id", ["nombre", "pw"], ["pw"]).collect()
     assert len(got2) == 1
+
+
+def test_chart_series_orders_by_value_or_other_columns(spark):
+    df = spark.createDataFrame([("a", 3.0, 2), ("b", 1.0, 1), ("c", 2.0, 3)], "n string, v double, k long")
+    assert [r.label for r in io.chart_series(df, "n", "v", ["v"]).collect()] == ["b", "c", "a"]
+    assert [r.label for r in io.chart_series(df, "n", "v", ["k"]).collect()] == ["b", "a", "c"]
