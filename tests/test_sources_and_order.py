@@ -120,3 +120,11 @@ def test_ranged_tables_live_in_scratch_database(spark):
     assert out.count() == 50
     assert ordered.drop_ranged_tables(spark) >= 1
     assert ordered.drop_ranged_tables(spark) == 0
+
+
+def test_checkpoint_dir_from_session_wins(spark):
+    from campuslens.session import ensure_checkpoint_dir, scratch_path
+    current = spark.conf.get("spark.checkpoint.dir")
+    assert ensure_checkpoint_dir(spark, "/somewhere/else") == current      # never overridden once set
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b and a.startswith(current.rstrip("/") + "/x-")
