@@ -222,19 +222,22 @@ def classes_per_month(df: DataFrame, start: str = "fecha_inicio") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total")).orderBy(C.asc_pg("mes")))
 
 
-def radio_kpis(listeners: DataFrame, programs: DataFrame, title: str = "titulo_programa") -> DataFrame:
+def radio_kpis(listeners: DataFrame, programs: DataFrame, title: str = "titulo_programa",
+               pid: str = "id") -> DataFrame:
     """Total listeners, mean per programme (1 decimal) and the top title,
-    over all programmes (those without listeners count as 0).
+    over all programme titles (those without listeners count as 0).  Ties
+    go to the title of the smallest programme id, as the page keeps the
+    programme listing's id order when it sorts.
 
     ``listeners`` is the output of ``radio_listeners`` (programa, oyentes)."""
-    titles = programs.select(F.col(title).alias("programa")).distinct()
+    titles = programs.groupBy(F.col(title).alias("programa")).agg(F.min(pid).alias("_first_id"))
     per = titles.join(listeners, "programa", "left").select(
-        "programa", F.coalesce(F.col("oyentes"), F.lit(0)).alias("oyentes"))
+        "programa", "_first_id", F.coalesce(F.col("oyentes"), F.lit(0)).alias("oyentes"))
+    top = F.min(F.struct((-F.col("oyentes")).alias("n"), F.col("_first_id"), F.col("programa")))
     return per.agg(
         F.coalesce(F.sum("oyentes"), F.lit(0)).cast("long").alias("total_oyentes"),
         F.round(F.coalesce(F.sum("oyentes") / F.count(F.lit(1)), F.lit(0.0)), 1).cast("double").alias("promedio_oyentes"),
-        F.coalesce(F.min(F.struct((-F.col("oyentes")).alias("n"), F.col("programa")))["programa"],
-                   F.lit("-")).alias("top_programa"))
+        F.coalesce(top["programa"], F.lit("-")).alias("top_programa"))
 
 
 def bounds(df: DataFrame, lat: str = "latitud", lng: str = "longitud", by: str | None = None) -> DataFrame:

@@ -82,9 +82,9 @@ def test_attendance_kpis_null_in_neither(spark):
 
 def test_radio_kpis_counts_programs_without_listeners(spark):
     listeners = spark.createDataFrame([("A", 3), ("B", 3)], "programa string, oyentes long")
-    programs = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D")], "id long, titulo_programa string")
+    programs = spark.createDataFrame([(2, "A"), (1, "B"), (3, "C"), (4, "D")], "id long, titulo_programa string")
     r = A.radio_kpis(listeners, programs).first()
-    assert (r.total_oyentes, r.promedio_oyentes, r.top_programa) == (6, 1.5, "A")
+    assert (r.total_oyentes, r.promedio_oyentes, r.top_programa) == (6, 1.5, "B")   # tie: smallest id
     empty = A.radio_kpis(listeners.limit(0), programs.limit(0)).first()
     assert (empty.total_oyentes, empty.promedio_oyentes, empty.top_programa) == (0, 0.0, "-")
 
