@@ -47,15 +47,22 @@ def recent_alerts(alerts: DataFrame, n: int = 50, time: str = "timestamp", id_co
 MEDALS = ("🥇", "🥈", "🥉")
 
 
-def rank_medals(df: DataFrame, key: str, alias: str = "total") -> DataFrame:
-    """Count per key, rank by count (ties by key), medal for ranks 1-3.
+def rank_medals(df: DataFrame, key: str, alias: str = "total", first_seen: str | None = None) -> DataFrame:
+    """Count per key, rank by count, medal for ranks 1-3.  Ties keep the
+    order in which the keys first appear (``first_seen``, the page's
+    stable sort over its history), then the key itself.
 
     The count is a grouped aggregate; the ranking runs on its result
     through the range-partitioned global order, so even a very large
     number of keys never lands in one task."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(alias))
-    ranked = ordered.global_row_number(counts, [F.col(alias).desc(), F.col(key).asc_nulls_last()],
-                                       {alias, key}, out="posicion")
+    aggs = [F.count(F.lit(1)).alias(alias)]
+    order = [F.col(alias).desc()]
+    if first_seen:
+        aggs.append(F.min(first_seen).alias("_first"))
+        order.append(F.col("_first").asc_nulls_last())
+    counts = df.groupBy(key).agg(*aggs)
+    order.append(F.col(key).asc_nulls_last())
+    ranked = ordered.global_row_number(counts, order, {alias, key, "_first"}, out="posicion")
     medal = F.when(F.col("posicion") == 1, F.lit(MEDALS[0])) \
         .when(F.col("posicion") == 2, F.lit(MEDALS[1])) \
         .when(F.col("posicion") == 3, F.lit(MEDALS[2])).otherwise(F.lit(""))

@@ -159,9 +159,12 @@ def test_global_row_number_with_hot_key(spark):
 
 
 def test_rank_medals_ties(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c",), ("d",)], "lugar string")
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("b", 4), ("c", 6), ("d", 5)], "lugar string, t long")
     got = [(r.lugar, r.posicion, r.medalla) for r in W.rank_medals(df, "lugar").orderBy("posicion").collect()]
     assert got == [("a", 1, "🥇"), ("b", 2, "🥈"), ("c", 3, "🥉"), ("d", 4, "")]
+    # with the first-seen order, as the page's stable sort: b (t=1) before a (t=2), d (t=5) before c (t=6)
+    got = [r.lugar for r in W.rank_medals(df, "lugar", first_seen="t").orderBy("posicion").collect()]
+    assert got == ["b", "a", "d", "c"]
 
 
 CODE_SCHEMA = "id_qr long, id_aula long, codigo_qr string, fecha_generacion timestamp_ntz, valido_hasta timestamp_ntz"
