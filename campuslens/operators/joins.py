@@ -165,7 +165,7 @@ def passengers_by_route(routes: DataFrame, stops: DataFrame, passengers: DataFra
 def validate_attendance(scans: DataFrame, codes: DataFrame, room: str = "id_aula", time: str = "hora_scan",
                         code: str = "codigo_qr", code_id: str = "id_qr", code_text: str = "codigo_qr",
                         valid_from: str = "fecha_generacion", valid_to: str = "valido_hasta",
-                        bucket_days: int = 7, salts: int = 8) -> DataFrame:
+                        bucket_days: int = 7) -> DataFrame:
     """A verdict for every scan: among the room's codes whose window
     [from, to] contains the scan time (ends inclusive), take the newest
     (greatest ``from``, then greatest id); the scan is valid iff that
@@ -174,34 +174,30 @@ def validate_attendance(scans: DataFrame, codes: DataFrame, room: str = "id_aula
     Plan: identical scans are collapsed first (``copias`` keeps their
     number).  The range join uses an equi-key (room, time bucket of
     ``bucket_days``); each code is listed under every bucket its window
-    touches, so only codes that can overlap a scan are compared.  Each
-    (room, bucket) is further split into ``salts`` parts by a hash of the
-    scan row, and the codes (few per room and bucket) are repeated for
-    every salt.  A room-week holding a large share of the scans is then
-    joined by ``salts`` tasks instead of one.  AQE could not split it,
-    because the aggregation above relies on the join's partitioning.
-    The newest code per scan is a max-aggregation grouped by the scan's
-    own columns with its bucket and salt, which the join output is
-    already partitioned by."""
+    touches, so only codes that can overlap a scan are compared.  The
+    newest code per scan is a max-aggregation grouped by the scan's own
+    columns only.  When the codes are broadcast, the join output is
+    already partitioned that way (no exchange).  When both sides are
+    shuffled, the aggregation has its own exchange, so the join's
+    partitioning is free for AQE to split a (room, bucket) that holds a
+    large share of the scans (skew-join handling)."""
     day0 = F.lit("1970-01-01").cast("date")
 
     def bucket(c):
         return F.floor(F.datediff(F.to_date(c), day0) / F.lit(bucket_days)).cast("long")
 
     s = scans.groupBy(*scans.columns).agg(F.count(F.lit(1)).alias("copias"))
-    s = (s.withColumn("_bk", bucket(time))
-         .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in scans.columns]), F.lit(salts))))
+    s = s.withColumn("_bk", bucket(time))
     c = (codes.select(F.col(room).alias("_room"), F.col(code_id).alias("_qr"), F.col(code_text).alias("_code"),
                       F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"))
          .where(F.col("_from").isNotNull() & F.col("_to").isNotNull() & (F.col("_from") <= F.col("_to")))
-         .withColumn("_bk", F.explode(F.sequence(bucket("_from"), bucket("_to"))))
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
-    cond = ((s[room] == c["_room"]) & (s["_bk"] == c["_bk"]) & (s["_salt"] == c["_salt"])
+         .withColumn("_bk", F.explode(F.sequence(bucket("_from"), bucket("_to")))))
+    cond = ((s[room] == c["_room"]) & (s["_bk"] == c["_bk"])
             & (s[time] >= c["_from"]) & (s[time] <= c["_to"]))
     j = s.join(c, cond, "left")
     keys = scans.columns + ["copias"]
     best = F.max(F.struct(F.col("_from"), F.col("_qr"), F.col("_code"))).alias("_best")
-    g = j.groupBy(*[s[k] for k in keys], s["_bk"], s["_salt"]).agg(best)
+    g = j.groupBy(*[s[k] for k in keys]).agg(best)
     return g.select(*keys,
                     F.col("_best._qr").alias("id_qr_vigente"),
                     F.col("_best._code").alias("codigo_vigente"),
