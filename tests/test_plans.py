@@ -49,3 +49,37 @@ def test_footprint_kpis_reads_the_table_once(spark):
 def test_day_layout_prunes_partitions(spark):
     p = plan(E.queries()["history_by_day"](spark, SF))
     assert "PartitionFilters: [isnotnull(dia" in p
+
+
+def test_hot_room_week_is_split_by_aqe_skew_join(spark):
+    from pyspark.sql import functions as F
+
+    from campuslens.operators import joins as J
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        scans = spark.range(60000).select(
+            F.col("id").alias("id_profesor"),
+            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("id_aula"),
+            F.lit("X").alias("codigo_qr"),
+            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id") % 24)).alias("hora_scan"))
+        codes = spark.range(500).select(
+            F.col("id").alias("id_qr"), F.col("id").alias("id_aula"), F.lit("X").alias("codigo_qr"),
+            F.lit("2024-01-01").cast("timestamp_ntz").alias("fecha_generacion"),
+            F.lit("2025-01-01").cast("timestamp_ntz").alias("valido_hasta"))
+        df = J.validate_attendance(scans, codes)
+        rows = df.collect()
+        assert len(rows) == 60000 and all(r.valida for r in rows)
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
