@@ -152,6 +152,13 @@ class Scorer:
         return self.langs[best], float(share[best])
 
 
+def _ready(model: dict) -> Scorer:
+    if model["key"] not in _READY:
+        _READY.clear()
+        _READY[model["key"]] = Scorer(model)
+    return _READY[model["key"]]
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -160,11 +167,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                          StructField("score", DoubleType(), False)])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value["key"]
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Scorer(shared.value)
-        own = _READY[key]
+        own = _ready(shared.value)
         for b in batches(stream):
             found = [own.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()),
@@ -174,11 +177,15 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a determined language of at least ``min_score``; the model is
-    learned from the labelled rows of ``docs``.  All columns stay as they were."""
-    model = learn(training_rows(docs, id_col, text_col, lang_col))
-    good = predict(docs, model, id_col, text_col).where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("doc_id").distinct()
-    return docs.join(good.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*docs.columns)
+def accepted(docs: DataFrame, model: dict, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a determined language of at least ``min_score``, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _ready(shared.value)
+        for b in batches(stream):
+            found = [own.predict(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ import public_tokenizers
 from . import bpe as _bpe
 from . import decontaminate as _decontaminate
 from . import langid as _langid
+from . import urlfilter as _urlfilter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = _langid.learn(_langid.training_rows(docs.where(~held_out)))
     return _langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: Verdict, host and path of the rules.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: by rule, else by the ratio of two character models."""
+    return _urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
