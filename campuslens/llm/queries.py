@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from . import ann as _ann
 from . import bpe as _bpe
 from . import decontaminate as _decontaminate
 from . import langid as _langid
@@ -65,3 +66,9 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: by rule, else by the ratio of two character models."""
     return _urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every vector whose id is divisible by 50."""
+    return _ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
