@@ -13,6 +13,7 @@ from . import ann as _ann
 from . import bpe as _bpe
 from . import decontaminate as _decontaminate
 from . import langid as _langid
+from . import minhash as _minhash
 from . import urlfilter as _urlfilter
 from .common import read_table
 
@@ -72,3 +73,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors found for every vector whose id is divisible by 50."""
     return _ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op2_minhash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document (probability Jaccard of 5-word shingles, 0.8 or more)."""
+    return _minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
