@@ -107,8 +107,8 @@ def _node(packed: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``node`` (16 bytes; null without words) and ``sketch`` of every row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id``, ``key`` (hash of id and text), ``node`` (16 bytes; null without words) and ``sketch`` of every row."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +117,10 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             sketch = prob_minhash(h, w, bounds, BANDS * ROWS)
             nodes = [_node(_pack(h[x:y], w[x:y])) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
-                ["doc_id", "node", "sketch"])
+                [b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                ["doc_id", "key", "node", "sketch"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, node binary, sketch binary")
+    return source.mapInArrow(run, f"doc_id {id_type}, key long, node binary, sketch binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -202,8 +202,9 @@ def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per document row: ``doc_id``, ``class_id`` (the smallest id of its class),
-    ``class_size`` (rows), ``n_texts`` (different weighted sets) and ``first`` (true for one row of the class)."""
+    """One row per document row: ``doc_id``, ``key`` (hash of id and text), ``class_id`` (the smallest id
+    of its class), ``class_size`` (rows), ``n_texts`` (different weighted sets) and ``first`` (true for the
+    rows of one document of the class)."""
     rows = saved(sketches(docs, n, id_col, text_col), "sketches")
     nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch")), "nodes")
@@ -233,14 +234,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     roots = components(links)
 
     # classes
-    whole = rows.select("doc_id", "node").join(roots, "node", "left").select(
-        "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    whole = rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
+        "doc_id", "key", "node", F.coalesce("root", "node").alias("root"))
     sizes = whole.where("root IS NOT NULL").groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
-        F.count_distinct("node").alias("n_texts"), F.min(F.struct("doc_id", "node")).alias("least"))
+        F.count_distinct("node").alias("n_texts"), F.min(F.struct("doc_id", "key")).alias("least"))
     out = whole.where("root IS NOT NULL").join(sizes, "root").withColumn(
-        "first", F.struct("doc_id", "node").eqNullSafe(F.col("least")))
+        "first", F.struct("doc_id", "key").eqNullSafe(F.col("least")))
     alone = whole.where("root IS NULL").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
+        "doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
         F.lit(0).cast("long").alias("n_texts"), F.lit(True).alias("first"))
-    return out.select("doc_id", "class_id", "class_size", "n_texts", "first").union(alone)
+    return out.select("doc_id", "key", "class_id", "class_size", "n_texts", "first").union(alone)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The first document (by id) of each class, once if its row is repeated; all columns as they were."""
+    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("first").select(
+        F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"))
+    kept = own.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

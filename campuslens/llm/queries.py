@@ -14,6 +14,7 @@ from . import bpe as _bpe
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import minhash as _minhash
+from . import paragraphs as _paragraphs
 from . import urlfilter as _urlfilter
 from .common import read_table
 
@@ -78,4 +79,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document (probability Jaccard of 5-word shingles, 0.8 or more)."""
-    return _minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return _minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("key")
+
+
+@query("op6_paragraph_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the paragraphs and passages that an earlier one has."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = _paragraphs.without_duplicates(docs)
+    return kept.select(
+        "doc_id", F.coalesce(F.octet_length("text") + F.col("removed.bytes"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col("removed.bytes").alias("n_removed"), F.col("removed.spans").alias("n_spans"),
+        F.col("removed.first_docs").alias("first_doc_ids"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -1,23 +1,57 @@
-"""Cleaning of a training corpus: five operators of campuslens.llm in a row."""
+"""Cleaning of a training corpus: five operators of campuslens.llm in a row.
+
+Every stage reads all documents that the stage before kept, and all
+stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from campuslens.llm import decontaminate as D
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from campuslens.llm import bpe, langid, minhash, paragraphs
+from campuslens.llm import decontaminate as benchmark
 from campuslens.llm.common import read_table, saved
 
 
-def decontaminate(spark, docs, sf_dir):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a determined language; the model learns from the labelled ones."""
+    return langid.accepted(docs, langid.learn(langid.training_rows(docs)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (the one with the smallest id)."""
+    return minhash.one_of_each(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs and passages that an earlier one has; ``n_chars`` follows
+    the text, and a document of which nothing is left goes."""
+    kept = paragraphs.without_duplicates(docs)
+    left = kept.where("removed.bytes = 0 OR trim(text) <> ''")
+    return left.selectExpr(*(
+        f"IF(removed.bytes > 0, CAST(length(text) AS BIGINT), {c}) AS {c}" if c == "n_chars" else c for c in docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window of 10 words."""
-    return D.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    return benchmark.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("decontaminate", decontaminate)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings),
+          ("decontaminate", decontaminate), ("tokens", tokens)]
 
-#: Not expressible in SQL as a whole; tests/llm compares every stage with a brute-force version.
+#: SQL expresses neither the language model nor the banding nor BPE; tests/llm holds the
+#: stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
