@@ -15,6 +15,7 @@ from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import minhash as _minhash
 from . import paragraphs as _paragraphs
+from . import quality as _quality
 from . import urlfilter as _urlfilter
 from .common import read_table
 
@@ -91,3 +92,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text") + F.col("removed.bytes"), F.lit(0)).cast("long").alias("n_bytes"),
         F.col("removed.bytes").alias("n_removed"), F.col("removed.spans").alias("n_spans"),
         F.col("removed.first_docs").alias("first_doc_ids"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_importance_resampling")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight, and whether it is drawn; as many are as the labels call good."""
+    labels = read_table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg("quality")).first()[0]
+    return _quality.resample(read_table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"),
+                             1.0 if share is None else share)
