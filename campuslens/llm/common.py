@@ -58,3 +58,19 @@ def batches(stream: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in stream:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def cut(text: bytes, spans: Iterable[Iterable[int]]) -> tuple[bytes, int, int]:
+    """The text without the spans (start, end), the bytes removed and the number of maximal runs removed."""
+    out, at, removed, runs = [], 0, 0, 0
+    for start, end in sorted(spans):
+        if end <= at:
+            continue
+        if start > at or not runs:
+            runs += 1
+            out.append(text[at:start])
+            at = max(at, start)
+        removed += end - at
+        at = end
+    out.append(text[at:])
+    return b"".join(out), removed, runs

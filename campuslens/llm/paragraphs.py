@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batches, saved
+from .common import batches, cut, saved
 from .components import components
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
@@ -256,22 +256,6 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
         "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc"))
 
 
-def _cut(text: bytes, spans: list[list[int]]) -> tuple[bytes, int, int]:
-    """The text without the spans, the bytes removed and the number of maximal runs removed."""
-    out, at, removed, runs = [], 0, 0, 0
-    for start, end in sorted(spans):
-        if end <= at:
-            continue
-        if start > at or not runs:
-            runs += 1
-            out.append(text[at:start])
-            at = max(at, start)
-        removed += end - at
-        at = end
-    out.append(text[at:])
-    return b"".join(out), removed, runs
-
-
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated units cut out of the text, and a struct
     ``removed``: ``bytes``, ``spans`` (maximal runs) and ``first_docs`` (ids whose units stay)."""
@@ -294,12 +278,12 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             texts, found = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             kept, info = [], []
             for text, x in zip(texts, found, strict=True):
-                cut = (text, 0, 0)
+                left, n_bytes, n_spans = text, 0, 0
                 if text is not None and x["spans"]:
-                    raw, *rest = _cut(text.encode(), x["spans"])
-                    cut = (raw.decode(), *rest)
-                kept.append(cut[0])
-                info.append({"bytes": cut[1], "spans": cut[2], "first_docs": x["first_docs"] or []})
+                    raw, n_bytes, n_spans = cut(text.encode(), x["spans"])
+                    left = raw.decode()
+                kept.append(left)
+                info.append({"bytes": n_bytes, "spans": n_spans, "first_docs": x["first_docs"] or []})
             columns = list(b.columns[:-1])
             columns[at] = pa.array(kept, pa.string())
             ids = b.column(b.num_columns - 1).type.field("first_docs").type

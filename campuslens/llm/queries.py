@@ -16,6 +16,7 @@ from . import langid as _langid
 from . import minhash as _minhash
 from . import paragraphs as _paragraphs
 from . import quality as _quality
+from . import substrings as _substrings
 from . import urlfilter as _urlfilter
 from .common import read_table
 
@@ -101,3 +102,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = labels.agg(F.avg("quality")).first()[0]
     return _quality.resample(read_table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"),
                              1.0 if share is None else share)
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes in 50-byte strings of earlier documents."""
+    return _substrings.without_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
