@@ -17,7 +17,9 @@ from . import minhash as _minhash
 from . import paragraphs as _paragraphs
 from . import quality as _quality
 from . import substrings as _substrings
+from . import tokenids as _tokenids
 from . import urlfilter as _urlfilter
+from ..session import scratch_path
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes in 50-byte strings of earlier documents."""
     return _substrings.without_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_token_ids")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as range-coded records in order of doc_id and read back."""
+    path = scratch_path(spark, "llm-token-ids")
+    _tokenids.write_ids(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2,
+                        cut_at_blanks=True)
+    return _tokenids.with_crc32(_tokenids.read_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
