@@ -8,83 +8,104 @@ anti-join + union, so no step sorts or windows a whole key group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans import ordered
 
 
-def _last_per_key(df: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """The row with the greatest ``seq`` per key (ties by the other columns)."""
-    rest = [c for c in df.columns if c not in key and c != seq]
-    best = F.max(F.struct(F.col(seq), *[F.col(c) for c in rest])).alias("_b")
-    return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_b.{c}").alias(c) for c in [seq] + rest])
+def _replayed(changes: DataFrame, keys: list[str], cols: list[str], seq: str, op: str) -> DataFrame:
+    """What all changes of a key come to, in order of (``seq``, ``op``, other
+    columns): ``_row`` (the last 'I' or 'U'), ``_i`` and ``_d`` (the places
+    of the last 'I' and the last 'D').  Three partial aggregates, so no
+    key's changes are gathered or sorted."""
+    place = F.struct(F.col(seq).alias("seq"), F.col(op).alias("op"))
+    row = F.struct(F.col(seq), F.col(op), *[F.col(c) for c in cols])
+    return changes.groupBy(*keys).agg(
+        F.max(F.when(F.col(op).isin("I", "U"), row)).alias("_row"),
+        F.max(F.when(F.col(op) == "I", place)).alias("_i"),
+        F.max(F.when(F.col(op) == "D", place)).alias("_d"))
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: str | list[str], seq: str = "seq",
                   op: str = "op") -> DataFrame:
     """New snapshot after insert ('I'), update ('U') and delete ('D')
-    changes; the last change of a key (greatest ``seq``) wins.
-
-    'U' only touches keys present in ``base`` (an UPDATE of a missing row
-    changes nothing); 'I' of an existing key replaces it; 'D' removes it."""
+    changes, applied one after another in order of ``seq`` (equal ``seq``:
+    'D' before 'I' before 'U').
+
+    'U' changes only a row that exists at that point (an UPDATE of a
+    missing row does nothing); 'I' of an existing key replaces it; 'D'
+    removes it.  So a key ends up present if its last 'I' comes after its
+    last 'D', or if it has neither and is in ``base``; its row is then that
+    of its last 'I' or 'U'."""
     keys = [key] if isinstance(key, str) else list(key)
-    last = _last_per_key(changes, keys, seq)
-    cols = base.columns
+    cols = [c for c in base.columns if c not in keys]
+    last = _replayed(changes, keys, cols, seq, op)
     # Which changed keys exist in the base.  The base's keys are semi-joined
     # with the changed keys (small in the usual case, so AQE broadcasts
     # them and the base is streamed, never shuffled).
     present = (base.select(*keys).join(last.select(*keys), keys, "left_semi").distinct()
                .withColumn("_in_base", F.lit(True)))
     flagged = last.join(present, keys, "left")
-    new_rows = flagged.where((F.col(op) == "I") | ((F.col(op) == "U") & F.col("_in_base").isNotNull()))
+    lives = F.when(F.col("_i").isNotNull(), F.col("_d").isNull() | (F.col("_i") > F.col("_d"))).otherwise(
+        F.col("_d").isNull() & F.col("_in_base").isNotNull())
+    new_rows = flagged.where(lives & F.col("_row").isNotNull()).select(
+        *keys, *[F.col("_row")[c].alias(c) for c in cols])
     # The base itself is only anti-joined with the changed keys; when the
     # change set is small AQE broadcasts it and the base is never shuffled.
     kept = base.join(last.select(*keys), keys, "left_anti")
-    return kept.unionByName(new_rows.select(*cols))
+    return kept.unionByName(new_rows.select(*base.columns))
 
 
 def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq: str = "seq",
                   op: str = "op") -> DataFrame:
-    """The rows each effective change returns (``RETURNING *``): the new
-    row for I/U, the removed row for D; changes that touch nothing are
-    left out.  One left join of the last change per key with the base."""
+    """The row each effective change returns (``RETURNING *``), with its
+    ``seq``: the new row for I/U, the removed row for D.  Changes that touch
+    nothing (U or D of a key that is missing at that point) return none.
+
+    Changes are applied in order, as in ``apply_changes``: whether a key
+    exists before a change follows from the last I or D before it, else
+    from the base, and the row that a D removes is that of the last I or U
+    before it, else the base's."""
     keys = [key] if isinstance(key, str) else list(key)
-    last = _last_per_key(changes, keys, seq)
     cols = [c for c in base.columns if c not in keys]
+    order = [F.col(seq), F.col(op), *[F.col(c) for c in cols]]
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct(*[F.col(c) for c in cols])
+    ch = changes.select(
+        *keys, seq, op, *cols,
+        F.last(F.when(F.col(op).isin("I", "D"), F.col(op)), ignorenulls=True).over(before).alias("_was"),
+        F.last(F.when(F.col(op).isin("I", "U"), row), ignorenulls=True).over(before).alias("_shown"))
     # only the base rows of changed keys take part in the join
-    touched = base.join(last.select(*keys), keys, "left_semi")
-    b = touched.select(*keys, *[F.col(c).alias("_old_" + c) for c in cols], F.lit(True).alias("_in_base"))
-    j = last.join(b, keys, "left")
-    effective = (F.col(op) == "I") | ((F.col(op).isin("U", "D")) & F.col("_in_base").isNotNull())
-    shown = [F.when(F.col(op) == "D", F.col("_old_" + c)).otherwise(F.col(c)).alias(c) for c in cols]
-    return j.where(effective).select(F.col(op), *keys, *shown)
+    touched = base.join(changes.select(*keys).distinct(), keys, "left_semi")
+    b = touched.select(*keys, F.struct(*[F.col(c) for c in cols]).alias("_old"), F.lit(True).alias("_in_base"))
+    j = ch.join(b, keys, "left")
+    exists = F.when(F.col("_was").isNull(), F.col("_in_base").isNotNull()).otherwise(F.col("_was") == "I")
+    gone = F.coalesce("_shown", "_old")
+    shown = [F.when(F.col(op) == "D", gone[c]).otherwise(F.col(c)).alias(c) for c in cols]
+    return j.where((F.col(op) == "I") | (F.col(op).isin("U", "D") & exists)).select(F.col(op), F.col(seq), *keys, *shown)
 
 
-def update_keep_blank(base: DataFrame, changes: DataFrame, key: str, cols: list[str],
+def update_keep_blank(base: DataFrame, changes: DataFrame, key: str | list[str], cols: list[str],
                       keep_if_blank: list[str], seq: str | None = None) -> DataFrame:
     """UPDATE of existing rows: ``cols`` take the new value, except that a
     blank or NULL new value in a ``keep_if_blank`` column keeps the old one.
     Rows without a change are unchanged; changes to missing keys do nothing.
-    Several changes of one key are reduced to one first: the last by
-    ``seq``, or without ``seq`` the greatest row (so the result is
-    repeatable and base rows are never duplicated)."""
-    if seq is None:
-        changes = changes.withColumn("_seq", F.lit(0))
-        seq = "_seq"
-    ch = _last_per_key(changes.select(key, seq, *cols), [key], seq)
-    ch = ch.select(key, *[F.col(c).alias("_new_" + c) for c in cols], F.lit(True).alias("_hit"))
-    j = base.join(ch, key, "left")
+    Several changes of one key are applied in order of ``seq`` (without
+    ``seq``: of the row), so a ``keep_if_blank`` column ends with the last
+    value that was not blank."""
+    keys = [key] if isinstance(key, str) else list(key)
+    row = F.struct(*([F.col(seq).alias("_seq")] if seq else []), *[F.col(c).alias("_" + c) for c in cols])
+    ch = changes.groupBy(*keys).agg(F.max(row).alias("_last"), *[
+        F.max(F.when(C.blank_to_null(c).isNotNull(), row))["_" + c].alias("_kept_" + c) for c in keep_if_blank])
+    j = base.join(ch, keys, "left")
     out = []
     for c in base.columns:
-        if c in cols:
-            new = C.blank_to_null("_new_" + c) if c in keep_if_blank else F.col("_new_" + c)
-            if c in keep_if_blank:
-                val = F.coalesce(new, F.col(c))
-            else:
-                val = new
-            out.append(F.when(F.col("_hit").isNotNull(), val).otherwise(F.col(c)).alias(c))
+        if c in keep_if_blank:
+            out.append(F.coalesce(C.blank_to_null("_kept_" + c), F.col(c)).alias(c))
+        elif c in cols:
+            out.append(F.when(F.col("_last").isNotNull(), F.col("_last")["_" + c]).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return j.select(*out)
@@ -93,18 +114,21 @@ def update_keep_blank(base: DataFrame, changes: DataFrame, key: str, cols: list[
 def insert_ignore(base: DataFrame, new: DataFrame, key: str | list[str], seq: str | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT DO NOTHING``: new rows whose unique key is
     absent from ``base`` are appended; among new rows repeating a key the
-    first (smallest ``seq``) is kept."""
+    first (smallest ``seq``) is kept.  A key with a NULL conflicts with
+    nothing, as SQL UNIQUE does, so all rows with one are appended."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in new.columns if c not in keys]
     order = [F.col(seq)] if seq else []
     first = F.min(F.struct(*order, *[F.col(c) for c in rest if c != seq])).alias("_b")
-    firsts = new.where(C.all_of([F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(first)
-    firsts = firsts.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest if c != seq])
+    whole = C.all_of([F.col(k).isNotNull() for k in keys])
+    firsts = new.where(whole).groupBy(*keys).agg(first)
+    firsts = firsts.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest if c != seq or c in base.columns])
     # base keys that collide with a new row (the new rows are usually few,
     # so they are broadcast and the base is streamed)
     taken = base.select(*keys).join(firsts.select(*keys), keys, "left_semi").distinct()
     fresh = firsts.join(taken, keys, "left_anti")
-    return base.unionByName(fresh.select(*base.columns))
+    return (base.unionByName(fresh.select(*base.columns))
+            .unionByName(new.where(~whole).select(*base.columns)))
 
 
 def replace_links(bridge: DataFrame, new: DataFrame, parent: str, touched: DataFrame | None = None) -> DataFrame:
@@ -118,53 +142,69 @@ def replace_links(bridge: DataFrame, new: DataFrame, parent: str, touched: DataF
     return kept.unionByName(new.select(*bridge.columns).distinct())
 
 
-def cascade_delete(tables: dict[str, DataFrame], fks: list[tuple[str, str, str, str]], root: str,
-                   ids: DataFrame, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Delete ``ids`` (one column, named like the root's key) from ``root``
-    and, following ``fks`` = [(child, child_col, parent, parent_col)], every
-    dependent row (``ON DELETE CASCADE``).  Returns the new tables.
+def _columns(c: str | list[str] | tuple[str, ...]) -> list[str]:
+    return [c] if isinstance(c, str) else list(c)
+
+
+def cascade_delete(tables: dict[str, DataFrame], fks: list[tuple], root: str,
+                   ids: DataFrame) -> dict[str, DataFrame]:
+    """Delete ``ids`` (columns named like the root's key) from ``root`` and,
+    following ``fks`` = [(child, child_cols, parent, parent_cols)] (names or
+    lists of names), every dependent row (``ON DELETE CASCADE``).  Returns
+    the new tables.
 
-    Each level is one semi-join of the child with the distinct referenced
+    A child row goes because a foreign key of it points at a removed row,
+    so each table is anti-joined on those foreign-key columns, whatever its
+    own key is (link tables have keys of several columns).  Parents are
+    done before children; each level is a join with the distinct referenced
     values of the parent's removed rows (usually a small, broadcastable
-    key set); each table is then anti-joined once with its removed keys.
-    ``keys`` names each table's primary key (default: its first column)."""
-    keys = dict(keys or {})
-    pk = {t: keys.get(t, df.columns[0]) for t, df in tables.items()}
-    root_key = ids.columns[0]
-    removed: dict[str, DataFrame] = {
-        root: tables[root].join(ids.select(root_key).distinct(), root_key, "left_semi")}
-    frontier = [root]
-    while frontier:
-        parent = frontier.pop(0)
-        for child, ccol, ptab, pcol in fks:
-            if ptab != parent:
+    set).  A NULL foreign key points at nothing.  Foreign keys in a cycle
+    raise."""
+    links = [(child, _columns(cc), parent, _columns(pc)) for child, cc, parent, pc in fks]
+    order, todo = [], set(tables)
+    while todo:
+        ready = sorted(t for t in todo if not any(c == t and p in todo for c, _, p, _ in links))
+        if not ready:
+            raise ValueError(f"foreign keys form a cycle among {sorted(todo)}")
+        order += ready
+        todo -= set(ready)
+    by_root = ids.select(*ids.columns).distinct()
+    removed = {root: tables[root].join(by_root, ids.columns, "left_semi")}
+    out = dict(tables)
+    out[root] = tables[root].join(by_root, ids.columns, "left_anti")
+    for t in order:
+        if t == root:
+            continue
+        for child, ccols, parent, pcols in links:
+            if child != t or parent not in removed:
                 continue
-            refs = removed[parent].select(F.col(pcol).alias(ccol)).where(F.col(ccol).isNotNull()).distinct()
-            gone = tables[child].join(refs, ccol, "left_semi")
-            removed[child] = gone if child not in removed else removed[child].unionByName(gone)
-            frontier.append(child)
-    out = {}
-    for name, df in tables.items():
-        if name in removed:
-            df = df.join(removed[name].select(pk[name]).distinct(), pk[name], "left_anti")
-        out[name] = df
-    return out
+            refs = removed[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols, strict=True)])
+            refs = refs.dropna().distinct()
+            gone = out[t].join(refs, ccols, "left_semi")
+            removed[t] = removed[t].unionByName(gone) if t in removed else gone
+            out[t] = out[t].join(refs, ccols, "left_anti")
+    return {t: df.select(*tables[t].columns) for t, df in out.items()}
 
 
 def mark_arrival(foot: DataFrame, arrivals: DataFrame, as_of, user: str = "usuario_id",
-                 building: str = "edificio_id", time: str = "llegada") -> DataFrame:
+                 building: str = "edificio_id", time: str = "llegada", searched: str = "fecha_busqueda") -> DataFrame:
     """Set ``tiempo_llegada`` and ``mensaje_enviado`` on every footprint row
     of a (user, building) that arrived; the latest arrival wins and an
-    arrival without a time uses ``as_of``."""
+    arrival without a time uses ``as_of``.  An arrival marks only rows that
+    were there then: those searched later stay as they are (a row without
+    a search time counts as there)."""
     t = F.coalesce(F.col(time), F.lit(as_of).cast("timestamp_ntz"))
     a = arrivals.groupBy(user, building).agg(F.max(t).alias("_t"))
     j = foot.join(a, [user, building], "left")
     prev_t = F.col("tiempo_llegada") if "tiempo_llegada" in foot.columns else F.lit(None).cast("timestamp_ntz")
     prev_m = F.col("mensaje_enviado") if "mensaje_enviado" in foot.columns else F.lit(False)
     cols = [c for c in foot.columns if c not in ("tiempo_llegada", "mensaje_enviado")]
+    marks = F.col("_t").isNotNull()
+    if searched in foot.columns:
+        marks &= F.col(searched).isNull() | (F.col("_t") >= F.col(searched))
     return j.select(*cols,
-                    F.when(F.col("_t").isNotNull(), F.col("_t")).otherwise(prev_t).alias("tiempo_llegada"),
-                    F.when(F.col("_t").isNotNull(), F.lit(True)).otherwise(F.coalesce(prev_m, F.lit(False)))
+                    F.when(marks, F.col("_t")).otherwise(prev_t).alias("tiempo_llegada"),
+                    F.when(marks, F.lit(True)).otherwise(F.coalesce(prev_m, F.lit(False)))
                     .alias("mensaje_enviado"))
 
 

@@ -2,6 +2,7 @@
 the boundary values named in FIXTURES.md §5 (strict comparisons, so the
 exact threshold never alerts)."""
 
+import pytest
 import datetime as dt
 from decimal import Decimal
 
@@ -216,7 +217,7 @@ def test_passengers_by_route_factored_form(spark):
     assert got == {"Norte": 6, "Sur": 2, "Vacia": 2}
 
 
-def test_apply_changes_last_wins(spark):
+def test_apply_changes_in_order(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
     ch = spark.createDataFrame([
         (1, 1, "U", "a1"), (1, 2, "U", "a2"),      # last update wins
@@ -224,9 +225,11 @@ def test_apply_changes_last_wins(spark):
         (4, 1, "I", "d"),
         (5, 1, "U", "ghost"),                      # update of a missing key: nothing
         (3, 1, "D", None), (3, 2, "I", "c2"),      # delete then insert
+        (6, 1, "I", "e"), (6, 2, "U", "e2"),       # insert then update: the row is there
+        (2, 2, "U", "b2"),                         # delete then update: nothing comes back
     ], "k long, seq long, op string, v string")
     got = sorted((r.k, r.v) for r in CH.apply_changes(base, ch, "k").collect())
-    assert got == [(1, "a2"), (3, "c2"), (4, "d")]
+    assert got == [(1, "a2"), (3, "c2"), (4, "d"), (6, "e2")]
 
 
 def test_update_keep_blank(spark):
@@ -243,6 +246,13 @@ def test_insert_ignore_first_duplicate(spark):
     assert got == [("a@x", "A"), ("b@x", "B1")]
 
 
+def test_insert_ignore_keeps_null_keys(spark):
+    base = spark.createDataFrame([("a@x", "A"), (None, "N0")], "correo string, nombre string")
+    new = spark.createDataFrame([(None, "N1", 1), (None, "N2", 2), ("a@x", "A2", 3)], "correo string, nombre string, seq long")
+    got = sorted((r.nombre for r in CH.insert_ignore(base, new, "correo", seq="seq").collect()))
+    assert got == ["A", "N0", "N1", "N2"]
+
+
 def test_replace_links_with_empty_set(spark):
     bridge = spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "id_profesor long, id_departamento long")
     new = spark.createDataFrame([(1, 3)], "id_profesor long, id_departamento long")
@@ -327,6 +337,27 @@ def test_cascade_delete(spark):
     assert [r.n for r in out["nation"].collect()] == [20]
 
 
+def test_cascade_delete_keeps_other_links_of_a_two_column_key(spark):
+    dept = spark.createDataFrame([(1,), (2,)], "d long")
+    links = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (12, None)], "p long, d long")
+    out = CH.cascade_delete({"dept": dept, "links": links}, [("links", ["d"], "dept", ["d"])], "dept",
+                            spark.createDataFrame([(1,)], "d long"))
+    assert sorted(tuple(r) for r in out["links"].collect() if r.d) == [(10, 2), (11, 2)]
+    assert out["links"].where("d IS NULL").count() == 1
+
+
+def test_cascade_delete_through_two_ways_and_cycles(spark):
+    a = spark.createDataFrame([(1,), (2,)], "a long")
+    b = spark.createDataFrame([(1, 1), (2, 2)], "b long, a long")
+    c = spark.createDataFrame([(1, 2, 1), (2, 1, 2), (3, 2, 2)], "c long, b long, a long")
+    fks = [("c", "b", "b", "b"), ("c", "a", "a", "a"), ("b", "a", "a", "a")]
+    out = CH.cascade_delete({"a": a, "b": b, "c": c}, fks, "a", spark.createDataFrame([(1,)], "a long"))
+    assert [r.c for r in out["c"].collect()] == [3] and [r.b for r in out["b"].collect()] == [2]
+    with pytest.raises(ValueError, match="cycle"):
+        CH.cascade_delete({"a": a, "b": b}, [("a", "a", "b", "a"), ("b", "a", "a", "a")], "a",
+                          spark.createDataFrame([(1,)], "a long"))
+
+
 def test_mark_arrival_and_passenger_state(spark):
     foot = spark.createDataFrame([(1, 5, ts("2024-01-01 10:00:00")), (1, 6, ts("2024-01-01 11:00:00"))],
                                  "usuario_id long, edificio_id long, fecha_busqueda timestamp_ntz")
@@ -334,6 +365,8 @@ def test_mark_arrival_and_passenger_state(spark):
     got = {r.edificio_id: (r.tiempo_llegada, r.mensaje_enviado)
            for r in CH.mark_arrival(foot, arr, "2024-01-02 00:00:00").collect()}
     assert got == {5: (ts("2024-01-02 00:00:00"), True), 6: (None, False)}
+    early = spark.createDataFrame([(1, 6, ts("2024-01-01 10:59:59"))], "usuario_id long, edificio_id long, llegada timestamp_ntz")
+    assert not [r for r in CH.mark_arrival(foot, early, "2024-01-02 00:00:00").collect() if r.mensaje_enviado]
     board = spark.createDataFrame([(1, 9), (2, 9)], "id_pasajero long, id_bus long")
     off = spark.createDataFrame([(2,)], "id_pasajero long")
     st = {r.id_pasajero: r.estado for r in CH.passenger_state(board, off).collect()}

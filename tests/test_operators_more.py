@@ -147,6 +147,9 @@ def test_update_keep_blank_reduces_repeated_changes(spark):
     ch = spark.createDataFrame([(1, "A1", "", 1), (1, "A2", None, 2)], "id long, nombre string, pw string, seq long")
     got = [tuple(r) for r in CH.update_keep_blank(base, ch, "id", ["nombre", "pw"], ["pw"], seq="seq").collect()]
     assert got == [(1, "A2", "h1")]
+    ch2 = spark.createDataFrame([(1, "A1", "new", 1), (1, "A2", " ", 2)], "id long, nombre string, pw string, seq long")
+    got = [tuple(r) for r in CH.update_keep_blank(base, ch2, "id", ["nombre", "pw"], ["pw"], seq="seq").collect()]
+    assert got == [(1, "A2", "new")]
     got2 = CH.update_keep_blank(base, ch.drop("seq"), "id", ["nombre", "pw"], ["pw"]).collect()
     assert len(got2) == 1
 

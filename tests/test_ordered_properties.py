@@ -111,24 +111,23 @@ def test_passengers_by_route_equals_the_product_query(spark, routes, stops, pax,
 @SETTINGS
 @given(base=st.lists(st.integers(0, 8), unique=True, max_size=6),
        changes=st.lists(st.tuples(st.integers(0, 10), st.sampled_from("IUD"), st.integers(0, 99)), max_size=12))
-def test_apply_changes_equals_replaying_the_last_change(spark, base, changes):
+def test_apply_changes_and_its_report_equal_replaying_every_change(spark, base, changes):
     from campuslens.operators import changes as CH
     bdf = spark.createDataFrame([(k, f"b{k}") for k in base], "k long, v string")
     cdf = spark.createDataFrame([(k, seq, op, f"c{seq}") for seq, (k, op, _) in enumerate(changes)],
                                 "k long, seq long, op string, v string")
     got = sorted(tuple(r) for r in CH.apply_changes(bdf, cdf, "k").collect())
-    last = {}
-    for seq, (k, op, _) in enumerate(changes):
-        last[k] = (op, f"c{seq}")
     state = {k: f"b{k}" for k in base}
-    for k, (op, v) in last.items():
-        if op == "D":
-            state.pop(k, None)
-        elif op == "I":
-            state[k] = v
-        elif op == "U" and k in state:
-            state[k] = v
+    report = []
+    for seq, (k, op, _) in enumerate(changes):
+        if op == "I" or (op == "U" and k in state):
+            state[k] = f"c{seq}"
+            report.append((op, seq, k, state[k]))
+        elif op == "D" and k in state:
+            report.append((op, seq, k, state.pop(k)))
     assert got == sorted(state.items())
+    shown = [tuple(r) for r in CH.change_report(bdf, cdf, "k").select("op", "seq", "k", "v").collect()]
+    assert sorted(shown) == sorted(report)
 
 
 @SETTINGS

@@ -11,10 +11,10 @@ from campuslens.operators import changes as CH
 from campuslens.operators import joins as J
 from campuslens.operators import quality as Q
 
-DEPTS = ["Ingeniería", "Ciencias Sociales", "Educación", "Informática"]
-DEPTS_AGAIN = ["Ingeniería", "Ciencias Sociales", "Educación"]
-DEGREES = ["Ingeniería Informática", "Pedagogía", "Derecho", "Economía"]
-DEGREES_AGAIN = ["Informática", "Derecho", "Economía"]
+DEPTS = ["Química", "Letras", "Geología", "Marina"]
+DEPTS_AGAIN = ["Química", "Letras", "Geología"]
+DEGREES = ["Biología Marina", "Música", "Turismo", "Danza"]
+DEGREES_AGAIN = ["Marina", "Turismo", "Danza"]
 SUBJECTS = ["Matemáticas", "Física", "Historia"]
 
 
@@ -25,14 +25,14 @@ def rows(names, start=1):
 def test_duplicate_seed_names_are_reported(spark):
     loaded = spark.createDataFrame(rows(DEPTS + DEPTS_AGAIN), "id_departamento long, nombre string")
     got = sorted((r.nombre, r.repeticiones) for r in Q.unique_violations(loaded, ["nombre"]).collect())
-    assert got == [("Ciencias Sociales", 2), ("Educación", 2), ("Ingeniería", 2)]
+    assert got == [("Geología", 2), ("Letras", 2), ("Química", 2)]
 
 
 def test_second_seed_load_with_insert_ignore(spark):
     base = spark.createDataFrame(rows(DEGREES), "id_carrera long, nombre string")
     again = spark.createDataFrame([(i, n, i) for i, n in rows(DEGREES_AGAIN, 5)], "id_carrera long, nombre string, seq long")
     out = CH.insert_ignore(base, again, "nombre", seq="seq")
-    assert sorted(r.nombre for r in out.collect()) == sorted(DEGREES + ["Informática"])
+    assert sorted(r.nombre for r in out.collect()) == sorted(DEGREES + ["Marina"])
 
 
 def test_professor_directory_on_seed_links(spark):
