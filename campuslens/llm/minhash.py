@@ -16,9 +16,12 @@ agree between two documents with the probability Jaccard of their sets.
 3.  Verification computes the exact probability Jaccard of a pair, in two
     waves: the most alike pair of each node, then pairs still in different
     components.
-4.  In buckets whose nodes are then still of several components, every
-    pair of different components is verified if its registers allow a
-    similarity near the threshold.  So no link is lost in a bucket.
+4.  In buckets whose nodes are then still of several components, blocks of
+    nodes are compared in pairs, sketches first: every pair of different
+    components whose registers allow a similarity near the threshold is
+    verified, the most alike first, until its components are joined.  So
+    no class is split by a link that a bucket holds, and no pairs are put
+    out but the links that join components.
 
 Sketches, buckets, shingles and links are tables throughout; nothing that
 grows with the corpus reaches the driver.
@@ -46,6 +49,7 @@ from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_
 
 BANDS, ROWS = 24, 5  #: a pair of similarity 0.8 shares a bucket with probability 0.9999
 PART = 1000
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 MARGIN = 0.13  #: 3.5 standard deviations of the estimate at 0.8 from 120 registers
 
 
@@ -73,6 +77,9 @@ def prob_minhash(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, re
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """Of two weighted sets (ascending hashes, weights): the sum over the common elements d of
     1 / sum over all e of max(x_e / x_d, y_e / y_d)."""
+    if x.max(initial=1) == 1 and y.max(initial=1) == 1:  # plain sets: plain Jaccard
+        both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a) if len(b) else 0
+        return both / max(1, len(a) + len(b) - both)
     every = np.union1d(a, b)
     wx, wy = np.zeros(len(every)), np.zeros(len(every))
     wx[np.searchsorted(every, a)], wy[np.searchsorted(every, b)] = x, y
@@ -200,6 +207,68 @@ def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components in open buckets; ``at``: ``bucket``, ``node``, ``root`` and
+    ``x``, the bucket's smallest root.
+
+    Components that meet in buckets form a group.  A group is cut into blocks of about ``BLOCK`` nodes, blocks of
+    one component where it is that large, and each pair of blocks is one record, unless both hold the same one
+    component.  Comparing a pair of blocks puts out one link at most for each two components that it joins."""
+    groups = components(at.where("root <> x").select(F.col("root").alias("a"), F.col("x").alias("b")).distinct())
+    own = at.select("node", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("group")), "root")
+    own = own.join(sets, "node").join(nodes.select("node", "sketch"), "node")
+    own = saved(own.select("group", "root", "node", "sketch", "packed", F.octet_length("packed").alias("size")), "open")
+    many = own.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn(
+        "one", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(bytearray())))
+    parts = many.groupBy("group", "one").agg(F.ceil(F.greatest(
+        F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
+    dealt = own.join(many.select("group", "root", "one"), ["group", "root"]).join(parts, ["group", "one"])
+    blocks = saved(dealt.groupBy("group", "one", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
+        F.collect_list(F.struct("node", "root", "sketch", "packed")).alias("rows")), "blocks")  # about BLOCK rows
+    key = blocks.select("group", "one", "part")
+    x, y = (key.withColumnsRenamed({"one": f"one_{i}", "part": f"part_{i}"}) for i in "xy")
+    before = (F.struct("one_x", "part_x") < F.struct("one_y", "part_y")) & ((F.octet_length("one_x") == 0) | (F.col("one_x") != F.col("one_y")))
+    same = (F.octet_length("one_x") == 0) & (F.struct("one_x", "part_x") == F.struct("one_y", "part_y"))
+    pairs = x.join(y, "group").where(before | same)
+    for i in "xy":
+        pairs = pairs.join(blocks.withColumnsRenamed({"one": f"one_{i}", "part": f"part_{i}", "rows": f"rows_{i}"}),
+                           ["group", f"one_{i}", f"part_{i}"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream, 1):
+            found = _joining(*(b.column(i)[0].as_py() for i in (0, 1)), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
+                                                  pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+    return pairs.select("rows_x", "rows_y").mapInArrow(run, "a binary, b binary")
+
+
+def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of different components, the most alike first, until no more components join."""
+    up: dict[bytes, bytes] = {}
+
+    def top(r: bytes) -> bytes:
+        while (u := up.get(r, r)) != r:
+            r = u
+        return r
+
+    s, t = (np.frombuffer(b"".join(r["sketch"] for r in rows), "<u4").reshape(len(rows), -1) for rows in (xs, ys))
+    alike = np.zeros((len(xs), len(ys)), np.int16)
+    for i in range(s.shape[1]):
+        alike += s[:, i, None] == t[:, i]
+    sets = [[_unpack(r["packed"]) for r in rows] for rows in (xs, ys)]
+    i, j = np.nonzero(alike >= (threshold - MARGIN) * s.shape[1])
+    out = []
+    for k in np.argsort(-alike[i, j], kind="stable"):
+        x, y = xs[i[k]], ys[j[k]]
+        a, b = top(x["root"]), top(y["root"])
+        if a != b and probability_jaccard(*sets[0][i[k]], *sets[1][j[k]]) >= threshold - 1e-12:
+            up[max(a, b)] = min(a, b)
+            out.append((x["node"], y["node"]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document row: ``doc_id``, ``key`` (hash of id and text), ``class_id`` (the smallest id
@@ -225,12 +294,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
 
     # buckets that still hold several components: every pair across them
     at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
     at = saved(at.join(mixed, "bucket"), "mixed")
-    x, y = (at.select("bucket", F.col("node").alias(m), F.col("root").alias(r)) for m, r in (("a", "ra"), ("b", "rb")))
-    across = x.join(y, "bucket").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = _estimated(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), nodes, threshold - MARGIN)
-    links = links.union(saved(_verified(across, sets, threshold).select("a", "b"), "wave"))
+    links = links.union(saved(_across(at, nodes, sets, threshold), "across"))
     roots = components(links)
 
     # classes
