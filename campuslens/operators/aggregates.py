@@ -284,26 +284,23 @@ def environment_by_day(readings: DataFrame, sensors: DataFrame, types: DataFrame
     """Daily mean reading per sensor type, one column per listed type
     (``columns`` maps a type name to its output column).
 
-    Readings are first reduced to (sensor, day) sums and counts, so the
-    join to the sensor catalogue sees one row per sensor-day, not one per
-    reading; means are recombined exactly from the sums."""
+    The sensor catalogue is cut to the listed types first, so the join
+    drops all other readings before the one aggregation by day, whose
+    partial step leaves a row per day and task to shuffle."""
     if parameter:
         columns = {k: v for k, v in columns.items() if v == parameter}
-    r = readings
+    r = readings.select("id_sensor", "fecha", "valor")
     if start:
         r = r.where(F.col("fecha") >= F.lit(start).cast("date"))
     if end:
         r = r.where(F.col("fecha") <= F.lit(end).cast("date"))
-    per = r.groupBy("id_sensor", "fecha").agg(F.sum("valor").alias("_s"), F.count("valor").alias("_c"))
-    kind = sensors.select("id_sensor", "id_tipo").join(types.select("id_tipo", F.col("nombre").alias("_tipo")), "id_tipo")
-    kind = kind.where(F.col("_tipo").isin(list(columns)))
-    joined = per.join(kind, "id_sensor")
+    wanted = types.where(F.col("nombre").isin(list(columns))).select("id_tipo", F.col("nombre").alias("_tipo"))
+    kind = sensors.select("id_sensor", "id_tipo").join(wanted, "id_tipo").select("id_sensor", "_tipo")
     aggs = []
     for name, out in columns.items():
-        s = F.sum(F.when(F.col("_tipo") == name, F.col("_s")))
-        c = F.sum(F.when(F.col("_tipo") == name, F.col("_c")))
-        aggs.append((s.cast("double") / c).alias(out))
-    return joined.groupBy("fecha").agg(*aggs).orderBy(C.asc_pg("fecha"))
+        value = F.when(F.col("_tipo") == name, F.col("valor"))
+        aggs.append((F.sum(value).cast("double") / F.count(value)).alias(out))
+    return r.join(kind, "id_sensor").groupBy("fecha").agg(*aggs).orderBy(C.asc_pg("fecha"))
 
 
 def wifi_qos_series(wifi: DataFrame, start=None, end=None, time: str = "fecha") -> DataFrame:

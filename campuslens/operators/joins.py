@@ -10,9 +10,11 @@ bridge rows against each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -96,11 +98,16 @@ def attendance_detail(att: DataFrame, professors: DataFrame, users: DataFrame, d
     """Attendance rows with professor, department, degree, subject and
     classroom names.  ``how="inner"`` is the listing (newest first, NULL
     first); ``how="left"`` keeps every attendance row (by id).  The
-    optional filters are applied to attendance before any join."""
+    optional filters are applied to attendance before any join.
+
+    Professors get their names first, dimension to dimension, so the fact
+    meets one named table and has no join on a user id that is NULL for
+    every row without a professor."""
     a = att.where(attendance_filter(department, degree, date))
     prof = professors.select("id_profesor", F.col("id_usuario").alias("_u"))
     usr = users.select(F.col("id_usuario").alias("_u"), F.col("nombre").alias("profesor"))
-    j = (a.join(prof, "id_profesor", how).join(usr, "_u", how)
+    named = prof.join(usr, "_u", how).select("id_profesor", "profesor")
+    j = (a.join(named, "id_profesor", how)
          .join(departments.select("id_departamento", F.col("nombre").alias("departamento")), "id_departamento", how)
          .join(degrees.select("id_carrera", F.col("nombre").alias("carrera")), "id_carrera", how)
          .join(subjects.select("id_asignatura", F.col("nombre").alias("asignatura")), "id_asignatura", how)
@@ -162,46 +169,123 @@ def passengers_by_route(routes: DataFrame, stops: DataFrame, passengers: DataFra
     return rows.select("ruta", (F.col("_rows") * tracked.scalar()).cast("long").alias("pasajeros"))
 
 
+_DAY_US = 86_400_000_000
+
+
+def _micros(c: str) -> Column:
+    """Microseconds since 1970 on the wall clock; exact, and independent of the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+
+
+def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_qr", valid_from: str = "fecha_generacion",
+                   valid_to: str = "valido_hasta") -> DataFrame:
+    """Each room's time line cut into disjoint intervals with one code in force:
+    ``_room``, ``_start`` and ``_end`` (microseconds, inclusive) and ``_code``
+    (a struct of the code's columns).  The newest code (greatest start, then
+    greatest id) whose window holds a time is in force.
+
+    Codes are read in order of their start, so the codes still valid form a
+    stack with the newest on top; a task holds one room's stack at a time.
+    At most two intervals come out for each code."""
+    kept = codes.select(F.col(room).alias("_room"), _micros(valid_from).alias("_start"), _micros(valid_to).alias("_end"),
+                        F.col(code_id).alias("_id"), F.struct(*codes.columns).alias("_code"))
+    kept = kept.where("_room IS NOT NULL AND _start <= _end")
+    schema = kept.select("_room", "_start", "_end", "_code").schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack, at = None, [], 0
+        for batch in batches:
+            out: list[tuple] = []
+
+            def run_until(limit: float) -> None:
+                """Close what is in force before ``limit``."""
+                nonlocal at
+                while stack and at < limit:
+                    _, end, code = stack[-1]
+                    if end >= at:
+                        out.append((now, at, min(end, limit - 1), code))
+                    if end >= limit:
+                        break
+                    at = max(at, end + 1)
+                    stack.pop()
+
+            for r, start, end, code in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if r != now:
+                    run_until(_NEVER)
+                    now, stack, at = r, [], start
+                run_until(start)
+                stack.append((start, end, code))
+                at = start
+            if out:
+                yield _interval_batch(out, batch.schema)
+        if stack:
+            out = []
+            run_until(_NEVER)
+            yield _interval_batch(out, batch.schema)
+
+    return (kept.repartition("_room").sortWithinPartitions("_room", "_start", F.col("_id").asc_nulls_first())
+            .select("_room", "_start", "_end", "_code").mapInArrow(cut, schema))
+
+
+_NEVER = 1 << 62
+
+
+def _interval_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)]
+    columns.append(pa.array([r[3].as_py() for r in rows], schema.field(3).type))
+    return pa.RecordBatch.from_arrays(columns, schema.names)
+
+
 def validate_attendance(scans: DataFrame, codes: DataFrame, room: str = "id_aula", time: str = "hora_scan",
                         code: str = "codigo_qr", code_id: str = "id_qr", code_text: str = "codigo_qr",
                         valid_from: str = "fecha_generacion", valid_to: str = "valido_hasta",
-                        bucket_days: int = 7) -> DataFrame:
-    """A verdict for every scan: among the room's codes whose window
-    [from, to] contains the scan time (ends inclusive), take the newest
-    (greatest ``from``, then greatest id); the scan is valid iff that
-    code's text equals the scanned text.  No code -> invalid.
-
-    Plan: identical scans are collapsed first (``copias`` keeps their
-    number).  The range join uses an equi-key (room, time bucket of
-    ``bucket_days``); each code is listed under every bucket its window
-    touches, so only codes that can overlap a scan are compared.  The
-    newest code per scan is a max-aggregation grouped by the scan's own
-    columns only.  When the codes are broadcast, the join output is
-    already partitioned that way (no exchange).  When both sides are
-    shuffled, the aggregation has its own exchange, so the join's
-    partitioning is free for AQE to split a (room, bucket) that holds a
-    large share of the scans (skew-join handling)."""
-    day0 = F.lit("1970-01-01").cast("date")
-
-    def bucket(c):
-        return F.floor(F.datediff(F.to_date(c), day0) / F.lit(bucket_days)).cast("long")
-
-    s = scans.groupBy(*scans.columns).agg(F.count(F.lit(1)).alias("copias"))
-    s = s.withColumn("_bk", bucket(time))
-    c = (codes.select(F.col(room).alias("_room"), F.col(code_id).alias("_qr"), F.col(code_text).alias("_code"),
-                      F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"))
-         .where(F.col("_from").isNotNull() & F.col("_to").isNotNull() & (F.col("_from") <= F.col("_to")))
-         .withColumn("_bk", F.explode(F.sequence(bucket("_from"), bucket("_to")))))
-    cond = ((s[room] == c["_room"]) & (s["_bk"] == c["_bk"])
-            & (s[time] >= c["_from"]) & (s[time] <= c["_to"]))
-    j = s.join(c, cond, "left")
-    keys = scans.columns + ["copias"]
-    best = F.max(F.struct(F.col("_from"), F.col("_qr"), F.col("_code"))).alias("_best")
-    g = j.groupBy(*[s[k] for k in keys]).agg(best)
-    return g.select(*keys,
-                    F.col("_best._qr").alias("id_qr_vigente"),
-                    F.col("_best._code").alias("codigo_vigente"),
-                    F.coalesce(F.col("_best._code") == F.col(code), F.lit(False)).alias("valida"))
+                        subject: str = "id_asignatura", bucket_days: int = 7) -> DataFrame:
+    """A verdict for every scan, one row each (equal scans too): among the
+    room's codes whose window [from, to] contains the scan time (ends
+    inclusive), take the newest (greatest ``from``, then greatest id); the
+    scan is valid iff that code's text equals the scanned text.  No code ->
+    invalid.  The code's id, text and (if the codes have it) subject are
+    returned as ``id_qr_vigente``, ``codigo_vigente`` and ``asignatura_vigente``.
+
+    Plan: the codes alone are cut into disjoint intervals with one code in
+    force (``code_intervals``), each listed under every time bucket of
+    ``bucket_days`` it touches.  So a scan meets one interval at most: one
+    join on (room, bucket) with the interval as a condition, whose output
+    is a row per scan, with no regrouping.  When both sides are shuffled,
+    AQE can split a (room, bucket) that holds a large share of the scans."""
+    width = bucket_days * _DAY_US
+
+    def bucket(c: Column) -> Column:
+        return F.floor(c / F.lit(width)).cast("long")
+
+    cut = code_intervals(codes, room, code_id, valid_from, valid_to)
+    cut = cut.withColumn("_bk", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_end")))))
+    s = scans.withColumn("_at", _micros(time)).withColumn("_sb", bucket(F.col("_at")))
+    j = s.join(cut, (F.col(room) == F.col("_room")) & (F.col("_sb") == F.col("_bk"))
+               & F.col("_at").between(F.col("_start"), F.col("_end")), "left")
+    found = [F.col("_code")[code_id].alias("id_qr_vigente"), F.col("_code")[code_text].alias("codigo_vigente")]
+    if subject in codes.columns:
+        found.append(F.col("_code")[subject].alias("asignatura_vigente"))
+    return j.select(*scans.columns, *found,
+                    F.coalesce(F.col("_code")[code_text] == F.col(code), F.lit(False)).alias("valida"))
+
+
+def record_attendance(scans: DataFrame, codes: DataFrame, attendance: DataFrame, professor: str = "id_profesor",
+                      room: str = "id_aula", time: str = "hora_scan", code: str = "codigo_qr",
+                      state: str = "estado") -> DataFrame:
+    """The attendance rows that valid scans store, as the reference inserts
+    them: department and degree of an earlier row of the professor (the
+    smallest, for a repeatable result), the subject and id of the code in
+    force, date and time of the scan, and the scan's state (true if the
+    scans have none).  Invalid scans store nothing."""
+    ok = validate_attendance(scans, codes, room, time, code).where("valida")
+    earlier = attendance.where(F.col(professor).isNotNull()).groupBy(professor).agg(
+        F.min("id_departamento").alias("id_departamento"), F.min("id_carrera").alias("id_carrera"))
+    return ok.join(earlier, professor, "left").select(
+        professor, "id_departamento", "id_carrera", F.col("asignatura_vigente").alias("id_asignatura"), room,
+        F.to_date(time).alias("fecha"), F.col(time).alias("hora_entrada"),
+        (F.col(state) if state in scans.columns else F.lit(True)).alias("validacion"),
+        F.col(code).alias("codigo_qr"), F.col("id_qr_vigente").alias("id_qr"))
 
 
 def lookup_value(df: DataFrame, dim: DataFrame, on: str, value: str, out: str | None = None) -> DataFrame:

@@ -169,14 +169,14 @@ BINDINGS: dict[str, Binding] = {
         "o_orderkey AS id_qr",
         "o_custkey % 50 AS id_aula",
         "o_orderkey % 1000 AS id_asignatura",
-        "CAST(o_orderkey AS STRING) AS codigo_qr",
+        "'Q' || CAST(o_orderkey % 5 AS STRING) AS codigo_qr",
         "o_orderdate AS fecha_generacion",
         "o_orderdate + INTERVAL 7 DAY AS valido_hasta",
     )),
     "scans": Binding("lineitem", (
         "l_partkey AS id_profesor",
         "l_suppkey % 50 AS id_aula",
-        "CAST(l_orderkey AS STRING) AS codigo_qr",
+        "'Q' || CAST(l_orderkey % 5 AS STRING) AS codigo_qr",
         "l_shipdate AS hora_scan",
     )),
     "sensor_types": Binding("region", (

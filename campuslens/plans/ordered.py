@@ -70,6 +70,11 @@ def _bucket_keys(spark, n: int) -> DataFrame:
 _BUCKET_KEYS: dict[tuple[str, int], DataFrame] = {}
 
 
+def _required(bucket: str) -> Column:
+    return F.when(F.col(bucket).isNull(), F.raise_error(F.lit("a range has no bucket key")).cast("long")).otherwise(
+        F.col(bucket))
+
+
 def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by ``order``, with ``_pid`` (range
     id), ``_local`` (0-based position inside the range) and ``_bk`` (the
@@ -80,10 +85,9 @@ def ranged(df: DataFrame, order: list[Column], used: set[str], n: int | None = N
     pid = F.spark_partition_id().cast("long")
     r = r.select("*", pid.alias("_pid"),
                  (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("_local"))
-    # n rows; a missed range id (not expected) falls back to its own id
+    # n rows; a missed range id (not expected) is an error, never another range's bucket
     keys = _bucket_keys(df.sparkSession, n)
-    r = (r.join(F.broadcast(keys), "_pid", "left")
-         .withColumn("_bk", F.coalesce(F.col("_bk"), F.col("_pid"))))
+    r = r.join(F.broadcast(keys), "_pid", "left").withColumn("_bk", _required("_bk"))
     # Range ids and positions come from nondeterministic expressions; two
     # reads of the same lineage may be planned differently, so the frame
     # is written once (Parquet, in the shared checkpoint folder) and every
@@ -106,14 +110,11 @@ SCRATCH_DB = "campuslens_scratch"
 
 def _scratch_database(spark) -> str:
     """The catalog database holding ranged tables (external tables whose
-    files live in the shared checkpoint folder); ``default`` if a database
-    cannot be created in this catalog."""
-    try:
-        location = ensure_checkpoint_dir(spark).rstrip("/") + "/" + SCRATCH_DB
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} LOCATION '{location}'")
-        return SCRATCH_DB
-    except Exception:
-        return "default"
+    files live in the shared checkpoint folder).  A catalog in which it
+    cannot be created raises."""
+    location = ensure_checkpoint_dir(spark).rstrip("/") + "/" + SCRATCH_DB
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} LOCATION '{location}'")
+    return SCRATCH_DB
 
 
 def drop_ranged_tables(spark) -> int:
@@ -144,7 +145,7 @@ def global_previous(df: DataFrame, order: list[Column], used: set[str], carry: l
     """For each row, the ``carry`` columns of the row just before it in
     ``order`` over the whole frame (NULL for the first row)."""
     r = ranged(df, order, used, n)
-    w = Window.partitionBy("_bk").orderBy("_local")
+    w = Window.partitionBy("_bk", "_pid").orderBy("_local")
     inner = r.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in carry])
     last = r.groupBy("_bk", "_pid").agg(F.max(F.struct(F.col("_local"), *[F.col(c) for c in carry])).alias("_last"))
     wb = Window.orderBy("_pid")
@@ -168,7 +169,7 @@ def per_key_row_number(df: DataFrame, key: str, order: list[Column], used: set[s
     and each boundary is crossed by at most one key.  The carry table
     therefore has at most n rows and is broadcast."""
     r = ranged(df, [F.col(key).asc_nulls_last(), *order], used | {key}, n)
-    pos = r.withColumn("_pos", F.row_number().over(Window.partitionBy("_bk", key).orderBy("_local")))
+    pos = r.withColumn("_pos", F.row_number().over(Window.partitionBy("_bk", "_pid", key).orderBy("_local")))
     per = r.groupBy("_bk", "_pid", key).agg(F.count(F.lit(1)).alias("_c"))
     ends = r.groupBy("_bk", "_pid").agg(F.min(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_first"),
                                  F.max(F.struct(F.col("_local"), F.col(key).alias("k")))["k"].alias("_last"))

@@ -7,11 +7,13 @@ Library code never creates a session on its own; callers pass one in.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LOCAL_FOLDER = "/tmp/campuslens-checkpoints"  #: only for a local master
 
 
 def build_session(master: str | None = None, cpus: int | None = None,
@@ -48,9 +50,13 @@ def build_session(master: str | None = None, cpus: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` always wins.  Only when it is
-    unset (local tests) is a folder chosen, and then it is registered
-    with the session so ``DataFrame.checkpoint`` uses it too.
+    The cluster's ``spark.checkpoint.dir`` always wins, then the folder the
+    application set on its context, then ``fallback`` and the environment
+    variable ``CAMPUSLENS_CHECKPOINT_DIR`` (both chosen by the caller).  If
+    none is set, a folder on this machine is used only where driver and
+    executors are one process; any other master raises, because executors
+    would each write to a disk of their own.  The folder is registered with
+    the session so ``DataFrame.checkpoint`` uses it too.
     """
     context = _context(spark)
     current = spark.conf.get(CHECKPOINT_KEY, None)
@@ -65,7 +71,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         base = set_on_context.rstrip("/").rsplit("/", 1)[0]
         spark.conf.set(CHECKPOINT_KEY, base)
         return base
-    path = fallback or os.environ.get("CAMPUSLENS_CHECKPOINT_DIR") or "/tmp/campuslens-checkpoints"
+    path = fallback or os.environ.get("CAMPUSLENS_CHECKPOINT_DIR")
+    if not path:
+        master = context.master if context is not None else "a remote session"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"{master}: set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        path = LOCAL_FOLDER
     spark.conf.set(CHECKPOINT_KEY, path)
     if context is not None:
         context.setCheckpointDir(path)

@@ -51,13 +51,23 @@ def write_json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**TEXT_OPTIONS).json(path)
 
 
+# Quotes are doubled inside quoted fields (RFC 4180), blanks are kept, and NULL has a mark of
+# its own, so that it differs from an empty text.  (A text that is the mark itself reads as NULL.)
+NULL_MARK = "\\N"
+CSV_OPTIONS = {**TEXT_OPTIONS, "header": "true", "quote": '"', "escape": '"', "nullValue": NULL_MARK,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header row (the pages' export buttons)."""
-    df.write.mode("overwrite").options(**TEXT_OPTIONS).option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**TEXT_OPTIONS).option("header", True).csv(path)
+    """The rows of ``export_csv``.  Records may span lines (texts with line
+    ends), so a file is read by one task; the writer's number of files is
+    the parallelism."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).csv(path)
 
 
 def chart_series(df: DataFrame, label: str, value: str, order_by: list | None = None) -> DataFrame:

@@ -130,7 +130,8 @@ def _stream_wifi_severity(spark, sf) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@register("stream_validate_attendance", ORACLE["validate_attendance"])
+@register("stream_validate_attendance", ORACLE["validate_attendance"].replace(
+    "SELECT * FROM scans UNION ALL SELECT * FROM scans WHERE id_profesor % 5 = 0", "SELECT * FROM scans"))
 def _stream_validate_attendance(spark, sf) -> DataFrame:
     src, schema = _land(spark, sf, "scans")
     out, ck = _paths(spark, "validate-attendance")

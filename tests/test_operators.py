@@ -184,13 +184,25 @@ def test_validate_attendance_windows_and_newest_code(spark):
         (3, 6, "R6", ts("2024-01-08 00:00:01")),   # after: invalid
         (4, 5, "OLD", ts("2024-01-06 00:00:00")),  # newer code in force: invalid
         (5, 5, "NEW", ts("2024-01-06 00:00:00")),
-        (5, 5, "NEW", ts("2024-01-06 00:00:00")),  # duplicate scan kept as copies=2
+        (5, 5, "NEW", ts("2024-01-06 00:00:00")),  # an equal scan gets a verdict of its own
         (6, 9, "X", ts("2024-01-06 00:00:00")),    # room without codes
         (7, 5, None, ts("2024-01-06 00:00:00")),
     ], SCAN_SCHEMA)
-    got = {(r.id_profesor, r.copias): r.valida for r in J.validate_attendance(scans, codes).collect()}
-    assert got == {(1, 1): True, (2, 1): True, (3, 1): False, (4, 1): False, (5, 2): True, (6, 1): False,
-                   (7, 1): False}
+    got = sorted((r.id_profesor, r.valida) for r in J.validate_attendance(scans, codes).collect())
+    assert got == [(1, True), (2, True), (3, False), (4, False), (5, True), (5, True), (6, False), (7, False)]
+
+
+def test_record_attendance_stores_the_reference_row(spark):
+    codes = spark.createDataFrame([(8, 5, 33, "A", ts("2024-01-01 00:00:00"), ts("2024-01-08 00:00:00"))],
+                                  "id_qr long, id_aula long, id_asignatura long, codigo_qr string, "
+                                  "fecha_generacion timestamp_ntz, valido_hasta timestamp_ntz")
+    scans = spark.createDataFrame([(1, 5, "A", ts("2024-01-02 09:30:00")), (2, 5, "A", ts("2024-01-02 10:00:00")),
+                                   (1, 5, "B", ts("2024-01-02 11:00:00"))], SCAN_SCHEMA)
+    before = spark.createDataFrame([(1, 4, 7), (1, 3, 9)], "id_profesor long, id_departamento long, id_carrera long")
+    got = sorted(tuple(r) for r in J.record_attendance(scans, codes, before).collect())
+    day = dt.date(2024, 1, 2)
+    assert got == [(1, 3, 7, 33, 5, day, ts("2024-01-02 09:30:00"), True, "A", 8),
+                   (2, None, None, 33, 5, day, ts("2024-01-02 10:00:00"), True, "A", 8)]
 
 
 def test_professor_directory_no_links_and_distinct_names(spark):

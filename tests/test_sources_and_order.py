@@ -1,6 +1,7 @@
 """Sources with rejects, the range-partitioned order helpers on awkward
 inputs, and idempotent snapshot merges."""
 
+import pytest
 import datetime as dt
 import os
 
@@ -128,3 +129,58 @@ def test_checkpoint_dir_from_session_wins(spark):
     assert ensure_checkpoint_dir(spark, "/somewhere/else") == current      # never overridden once set
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(current.rstrip("/") + "/x-")
+
+
+def test_csv_round_trip_of_awkward_texts(spark, scratch):
+    rows = [(1, 'a "quoted" text'), (2, "two\nlines, one comma"), (3, ""), (4, None), (5, "  blanks  "), (6, "back\\slash\\")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    io.export_csv(df, f"{scratch}/csv")
+    assert sorted(tuple(r) for r in io.read_csv(spark, f"{scratch}/csv", df.schema).collect()) == rows
+
+
+def test_no_folder_is_chosen_where_executors_have_disks_of_their_own(spark, monkeypatch):
+    from campuslens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    monkeypatch.delenv("CAMPUSLENS_CHECKPOINT_DIR", raising=False)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Context.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(Session())
+
+
+def test_a_scratch_database_that_cannot_be_made_raises(spark, monkeypatch):
+    from campuslens.plans import ordered
+
+    class Broken:
+        conf, sparkContext = spark.conf, spark.sparkContext
+
+        @staticmethod
+        def sql(text):
+            raise ValueError("no catalog")
+
+    with pytest.raises(ValueError, match="no catalog"):
+        ordered._scratch_database(Broken())
+
+
+def test_a_range_without_a_bucket_key_raises(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from campuslens.plans import ordered
+    monkeypatch.setattr(ordered, "_bucket_keys", lambda spark, n: spark.createDataFrame([(0, 0)], "_pid long, _bk long"))
+    with pytest.raises(Exception, match="no bucket key"):
+        ordered.ranged(spark.range(100), [F.col("id").asc()], {"id"}, n=4)
