@@ -51,11 +51,12 @@ from .shingles import mix, portions, text_bytes
 
 LENGTH = 50
 GRAM = 24
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+PORTION = 1 << 19  #: bytes of text looked at together
 RANGE_BYTES = 16 << 20  #: text for each hash range
 FILTER_BITS = 27
 STRINGS = 2048  #: strings in one transform, or those of one anchor
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)
 _VALUES = np.random.default_rng(20240311).integers(1, 1 << 63, 256, np.uint64)
@@ -141,7 +142,7 @@ def _repeated(source: DataFrame, length: int, gram: int, bits: int, filter_bits:
                 [pa.array(of[first]), pa.array([raw[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(h)), strict=True)],
                                                pa.binary())], ["range", "hashes"])
 
-        for b in portions(stream, 0):
+        for b in portions(stream, 0, PORTION):
             s = segments(*text_bytes(b.column(0)), length, gram)
             if len(s["hash"]):
                 order = np.lexsort((s["row"], s["hash"]))
@@ -222,7 +223,7 @@ def _records(source: DataFrame, repeated: np.ndarray, length: int, gram: int, bi
                 yield pa.RecordBatch.from_arrays([pa.array([int(of[x])] * 2, pa.int64()), pa.array([0, 1], pa.int32()),
                                                   pa.array(rows, pa.binary())], ["range", "kind", "packed"])
 
-        for b in portions(stream, 2):
+        for b in portions(stream, 2, PORTION):
             data, ends = text_bytes(b.column(2))
             s = segments(data, ends, length, gram)
             cell = (s["hash"] >> np.uint64(64 - filter_bits)).astype(np.int64)
@@ -232,7 +233,7 @@ def _records(source: DataFrame, repeated: np.ndarray, length: int, gram: int, bi
                 held.append((s["hash"], s["whole"], s["end"] - s["start"], s["anchor"] - s["start"], s["start"] - ends[s["row"]],
                              ids[s["row"]], marks[s["row"]], data, s["start"]))
                 size += len(s["row"]) + len(data) // 64
-            if size > FLUSH // 4:
+            if size > FLUSH // 2:
                 yield from flush()
                 held, size = [], 0
         if size:
