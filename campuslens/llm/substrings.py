@@ -109,6 +109,17 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> dict
             np.zeros(0, np.uint64 if x in ("hash", "whole") else np.int64) for x in names}
 
 
+def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1 << 14) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each start, some at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), some):
+        at = starts[i:i + some]
+        sums = _Sums(data[(at[:, None] + np.arange(size)).ravel()])
+        first = np.arange(len(at)) * size
+        out[i:i + some] = sums.of(first, first + size)
+    return out
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0] places, and so on."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -257,13 +268,12 @@ class _Range:
         #: the smallest id of each window of each segment: its own, until an equal window has a smaller one
         self.least = np.repeat(least, self.windows)
         side = (length - gram) // 2
-        sums = _Sums(data)
         # windows that begin SIDE bytes or more before the anchor all hold those bytes; the others hold as many after it
         before = np.flatnonzero(anchor >= side)
         after = np.flatnonzero(anchor - side + 1 < self.windows)
         lead = np.maximum(anchor[after] - side + 1, 0)
-        mid_b, mid_a = start[before] + anchor[before], start[after] + anchor[after]
-        key = np.concatenate([sums.of(mid_b - side, mid_b + gram) ^ np.uint64(1), sums.of(mid_a, mid_a + length - side)])
+        key = np.concatenate([_range_hashes(data, start[before] + anchor[before] - side, side + gram) ^ np.uint64(1),
+                              _range_hashes(data, start[after] + anchor[after], length - side)])
         string = np.concatenate([before, after])
         skip = np.concatenate([np.zeros(len(before), np.int64), lead])
         count = np.concatenate([np.minimum(self.windows[before], anchor[before] - side + 1), self.windows[after] - lead])
