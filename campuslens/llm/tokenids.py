@@ -42,9 +42,10 @@ from . import rangecoder
 from .common import batches
 from .shingles import portions
 
-RECORD = 6_000_000
+RECORD = 3_000_000
 PART_BYTES = 16 << 20  #: text for each partition
-CACHE = 800_000
+CACHE = 300_000
+TOGETHER = 2000  #: parts encoded in one call
 _SCHEMA = "part int, place int, first long, n_ids long, n_docs long, record binary"
 
 
@@ -61,16 +62,19 @@ def encode_texts(definition: str, texts: list[str | None], cut_at_blanks: bool)
     """The ids of each text as packed little-endian unsigned 32-bit numbers."""
     own, cache = _tokenizer(definition)
 
-    def encoded(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(parts, add_special_tokens=False)]
-
     if not cut_at_blanks:
-        return encoded([t or "" for t in texts])
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in own.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     parts = [t.split(" ") if t else () for t in texts]
     if len(cache) > CACHE:
         cache.clear()
     new = list(set().union(*parts).difference(cache))
-    cache.update(zip(new, encoded(new), strict=True))
+    for i in range(0, len(new), TOGETHER):  # one text of many parts, taken apart by where its tokens start
+        some = new[i:i + TOGETHER]
+        found = own.encode(" ".join(some), add_special_tokens=False)
+        ends = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(w) + 1 for w in some])).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        cache.update((w, raw[4 * a:4 * b]) for w, a, b in zip(some, [0, *ends], ends))
     return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
 
@@ -91,7 +95,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, cut_
         names: list[int | None] = []
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             index = np.array([[x is None, x or 0, len(i) // 4] for x, i in zip(names, ids, strict=True)], "<i8")
             head = struct.pack("<Q", len(names)) + zlib.compress(index.tobytes(), 1)
             record = struct.pack("<Q", len(head)) + head + rangecoder.write(flat)
