@@ -104,7 +104,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int, id_col: str, text_col:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 1):
             bucket, row = grams(*text_bytes(b.column(1)))
-            weight = np.bincount(row, shared.value[bucket], b.num_rows)
+            weight = np.bincount(row, shared.value[bucket], b.num_rows).astype(float)
             even = (mix(b.column(2).to_numpy().view(np.uint64)) >> np.uint64(11)).astype(float) + 0.5
             gumbel = -np.log(-np.log(even * 2.0 ** -53))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight), pa.array(weight + gumbel)],
