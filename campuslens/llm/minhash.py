@@ -49,8 +49,8 @@ from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_
 
 BANDS, ROWS = 24, 5  #: a pair of similarity 0.8 shares a bucket with probability 0.9999
 PART = 1000
+SIGMAS = 3.5  #: a pair is left out if its share of equal registers is so many standard deviations too low
 BLOCK, BLOCK_BYTES = 256, 4 << 20
-MARGIN = 0.13  #: 3.5 standard deviations of the estimate at 0.8 from 120 registers
 
 
 def prob_minhash(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, registers: int) -> np.ndarray:
@@ -100,11 +100,16 @@ def _shingled(batch: pa.RecordBatch, at: int, n: int):
     return weighted(*shingle_hashes(words, bounds, n), batch.num_rows)
 
 
-def _pack(h: np.ndarray, w: np.ndarray) -> bytes:
+def least_alike(threshold: float, registers: int) -> float:
+    """The share of equal registers under which a pair is not looked at."""
+    return threshold - SIGMAS * (threshold * (1 - threshold) / registers) ** 0.5
+
+
+def pack(h: np.ndarray, w: np.ndarray) -> bytes:
     return h.astype("<u8").tobytes() + w.astype("<u4").tobytes()
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) // 12
     return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
 
@@ -122,7 +127,7 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         for b in portions(stream, 1):
             h, w, bounds = _shingled(b, 1, n)
             sketch = prob_minhash(h, w, bounds, BANDS * ROWS)
-            nodes = [_node(_pack(h[x:y], w[x:y])) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            nodes = [_node(pack(h[x:y], w[x:y])) if y > x else None for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
                 ["doc_id", "key", "node", "sketch"])
@@ -178,7 +183,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(stream, 1024):
-            score = [probability_jaccard(*_unpack(s.as_py()), *_unpack(t.as_py()))
+            score = [probability_jaccard(*unpack(s.as_py()), *unpack(t.as_py()))
                      for s, t in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["a", "b", "similarity"])
 
@@ -193,7 +198,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 0):
             h, w, bounds = _shingled(b, 0, n)
-            packed = [_pack(h[x:y], w[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            packed = [pack(h[x:y], w[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(p) for p in packed], pa.binary()), pa.array(packed, pa.binary())],
                                              ["node", "packed"])
 
@@ -207,6 +212,18 @@ def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The components (``node``, ``root``) of ``links`` and of all links between nodes that share a bucket.
+
+    ``shared``: ``bucket``, ``node``; ``nodes``: ``node``, ``sketch`` (packed 32-bit registers); ``sets``: ``node``,
+    ``packed`` (weighted set, as ``pack`` makes it)."""
+    roots = components(links)
+    at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
+    at = saved(at.join(mixed, "bucket"), "mixed")
+    return components(links.union(saved(_across(at, nodes, sets, threshold), "across")))
+
+
 def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join different components in open buckets; ``at``: ``bucket``, ``node``, ``root`` and
     ``x``, the bucket's smallest root.
@@ -257,8 +274,8 @@ def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[byt
     alike = np.zeros((len(xs), len(ys)), np.int16)
     for i in range(s.shape[1]):
         alike += s[:, i, None] == t[:, i]
-    sets = [[_unpack(r["packed"]) for r in rows] for rows in (xs, ys)]
-    i, j = np.nonzero(alike >= (threshold - MARGIN) * s.shape[1])
+    sets = [[unpack(r["packed"]) for r in rows] for rows in (xs, ys)]
+    i, j = np.nonzero(alike >= least_alike(threshold, s.shape[1]) * s.shape[1])
     out = []
     for k in np.argsort(-alike[i, j], kind="stable"):
         x, y = xs[i[k]], ys[j[k]]
@@ -280,7 +297,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     every = _buckets(nodes)
     several = every.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = saved(every.join(several, "bucket"), "buckets")
-    pairs = saved(_estimated(_pairs(shared), nodes, threshold - MARGIN), "pairs")
+    pairs = saved(_estimated(_pairs(shared), nodes, least_alike(threshold, BANDS * ROWS)), "pairs")
     wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = saved(_sets(docs, wanted, n, id_col, text_col), "sets")
 
@@ -290,14 +307,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     roots = components(links)
     rest = _in_different(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
     links = saved(links.union(_verified(rest, sets, threshold).select("a", "b")), "wave")
-    roots = components(links)
-
-    # buckets that still hold several components: every pair across them
-    at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
-    at = saved(at.join(mixed, "bucket"), "mixed")
-    links = links.union(saved(_across(at, nodes, sets, threshold), "across"))
-    roots = components(links)
+    roots = complete(shared, links, nodes, sets, threshold)
 
     # classes
     whole = rows.select("doc_id", "key", "node").join(roots, "node", "left").select(

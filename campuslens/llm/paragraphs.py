@@ -14,8 +14,9 @@ Clusters
   Paragraphs of equal sets are one node.  ``tune`` picks the fewest bands
   of the most rows for the recall wanted at the threshold; nodes that
   share a band are paired with the bucket's smallest node and with their
-  predecessor in it, the exact Jaccard of the pairs is verified, and the
-  connected components are the clusters.  Passages with equal words are a
+  predecessor in it, the exact Jaccard of the pairs is verified, and so is
+  every pair of a bucket that still joins two components
+  (``minhash.complete``).  The connected components are the clusters.  Passages with equal words are a
   cluster (128 bits of hash, looked up by the first 64).
 
 Removal: of each cluster the units of its first document (by id) stay,
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import batches, cut, saved
-from .components import components
+from .minhash import complete, pack, unpack
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
 MIN_WORDS = 20
@@ -176,11 +177,10 @@ def _node_sets(source: DataFrame, n: int, min_words: int) -> DataFrame:
             u = Units(*text_bytes(b.column(0)), min_words)
             if len(u.line_row):
                 h, bounds, nodes = u.sets(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)],
-                                                            pa.binary())], ["node", "set"])
+                packed = [pack(h[x:y], np.ones(y - x)) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["node", "packed"])
 
-    return source.select("text").mapInArrow(run, "node binary, set binary")
+    return source.select("text").mapInArrow(run, "node binary, packed binary")
 
 
 def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -199,14 +199,14 @@ def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact Jaccard is ``threshold`` or more."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "s"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "set": "t"}), "b").select("a", "b", "s", "t")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "packed": "s"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "packed": "t"}), "b").select("a", "b", "s", "t")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(stream, 4096):
             keep = []
             for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
+                x, y = unpack(s.as_py())[0], unpack(t.as_py())[0]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -216,7 +216,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min_words: int, bands: int, rows: int) -> DataFrame:
     """``node`` and ``cluster`` of the paragraphs that are like others of another set."""
-    nodes = units.select("node", "sketch").dropDuplicates(["node"])
+    nodes = saved(units.select("node", "sketch").dropDuplicates(["node"]), "paragraph-nodes")
     every = _bands(nodes, bands, rows)
     several = every.groupBy("bucket").count().where("count > 1")
     shared = saved(every.join(several, "bucket"), "paragraph-buckets")
@@ -229,7 +229,8 @@ def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min
         .distinct(), "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = saved(_node_sets(source, n, min_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
-    return components(_similar(pairs, sets, threshold)).withColumnRenamed("root", "cluster")
+    links = saved(_similar(pairs, sets, threshold), "paragraph-links")
+    return complete(shared.select("bucket", "node"), links, nodes, sets, threshold).withColumnRenamed("root", "cluster")
 
 
 def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_words: int = MIN_WORDS, recall: float = RECALL,
