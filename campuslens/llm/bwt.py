@@ -10,14 +10,17 @@ them, and writes both out again with the new entries merged in.
 
 Columns of up to ``CHUNK`` entries stay in memory; longer ones are files
 that are read and written in order, chunk by chunk, so memory holds one
-chunk and a few numbers for each string.
+chunk and a few numbers for each string.  The files are a task's own work
+space: no other task reads them, and they go when the transform ends.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from functools import cache
 
 import numpy as np
 
@@ -28,7 +31,7 @@ _MOST = 255  #: common prefixes are counted up to here
 class _Column:
     """Numbers written in order, then read in order any number of times."""
 
-    def __init__(self, folder: str, dtype: type, chunk: int):
+    def __init__(self, folder: Callable[[], str], dtype: type, chunk: int):
         self.folder, self.dtype, self.chunk = folder, np.dtype(dtype), chunk
         self.held: list[np.ndarray] = []
         self.size, self.file = 0, None
@@ -38,7 +41,7 @@ class _Column:
         self.size += len(part)
         if self.size > self.chunk:
             if self.file is None:
-                handle, self.file = tempfile.mkstemp(dir=self.folder)
+                handle, self.file = tempfile.mkstemp(dir=self.folder())
                 os.close(handle)
             with open(self.file, "ab") as f:
                 for x in self.held:
@@ -121,7 +124,9 @@ def transform(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, folder: s
     if not m:
         return
     width = int(sizes.max()) + 1
-    with tempfile.TemporaryDirectory(dir=folder) as own:
+    with ExitStack() as until_done:
+        own = cache(lambda: until_done.enter_context(tempfile.TemporaryDirectory(dir=folder)))
+
         def column(dtype):
             return _Column(own, dtype, chunk)
 
