@@ -50,7 +50,7 @@ from .common import cut, saved
 from .shingles import mix, portions, text_bytes
 
 LENGTH = 50
-GRAM = 24
+GRAM = 32  #: shorter ones are shared by chance more often, longer ones are more
 FLUSH = 1_000_000
 PORTION = 1 << 19  #: bytes of text looked at together
 RANGE_BYTES = 16 << 20  #: text for each hash range
@@ -199,8 +199,8 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-_SEGMENTS = ("<u8", "<u8", "u1", "u1", "<i8", "u1")  # anchor hash, whole hash, size, anchor's place, smallest id, bytes
-_PLACES = ("<u8", "<u8", "<u4", "<u4", "<i4", "<i8", "<i4")  # both hashes, count, document's number, start; ids, marks
+_SEGMENTS = ("<u8", "u1", "u1", "<i8", "u1")  # hash, size, anchor's place, smallest id, bytes
+_PLACES = ("<u8", "<u4", "<u4", "<i4", "<i8", "<i4")  # hash, count, document's number, start; ids, marks
 
 
 def _records(source: DataFrame, repeated: np.ndarray, length: int, gram: int, bits: int, filter_bits: int) -> DataFrame:
@@ -228,8 +228,8 @@ def _records(source: DataFrame, repeated: np.ndarray, length: int, gram: int, bi
                 doc = np.stack([ids[lo:hi], marks[lo:hi].astype(np.int64)], axis=1)
                 doc, number = np.unique(doc, axis=0, return_inverse=True)
                 bytes_ = data[_ragged(at[c], n[c])]
-                rows = [_pack(h[c], g[c], n[c].astype("u1"), a[c].astype("u1"), ids[c], bytes_),
-                        _pack(h[c], g[c], count[x:y].astype("<u4"), number.ravel().astype("<u4"), start[lo:hi].astype("<i4"),
+                rows = [_pack(g[c], n[c].astype("u1"), a[c].astype("u1"), ids[c], bytes_),
+                        _pack(g[c], count[x:y].astype("<u4"), number.ravel().astype("<u4"), start[lo:hi].astype("<i4"),
                               doc[:, 0], doc[:, 1].astype("<i4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([int(of[x])] * 2, pa.int64()), pa.array([0, 1], pa.int32()),
                                                   pa.array(rows, pa.binary())], ["range", "kind", "packed"])
@@ -257,12 +257,12 @@ class _Range:
     """The segments of one hash range, each with the smallest id of every window."""
 
     def __init__(self, blobs: list[bytes], length: int, gram: int):
-        h, g, size, anchor, least, data = (np.concatenate(x) for x in zip(*(_unpack(b, *_SEGMENTS) for b in blobs), strict=True))
+        g, size, anchor, least, data = (np.concatenate(x) for x in zip(*(_unpack(b, *_SEGMENTS) for b in blobs), strict=True))
         size, anchor = size.astype(np.int64), anchor.astype(np.int64)
         start = np.cumsum(size) - size
-        order = np.lexsort((least, g, h))
-        order = order[np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))]
-        self.hash, self.whole, size, anchor, least, start = (x[order] for x in (h, g, size, anchor, least, start))
+        order = np.lexsort((least, g))
+        order = order[np.append(True, g[order][1:] != g[order][:-1])]
+        self.whole, size, anchor, least, start = (x[order] for x in (g, size, anchor, least, start))
         self.windows = size - length + 1
         self.first = np.cumsum(self.windows) - self.windows
         #: the smallest id of each window of each segment: its own, until an equal window has a smaller one
@@ -305,13 +305,8 @@ class _Range:
 
     def gone(self, blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids and marks of the documents of one record of places, and the spans that go from each (packed)."""
-        h, g, count, number, start, ids, marks = _unpack(blob, *_PLACES)
-        # both tables are in order of (hash, whole)
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        at = lo.copy()
-        for i in np.flatnonzero(hi - lo > 1):
-            at[i] = lo[i] + np.searchsorted(self.whole[lo[i]:hi[i]], g[i])
-        at, number = np.repeat(at, count), number.astype(np.int64)
+        g, count, number, start, ids, marks = _unpack(blob, *_PLACES)
+        at, number = np.repeat(np.searchsorted(self.whole, g), count), number.astype(np.int64)
         n = self.windows[at]
         window = _ragged(self.first[at], n)
         place = np.repeat(start.astype(np.int64) - self.first[at], n) + window
