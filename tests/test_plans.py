@@ -5,9 +5,10 @@ single-partition window over an event-sized input."""
 import pytest
 
 import __spark_entry__ as E
+from campuslens.plans.catalog import QUERIES as CAMPUS
 
 SF = "/root/testdata/sf0.001"
-BATCH = sorted(k for k in E.queries() if not k.startswith("stream_"))
+BATCH = sorted(k for k in CAMPUS if not k.startswith("stream_"))
 
 
 def plan(df) -> str:
