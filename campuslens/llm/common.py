@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that are gone: it learns of them when the
+    driver's JVM collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(*cols: Column) -> Column:
     """128 bits of a row's content, as hex text."""
     return F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))

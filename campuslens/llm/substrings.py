@@ -46,11 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import transform
-from .common import cut, saved
+from .common import cut, forget
 from .shingles import mix, portions, text_bytes
 
 LENGTH = 50
-GRAM = 32  #: shorter ones are shared by chance more often, longer ones are more
+GRAM = 24  #: shorter ones are shared by chance more often, longer ones are more
 FLUSH = 1_000_000
 PORTION = 1 << 19  #: bytes of text looked at together
 RANGE_BYTES = 16 << 20  #: text for each hash range
@@ -187,7 +187,7 @@ def _repeated(source: DataFrame, length: int, gram: int, bits: int, filter_bits:
 
 def _pack(*columns: np.ndarray) -> bytes:
     raw = [np.ascontiguousarray(c).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -331,6 +331,7 @@ def repeated_spans(source: DataFrame, total_bytes: int, length: int, gram: int,
     """``id``, ``mark`` and ``spans`` (packed pairs of start and end), any number of rows a document."""
     bits = min(filter_bits - 3, 20, max(0, (max(1, total_bytes) // RANGE_BYTES).bit_length()))
     repeated = _repeated(source, length, gram, bits, filter_bits)
+    forget(source.sparkSession)
     records = _records(source, repeated, length, gram, bits, filter_bits)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
