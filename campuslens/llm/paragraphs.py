@@ -7,8 +7,14 @@ Units
   sentences with at least ``min_words`` words, over line ends if need be.
   Where no sentence starts for ``min_words`` words, a word whose hash is
   the smallest of the ``RADIUS`` words on either side counts as a start.
-  Starts depend on nearby words only, so a passage that repeats inside
-  different text is cut in the same way there.
+  *seed*: ``min_words`` words, chosen by winnowing: of every ``WINDOW``
+  neighbouring runs of ``min_words`` words of a text the one of smallest
+  hash.  Marks play no part, so two texts with ``min_words + WINDOW - 1``
+  (50) or more words in common share a seed there, whatever is around.
+  *gram*: every run of ``min_words`` words that starts less than
+  ``WINDOW`` words from a seed that another document has.  Those of a
+  common run of 50 words or more make up the whole run, to the word.
+  *text*: all words of a document, if they are ``min_words`` or more.
 
 Clusters
   Paragraphs of equal sets are one node.  ``tune`` picks the fewest bands
@@ -16,8 +22,8 @@ Clusters
   share a band are paired with the bucket's smallest node and with their
   predecessor in it, the exact Jaccard of the pairs is verified, and so is
   every pair of a bucket that still joins two components
-  (``minhash.complete``).  The connected components are the clusters.  Passages with equal words are a
-  cluster (128 bits of hash, looked up by the first 64).
+  (``minhash.complete``).  The connected components are the clusters.  Passages, seeds, grams and texts
+  with equal words are a cluster (128 bits of hash; all but grams looked up by the first 64).
 
 Removal: of each cluster the units of its first document (by id) stay,
 those of all other documents are cut out of their texts.
@@ -35,16 +41,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batches, cut, saved
+from .common import batches, cut, forget, saved
 from .minhash import complete, pack, unpack
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
 MIN_WORDS = 20
 RADIUS = 8
+WINDOW = 31
+RUN, SEED, TEXT = 0, 1, 2  #: kinds of equal-words units
 RECALL = 0.995
 REGISTERS = 16
 PART = 1000
@@ -76,17 +84,57 @@ def _ends_of(starts: np.ndarray, ends: np.ndarray, word: np.ndarray, row: np.nda
     return np.where(inside, starts[np.minimum(word, len(starts) - 1)], ends[row + 1])
 
 
+def _run_hashes(words: np.ndarray, s: np.ndarray, e: np.ndarray, salts: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """64-bit hashes, by salt, of the words from ``s`` up to ``e``, for each pair of these."""
+    n, out = len(words), []
+    for salt in salts:
+        odd = np.uint64(_ODD + 2 * salt)
+        power = np.cumprod(np.full(n, odd, np.uint64))
+        back = np.cumprod(np.full(n, np.uint64(pow(int(odd), -1, 1 << 64)), np.uint64))
+        total = np.append(np.uint64(0), np.cumsum(mix(words + np.uint64(salt)) * power, dtype=np.uint64))
+        out.append(mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)).view(np.int64))
+    return out
+
+
+def winnowed(grams: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the smallest (and first) gram of every ``window`` neighbouring grams of a row, or of all
+    grams of a row of fewer; ``bounds`` are the rows' bounds in ``grams``."""
+    size = np.diff(bounds)
+    first = np.arange(len(grams))[:max(len(grams) - window + 1, 0)]
+    first = first[first + window <= np.repeat(bounds[1:], size)[:len(first)]]
+    least, at, width = grams, np.arange(len(grams)), 1
+    while width < window and len(first):  # the least of ``width`` neighbours and its place
+        step = min(width, window - width)
+        right = least[step:] < least[:-step]
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        width += step
+    short = np.flatnonzero((size > 0) & (size < window))
+    near = np.minimum(bounds[short][:, None] + np.arange(window), bounds[short + 1][:, None] - 1)
+    few = bounds[short] + grams[near].argmin(axis=1) if len(short) else short
+    return np.unique(np.concatenate([at[first], few]))
+
+
+def _gram_starts(bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all runs of ``min_words`` words, and the rows' bounds in them."""
+    size = np.maximum(np.diff(bounds) - min_words + 1, 0)
+    ends = np.append(0, np.cumsum(size))
+    return np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], size), ends
+
+
 class Units:
-    """The units of some texts; byte places count from the row's start."""
+    """The paragraphs or the ``passages`` (seeds and texts with them) of some texts; byte places count from
+    the row's start."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, min_words: int):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, min_words: int, passages: bool = False, salts: tuple[int, ...] = (1, 2)):
         self.words, starts, bounds = word_hashes(data, ends)
         n, self.min_words = len(self.words), min_words
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         if not n:
             self.line_row = self.run_row = np.zeros(0, np.int64)
             return
-        # paragraphs
+        if passages:
+            self._passages(data, ends, starts, bounds, row_of, salts)
+            return
         first = np.flatnonzero(_breaks(data, ends, starts, bounds, b"\n"))
         last = np.append(first[1:], n)
         keep = last - first >= min_words
@@ -96,7 +144,10 @@ class Units:
         stop = line_ends[np.searchsorted(line_ends, starts[self.last - 1])]
         self.line_start = starts[self.first] - ends[self.line_row]
         self.line_end = np.minimum(stop, ends[self.line_row + 1]) - ends[self.line_row]
-        # passages
+
+    def _passages(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, bounds: np.ndarray, row_of: np.ndarray,
+                  salts: tuple[int, ...]) -> None:
+        n, min_words = len(self.words), self.min_words
         start = _breaks(data, ends, starts, bounds, b".!?\n")
         at = np.arange(n)
         since = at - np.maximum.accumulate(np.where(start, at, 0))
@@ -110,16 +161,17 @@ class Units:
         row = row_of[s]
         e = np.minimum(np.where(to < len(s), s[np.minimum(to, len(s) - 1)], n), bounds[row + 1])
         keep = e - s >= min_words
-        s, e, self.run_row = s[keep], e[keep], row[keep]
+        s, e, row = s[keep], e[keep], row[keep]
+        # seeds and texts
+        gram, gram_bounds = _gram_starts(bounds, min_words)
+        seed = gram[winnowed(_run_hashes(self.words, gram, gram + min_words, (1,))[0].view(np.uint64), gram_bounds)]
+        whole = np.flatnonzero(np.diff(bounds) >= min_words)
+        self.run_kind = np.repeat(np.array([RUN, SEED, TEXT], np.int8), [len(s), len(seed), len(whole)])
+        self.run_row = np.concatenate([row, row_of[seed], whole])
+        s, e = np.concatenate([s, seed, bounds[whole]]), np.concatenate([e, seed + min_words, bounds[whole + 1]])
         self.run_start = starts[s] - ends[self.run_row]
         self.run_end = _ends_of(starts, ends, e, self.run_row, bounds) - ends[self.run_row]
-        self.run_hash = []
-        for salt in (1, 2):
-            odd = np.uint64(_ODD + 2 * salt)
-            power = np.cumprod(np.full(n, odd, np.uint64))
-            back = np.cumprod(np.full(n, np.uint64(pow(int(odd), -1, 1 << 64)), np.uint64))
-            total = np.append(np.uint64(0), np.cumsum(mix(self.words + np.uint64(salt)) * power, dtype=np.uint64))
-            self.run_hash.append(mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)).view(np.int64))
+        self.run_hash = _run_hashes(self.words, s, e, salts)
 
     def sets(self, n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Distinct shingles of all paragraphs, their bounds, and the node of each paragraph."""
@@ -157,20 +209,72 @@ def paragraph_units(source: DataFrame, n: int, min_words: int, registers: int) -
 
 
 def passage_units(source: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` (64 bits each) of every passage."""
+    """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` (64 bits each) of every passage, seed and
+    text, and which of these it is (``unit``)."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 2):
-            u = Units(*text_bytes(b.column(2)), min_words)
+            u = Units(*text_bytes(b.column(2)), min_words, True)
             if len(u.run_row):
                 at = pa.array(u.run_row)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), b.column(1).take(at), pa.array(u.run_start, pa.int32()), pa.array(u.run_end, pa.int32()),
-                     *map(pa.array, u.run_hash)], ["doc_id", "key", "start", "end", "hash", "more"])
+                     *map(pa.array, u.run_hash), pa.array(u.run_kind)], ["doc_id", "key", "start", "end", "hash", "more", "unit"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, hash long, more long, unit byte")
+
+
+def _passage_hashes(source: DataFrame, min_words: int) -> DataFrame:
+    """``hash`` of every passage, seed and text."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(stream, 0):
+            u = Units(*text_bytes(b.column(0)), min_words, True, (1,))
+            if len(u.run_row):
+                yield pa.RecordBatch.from_arrays([pa.array(u.run_hash[0])], ["hash"])
+
+    return source.select("text").mapInArrow(run, "hash long")
+
+
+def gram_units(source: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` of the grams around the seeds of every
+    row of ``source``, which start at the bytes ``seeds``."""
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(stream, 2):
+            data, ends = text_bytes(b.column(2))
+            words, starts, bounds = word_hashes(data, ends)
+            gram, gram_bounds = _gram_starts(bounds, min_words)
+            seeds = b.column(3).to_pylist()
+            row = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+            seed = np.searchsorted(starts, np.concatenate([np.array(x, np.int64) for x in seeds]) + ends[row])
+            at = seed - bounds[row] + gram_bounds[row]
+            step = np.zeros(len(gram) + 1, np.int64)
+            np.add.at(step, np.maximum(at - WINDOW + 1, gram_bounds[row]), 1)
+            np.add.at(step, np.minimum(at + WINDOW, gram_bounds[row + 1]), -1)
+            near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+            s, row = gram[near], np.searchsorted(gram_bounds, near, "right") - 1
+            for x in range(0, len(s), 1 << 16):
+                f, r = s[x:x + (1 << 16)], row[x:x + (1 << 16)]
+                e, take = f + min_words, pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(starts[f] - ends[r], pa.int32()),
+                     pa.array(_ends_of(starts, ends, e, r, bounds) - ends[r], pa.int32()),
+                     *map(pa.array, _run_hashes(words, f, e))], ["doc_id", "key", "start", "end", "hash", "more"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, hash long, more long")
 
 
+def _first_of_equal(units: DataFrame) -> DataFrame:
+    """``hash`` and ``more`` of the units that several documents have, and the ``least`` document."""
+    own = F.struct("doc_id", "key")
+    return units.groupBy("hash", "more").agg(F.min(own).alias("least"), F.max(own).alias("last")).where(
+        ~F.col("least").eqNullSafe(F.col("last"))).drop("last")
+
+
+def _later() -> Column:
+    return ~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))
+
+
 def _node_sets(source: DataFrame, n: int, min_words: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 0):
@@ -230,6 +334,7 @@ def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = saved(_node_sets(source, n, min_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
     links = saved(_similar(pairs, sets, threshold), "paragraph-links")
+    forget(source.sparkSession)
     return complete(shared.select("bucket", "node"), links, nodes, sets, threshold).withColumnRenamed("root", "cluster")
 
 
@@ -239,21 +344,32 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     (the document whose unit stays)."""
     source = _source(docs, id_col, text_col)
     # passages: the counts of the hashes alone, then the units behind those that repeat
-    every = passage_units(source, min_words)
-    several = every.groupBy("hash").count().where("count > 1").select("hash")
-    again = saved(every.join(several, "hash"), "passages")
-    least = again.groupBy("hash", "more").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("all"))
-    runs = again.join(least.where("all > 1"), ["hash", "more"]).select("doc_id", "key", "start", "end", "least", F.lit("passage").alias("kind"))
+    several = saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
+    forget(docs.sparkSession)
+    again = saved(passage_units(source, min_words).join(several, "hash"), "passages")
+    forget(docs.sparkSession)
+    common = saved(again.join(_first_of_equal(again), ["hash", "more"]).drop("hash", "more"), "passages-common")
+    runs = common.where(_later())
+    # grams around common seeds; a later copy of a whole text needs none
+    copies = runs.where(F.col("unit") == TEXT).select("key").distinct()
+    seeds = common.where(F.col("unit") == SEED).join(copies, "key", "left_anti").groupBy("key").agg(
+        F.collect_set("start").alias("seeds"))
+    grams = saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
+    forget(docs.sparkSession)
+    runs = runs.select("doc_id", "key", "start", "end", "least").union(
+        grams.join(_first_of_equal(grams), ["hash", "more"]).where(_later()).select("doc_id", "key", "start", "end", "least"))
+    runs = runs.withColumn("kind", F.lit("passage"))
     # paragraphs
     bands, rows = tune(threshold, recall)
     units = saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
-    clusters = _clusters(units, source, threshold, n, min_words, bands, rows)
+    clusters = saved(_clusters(units, source, threshold, n, min_words, bands, rows), "paragraph-clusters")
+    forget(docs.sparkSession)
     of = units.select("doc_id", "key", "start", "end", "node").join(clusters, "node", "left").withColumn(
         "cluster", F.coalesce("cluster", "node"))
     least = of.groupBy("cluster").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("all"))
     lines = of.join(least.where("all > 1"), "cluster").select("doc_id", "key", "start", "end", "least", F.lit("paragraph").alias("kind"))
     found = runs.union(lines)
-    return found.where(~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))).select(
+    return found.where(_later()).select(
         "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc"))
 
 

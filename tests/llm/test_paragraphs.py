@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from campuslens.llm import paragraphs as P
@@ -71,3 +74,36 @@ def test_awkward_rows(awkward, docs):
     one = words(4, 40) + " " + "é" * 50_000
     got = {(r.doc_id, r.text) for r in P.without_duplicates(docs([(1, one), (1, one), (1, one + " x"), (None, words(4, 40))])).collect()}
     assert (None, words(4, 40)) in got  # a null id is first
+
+
+def test_passages_without_marks_at_their_edges_go_whole(docs):
+    """Passages of 51 to 70 words inside other text: no marks, and sentences of 30 and 40 words that they do not start."""
+    r, rows, want = random.Random(8), [], {}
+    for trial in range(90):
+        size, per = 51 + trial % 20, (0, 30, 40)[trial % 3]
+
+        def running(tag, n, at):  # words of its own, a mark after every ``per`` words
+            return [f"{tag}x{r.randrange(10 ** 6)}" + ("." if per and (at + k) % per == per - 1 else "") for k in range(n)]
+        passage = running(f"p{trial}", size, r.randrange(40))
+        passage[-1] = passage[-1].rstrip(".")
+        for copy in range(2):
+            i = 1000 * copy + trial
+            before, after = running(f"a{i}", r.randint(41, 70), 0), running(f"z{i}", r.randint(41, 70), r.randrange(1, 9))
+            before[-1] = before[-1].rstrip(".")
+            rows.append((i, " ".join(before + passage + after)))
+            want[i] = before + (after if copy else passage + after)
+    got = {x.doc_id: x.text.split() for x in P.without_duplicates(docs(rows)).collect()}
+    assert got == want
+
+
+def test_winnowing_leaves_no_window_out():
+    r = np.random.default_rng(4)
+    bounds = np.append(0, np.cumsum([0, 1, 30, 31, 200, 0, 75]))
+    grams = r.integers(0, 50, bounds[-1]).astype(np.uint64)
+    got = set(P.winnowed(grams, bounds).tolist())
+    want = set()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for i in range(a, max(b - P.WINDOW + 1, a + (b > a))):
+            part = grams[i:min(i + P.WINDOW, b)]
+            want.add(int(i + part.argmin()))
+    assert got == want
