@@ -131,9 +131,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents, all columns as they were."""
-    bad = decontaminate(docs, benchmark, n, id_col, text_col).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows (by id and text), all columns as they were."""
+    bad = decontaminate(docs, benchmark, n, id_col, text_col).where("contaminated").select("key").distinct()
+    own = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).alias("key"))
+    return own.join(bad, "key", "left_anti").select("row.*")
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_CLASS}')"

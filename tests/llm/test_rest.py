@@ -105,6 +105,13 @@ def test_contamination_equals_brute_force(spark, docs, awkward, bound):
     assert decontaminate.decontaminate(docs([]), none).collect() == []
 
 
+def test_contaminated_rows_go_by_id_and_text(spark, docs):
+    item = words(9, 15)
+    rows = [(None, "before " + item), (None, words(10, 30)), (1, item + " after"), (1, words(11, 30)), (2, words(12, 30)), (None, None), (3, None)]
+    left = decontaminate.clean_documents(docs(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 # ---- byte-level BPE
 
 def test_ids_equal_the_library_and_come_back(spark, docs, awkward):
