@@ -7,11 +7,16 @@ a context seen fewer than ``MIN_CONTEXT`` times is passed over, so the
 order varies with the evidence.  A URL's score is the difference of the
 two log-likelihoods per byte of host and path; the threshold is the one
 of best balanced accuracy on a calibration fold (a fifth of the decided
-URLs, by a hash of the URL) that the models have not seen.
+URLs, by a hash of the URL) that the models have not seen.  With
+the threshold set, the models that judge count all decided URLs.
 
-All decided URLs are counted.  Contexts and n-grams are hashed into
-``CELLS`` cells per context length, so what is sent to the executors has
-a fixed size however large the corpus is.
+The counts are a table keyed by class, order, context and byte, which
+grows with the URLs; nothing is hashed or cut.  A byte's share of the
+score depends on the ``ORDER`` bytes before it only, so the distinct
+(context, byte) pairs of the URLs are joined to the counts, and the URLs
+to the pairs.  Tables of at most ``MAX_BROADCAST_ROWS`` rows are
+broadcast, others join by a shuffle.  Shares are summed as whole
+multiples of 2^-40, so the order of the rows doesn't matter.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and
 path, fits no rule and scores 0; with no decided URL of a class its model
@@ -29,14 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ascii_lower, batches, saved
+from .common import ascii_lower, batches, bounded_broadcast, saved
 
 ORDER = 4
-CELLS = 1 << 17
+SYMBOLS = 257  #: bytes and 256, before the start
 MIN_CONTEXT = 4
 MAX_RULES = 1000
+MAX_BROADCAST_ROWS = 500_000
+UNIT = 2.0 ** -40
 BINS = 256  #: calibration scores are binned to 1/BINS nat
 
 ALLOW, BLOCK = "allow", "block"
@@ -61,90 +67,86 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return rule, verdict
 
 
-def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all texts: their text's number, the byte, and the context's
-    cell for each context length (a matrix of ORDER + 1 rows)."""
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all bytes of all texts: their text's number, the byte, and the context of ``ORDER`` bytes as
+    a number in base ``SYMBOLS``, whose last k digits are the context of k bytes."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    cells = np.zeros((ORDER + 1, len(flat)), np.int64)
-    mixed = np.zeros(len(flat), np.uint64)
+    context = np.zeros(len(flat), np.int64)
     for k in range(1, ORDER + 1):
-        back = np.zeros(len(flat), np.int64)  # 256 before the start
+        back = np.zeros(len(flat), np.int64)
         back[k:] = flat[:-k] if k < len(flat) else back[k:]
-        back = np.where(place >= k, back, 256)
-        mixed = (mixed + back.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        cells[k] = (mixed % np.uint64(CELLS)).astype(np.int64)
-    return owner, flat, cells
+        context += np.where(place >= k, back, SYMBOLS - 1) * SYMBOLS ** (k - 1)
+    return owner, flat, context
 
 
-def _gram(cell: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    x = (cell.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ x >> np.uint64(31)) % np.uint64(CELLS)).astype(np.int64)
-
-
-def learn(labelled: DataFrame) -> dict[bool, dict[str, np.ndarray]]:
-    """Counts from rows of ``text`` (binary) and ``good`` (boolean), by class: ``gram``, ``context``
-    and ``types`` (different bytes seen after the context), each of shape (ORDER + 1, CELLS)."""
+def learn(labelled: DataFrame) -> DataFrame:
+    """Counts from rows of ``text`` (binary) and ``good`` (boolean): how often each ``byte`` follows each
+    ``context`` of ``k`` bytes in URLs of either class (``good`` and ``bad``)."""
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(stream, 20_000):
             texts, good = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner, byte, cells = _cells(texts)
+            owner, byte, context = _contexts(texts)
             for k in range(ORDER + 1):
-                key, n = np.unique((good[owner] * CELLS + cells[k]) * 256 + byte, return_counts=True)
+                key, n = np.unique((context % SYMBOLS ** k * 256 + byte) * 2 + good[owner], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key // 256 // CELLS == 1), pa.array(np.full(len(key), k, np.int32)),
-                     pa.array(key // 256 % CELLS), pa.array((key % 256)),
-                     pa.array(_gram(key // 256 % CELLS, key % 256)), pa.array(n)],
-                    ["good", "k", "cell", "byte", "gram", "n"])
-
-    parts = labelled.select("text", "good").mapInArrow(
-        count, "good boolean, k int, cell long, byte long, gram long, n long")
-    counts = saved(parts.groupBy("good", "k", "cell", "byte", "gram").agg(F.sum("n").alias("n")), "url-counts")
-    # at most (ORDER + 1) * CELLS rows a class
-    contexts = counts.groupBy("good", "k", "cell").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
-    grams = counts.groupBy("good", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    model = {}
-    for good in (True, False):
-        out = {x: np.zeros((ORDER + 1, CELLS), np.float32) for x in ("gram", "context", "types")}
-        for table, cell, values in ((contexts, "cell", (("context", "n"), ("types", "types"))), (grams, "gram", (("gram", "n"),))):
-            own = table.column("good").to_numpy() == good
-            at = table.column("k").to_numpy()[own], table.column(cell).to_numpy()[own]
-            for name, column in values:
-                out[name][at] = table.column(column).to_numpy()[own]
-        model[good] = out
-    return model
-
-
-def log_ratio(texts: list[bytes], model: dict[bool, dict[str, np.ndarray]]) -> np.ndarray:
-    """Log-likelihood under the good model less that under the bad one, per byte; 0 for no bytes."""
-    owner, byte, cells = _cells(texts)
-    total = np.zeros(len(byte))
-    for good, sign in ((True, 1.0), (False, -1.0)):
-        own, p = model[good], np.full(len(byte), 1 / 256)
-        for k in range(ORDER + 1):
-            n, types = own["context"][k][cells[k]], own["types"][k][cells[k]]
-            seen = own["gram"][k][_gram(cells[k], byte)]
-            p = np.where(n >= MIN_CONTEXT, np.minimum((seen + types * p) / np.maximum(n + types, 1), 1.0), p)
-        total += sign * np.log(p)
-    size = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)
-    return np.bincount(owner, total, len(texts)) / size
-
-
-def score(urls: DataFrame, model: dict[bool, dict[str, np.ndarray]]) -> DataFrame:
-    """The columns of ``urls`` (one is ``text``, binary) and ``llr``."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*urls.schema.fields, StructField("llr", DoubleType(), False)])
-    at = urls.columns.index("text")
-
+                    [pa.array(np.full(len(key), k, np.int32)), pa.array(key // 512), pa.array(key // 2 % 256),
+                     pa.array(np.where(key % 2 == 1, n, 0)), pa.array(np.where(key % 2 == 0, n, 0))],
+                    ["k", "context", "byte", "good", "bad"])
+
+    parts = labelled.select("text", "good").mapInArrow(count, "k int, context long, byte long, good long, bad long")
+    return saved(parts.groupBy("k", "context", "byte").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
+
+
+def _shares(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """``pairs`` (``context`` of ``ORDER`` bytes and ``byte``) with ``share``: the log of the ratio of the
+    byte's probabilities in the two models, in multiples of ``UNIT``."""
+    size = {r["k"]: r["count"] for r in model.groupBy("k").count().collect()}
+    out = pairs.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
+    for k in range(ORDER + 1):
+        seen = model.where(F.col("k") == k).select(F.col("context").alias("at"), "byte", "good", "bad")
+        contexts = seen.groupBy("at").agg(*(x for c in ("good", "bad") for x in (
+            F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
+        if size.get(k, 0) <= MAX_BROADCAST_ROWS:
+            seen, contexts = F.broadcast(seen), F.broadcast(contexts)
+        out = out.withColumn("at", F.col("context") % SYMBOLS ** k).join(contexts, "at", "left").join(seen, ["at", "byte"], "left")
+        p = {f"p_{c}": F.when(F.col(f"n_{c}") >= MIN_CONTEXT, (F.coalesce(c, F.lit(0)) + F.col(f"types_{c}") * F.col(f"p_{c}")) / (
+            F.col(f"n_{c}") + F.col(f"types_{c}"))).otherwise(F.col(f"p_{c}")) for c in ("good", "bad")}
+        out = out.select("context", "byte", *(x.alias(c) for c, x in p.items()))
+    return out.select("context", "byte", F.round((F.log("p_good") - F.log("p_bad")) / UNIT).cast("long").alias("share"))
+
+
+def score(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """The columns of ``urls`` (one is ``text``, binary) and ``llr``: the log-likelihood under the good model
+    less that under the bad one, per byte; 0 for no bytes."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream, 5_000):
+            owner, byte, context = _contexts(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(context), pa.array(byte)],
+                                             ["id", "context", "byte"])
+
+    def pair(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(stream, 20_000):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_ratio(b.column(at).to_pylist(), shared.value))],
-                                             schema.names)
+            _, byte, context = _contexts(b.column(0).to_pylist())
+            key = np.unique(context * 256 + byte)
+            yield pa.RecordBatch.from_arrays([pa.array(key // 256), pa.array(key % 256)], ["context", "byte"])
+
+    texts = saved(urls.select("text").distinct().select(F.md5("text").alias("id"), "text"), "url-texts")
+    pairs = texts.select("text").mapInArrow(pair, "context long, byte long").distinct()
+    shares = bounded_broadcast(saved(_shares(pairs, model), "url-shares"), MAX_BROADCAST_ROWS)
+    total = texts.mapInArrow(run, "id string, context long, byte long").join(shares, ["context", "byte"]).groupBy("id").agg(
+        F.sum("share").alias("total"))
+    both = urls.select(F.struct("*").alias("row"), F.md5("text").alias("id")).join(total, "id", "left")
+    length = F.greatest(F.octet_length("row.text"), F.lit(1))
+    return both.select("row.*", (F.coalesce("total", F.lit(0)) * UNIT / length).alias("llr"))
+
 
-    return urls.mapInArrow(run, schema)
+def log_ratio(texts: list[bytes], model: DataFrame) -> np.ndarray:
+    """``llr`` of each text."""
+    rows = score(model.sparkSession.createDataFrame(list(enumerate(texts)), "i long, text binary"), model).collect()
+    return np.array([r["llr"] for r in sorted(rows, key=lambda r: r["i"])])
 
 
 def threshold(scored: DataFrame) -> float:
@@ -172,7 +174,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     held = F.crc32("text") % 5 == 0
     model = learn(labelled.where(~held))
     at = threshold(score(labelled.where(held), model))
-    scored = score(own, model).withColumn("threshold", F.lit(at))
+    scored = score(own, learn(labelled)).withColumn("threshold", F.lit(at))
     by_method = F.when(F.col("llr") >= at, ALLOW).otherwise(BLOCK)
     return scored.select("page_id", "host", "path", "rule", "llr", "threshold",
                          F.coalesce("decided", by_method).alias("verdict"))

@@ -67,3 +67,30 @@ def test_empty_table_and_too_many_rules(spark):
     assert U.judge(empty, RULES).collect() == []
     with pytest.raises(ValueError):
         U.judge(empty, [("allow", "x", "/")] * 1001)
+
+
+def test_counts_are_those_of_real_contexts(spark):
+    """More different contexts than any fixed number of cells, each counted on its own; all decided URLs count."""
+    r = np.random.default_rng(6)
+    texts = [bytes(x) for x in r.integers(0, 256, (4000, 60)).astype(np.uint8)]
+    rows = [(x, i % 3 > 0) for i, x in enumerate(texts)]
+    want = {True: {}, False: {}}
+    for x, good in rows:
+        for i in range(4, len(x)):
+            key = x[i - 4:i + 1]
+            want[good][key] = want[good].get(key, 0) + 1
+    model = U.learn(spark.createDataFrame(rows, "text binary, good boolean"))
+    inner = model.where(f"k = 4 AND context % 257 < 256 AND context div 257 % 257 < 256 AND "
+                        f"context div {257 ** 2} % 257 < 256 AND context div {257 ** 3} < 256")
+    one = inner.agg({"*": "count", "good": "sum", "bad": "sum"}).first()
+    assert one["count(1)"] == len(want[True].keys() | want[False].keys()) > 200_000
+    assert (one["sum(good)"], one["sum(bad)"]) == tuple(sum(want[c].values()) for c in (True, False))
+
+
+def test_broadcast_and_shuffle_joins_score_alike(spark, monkeypatch):
+    rows = [(b"site%d.org/a/%d" % (i % 7, i), i % 2 > 0) for i in range(60)]
+    model = U.learn(spark.createDataFrame(rows, "text binary, good boolean"))
+    texts = [b"site1.org/a/3", b"", b"other", b"site1.org/a/3"]
+    got = U.log_ratio(texts, model)
+    monkeypatch.setattr(U, "MAX_BROADCAST_ROWS", 0)
+    assert (U.log_ratio(texts, model) == got).all() and got[1] == 0 and got[0] == got[3] != 0
