@@ -11,12 +11,14 @@ import public_tokenizers
 
 from . import ann as _ann
 from . import bpe as _bpe
+from . import conversations as _conversations
 from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import minhash as _minhash
 from . import paragraphs as _paragraphs
 from . import quality as _quality
 from . import substrings as _substrings
+from . import tokencounts as _tokencounts
 from . import tokenids as _tokenids
 from . import urlfilter as _urlfilter
 from ..session import scratch_path
@@ -120,3 +122,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tokenids.write_ids(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2,
                         cut_at_blanks=True)
     return _tokenids.with_crc32(_tokenids.read_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+#: Tokens of a document beyond which it is over the limit.
+TOKEN_LIMIT = 1024
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the limit."""
+    found = _tokencounts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` damaged by a hash of conversation and turn: dropped, emptied, cut off, repeated or of another role."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind = F.crc32(name.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), blank) for c in ("role", "text"))
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    return conversations.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    table = read_table(spark, sf_dir, "conversations")
+    fixed = _conversations.repair(damaged(table))
+    hashes = _conversations.digests(fixed.turns).select(F.col("conv_id").alias("d"), "sha256")
+    verdicts = fixed.verdicts.withColumnRenamed("conv_id", "v")
+    longs = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    every = table.select("conv_id").distinct()
+    return (every.join(verdicts, F.col("conv_id").eqNullSafe(F.col("v")), "left")
+            .join(hashes, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+            .select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.lit(_conversations.EMPTY_SHA256)).alias("repaired_sha256")))
