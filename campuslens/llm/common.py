@@ -36,11 +36,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     The later jobs start from the stored rows, so lost executors cost no
     recomputation and the shuffle files behind ``df`` are free to go.
     """
+    return saved_at(df, name)[0]
+
+
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``saved``, with the folder, for a table that ``emptied`` removes later."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def emptied(df: DataFrame, path: str) -> None:
+    """Write a table without rows over a stored one that no later job reads."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 def forget(spark: SparkSession) -> None:

@@ -16,6 +16,7 @@ from . import decontaminate as _decontaminate
 from . import langid as _langid
 from . import minhash as _minhash
 from . import paragraphs as _paragraphs
+from . import phrases as _phrases
 from . import quality as _quality
 from . import substrings as _substrings
 from . import tokencounts as _tokencounts
@@ -160,3 +161,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(hashes, F.col("conv_id").eqNullSafe(F.col("d")), "left")
             .select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"),
                     F.coalesce("sha256", F.lit(_conversations.EMPTY_SHA256)).alias("repaired_sha256")))
+
+
+@query("op11_phrase_collocations", _phrases.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of 2 to 4 words in each language."""
+    return _phrases.collocations(_phrases.frequent_phrases(read_table(spark, sf_dir, "documents")))
