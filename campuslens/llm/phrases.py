@@ -296,18 +296,18 @@ texts AS (
 grams AS (
   SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
   FROM texts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
-f AS (
+f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
 totals AS (
   SELECT lang, sum(len(ws))::BIGINT AS n FROM texts GROUP BY lang),
 cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, s.j, 2000000 * c.f // (l.f + r.f) AS score
-  FROM f c, (SELECT unnest([1, 2, 3]) AS j) s, f l, f r
-  WHERE s.j < c.k AND l.lang = c.lang AND r.lang = c.lang
-    AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:s.j], ' ')
-    AND r.phrase = array_to_string(string_split(c.phrase, ' ')[s.j + 1:], ' ')),
+  SELECT lang, phrase, f, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM f WHERE k > 1)),
+scored AS (
+  SELECT c.lang, c.phrase, c.j, c.f AS a, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
 best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inside AS (
   SELECT lang, f, array_to_string(ws[i.i:i.i + m.m - 1], ' ') AS phrase
   FROM (SELECT lang, f, k, string_split(phrase, ' ') AS ws FROM f WHERE k > 2),
