@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans import ordered
+from ..plans import ordered, segmented
 
 
 def _replayed(changes: DataFrame, keys: list[str], cols: list[str], seq: str, op: str) -> DataFrame:
@@ -71,12 +71,21 @@ def change_report(base: DataFrame, changes: DataFrame, key: str | list[str], seq
     keys = [key] if isinstance(key, str) else list(key)
     cols = [c for c in base.columns if c not in keys]
     order = [F.col(seq), F.col(op), *[F.col(c) for c in cols]]
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct(*[F.col(c) for c in cols])
-    ch = changes.select(
-        *keys, seq, op, *cols,
-        F.last(F.when(F.col(op).isin("I", "D"), F.col(op)), ignorenulls=True).over(before).alias("_was"),
-        F.last(F.when(F.col(op).isin("I", "U"), row), ignorenulls=True).over(before).alias("_shown"))
+    was, shown = F.when(F.col(op).isin("I", "D"), F.col(op)), F.when(F.col(op).isin("I", "U"), row)
+    rows = changes.select(*keys, seq, op, *cols).withColumn(segmented.SEGMENT, segmented.segment(changes, seq))
+    # the last I or D, and the last row shown, of each segment of a key's changes; then of all segments before it
+    place = F.struct(*order)
+    ends = rows.groupBy(*keys, segmented.SEGMENT).agg(
+        F.max(F.when(was.isNotNull(), place))[op].alias("_was"), F.max(F.when(shown.isNotNull(), F.struct(place, row.alias("row"))))["row"].alias("_shown"))
+    earlier = Window.partitionBy(*keys).orderBy(F.col(segmented.SEGMENT).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.select(*keys, segmented.SEGMENT, *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in ("_was", "_shown")])
+    both = segmented.with_edges(rows.withColumns({"_was": was, "_shown": shown}),
+                                edges.where("_was IS NOT NULL OR _shown IS NOT NULL"))
+    before = segmented.in_segments(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    ch = both.select(*keys, seq, op, *cols, segmented.EDGE,
+                     *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("_was", "_shown")])
+    ch = ch.where(f"{segmented.EDGE} = 1").drop(segmented.EDGE)
     # only the base rows of changed keys take part in the join
     touched = base.join(changes.select(*keys).distinct(), keys, "left_semi")
     b = touched.select(*keys, F.struct(*[F.col(c) for c in cols]).alias("_old"), F.lit(True).alias("_in_base"))

@@ -178,19 +178,26 @@ def _micros(c: str) -> Column:
 
 
 def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_qr", valid_from: str = "fecha_generacion",
-                   valid_to: str = "valido_hasta") -> DataFrame:
+                   valid_to: str = "valido_hasta", width: int = 7 * _DAY_US) -> DataFrame:
     """Each room's time line cut into disjoint intervals with one code in force:
-    ``_room``, ``_start`` and ``_end`` (microseconds, inclusive) and ``_code``
-    (a struct of the code's columns).  The newest code (greatest start, then
-    greatest id) whose window holds a time is in force.
-
-    Codes are read in order of their start, so the codes still valid form a
-    stack with the newest on top; a task holds one room's stack at a time.
-    At most two intervals come out for each code."""
-    kept = codes.select(F.col(room).alias("_room"), _micros(valid_from).alias("_start"), _micros(valid_to).alias("_end"),
+    ``_room``, ``_slice``, ``_start`` and ``_end`` (microseconds, inclusive) and
+    ``_code`` (a struct of the code's columns).  The newest code (greatest start,
+    then greatest id) whose window holds a time is in force.
+
+    The time line is sliced every ``width`` microseconds first.  A code's window
+    is clipped to each slice that it touches, and each (room, slice) is cut
+    alone, so a room with very many codes is spread over its slices; an interval
+    that goes on in the next slice is one piece in each.  In a slice codes are
+    read in order of their start, so the codes still valid form a stack with the
+    newest on top; a task holds the stack of one slice at a time.  At most two
+    pieces come out for each code and slice."""
+    kept = codes.select(F.col(room).alias("_room"), _micros(valid_from).alias("_from"), _micros(valid_to).alias("_to"),
                         F.col(code_id).alias("_id"), F.struct(*codes.columns).alias("_code"))
-    kept = kept.where("_room IS NOT NULL AND _start <= _end")
-    schema = kept.select("_room", "_start", "_end", "_code").schema
+    kept = kept.where("_room IS NOT NULL AND _from <= _to").withColumn(
+        "_slice", F.explode(F.sequence(_slice(F.col("_from"), width), _slice(F.col("_to"), width))))
+    low = F.col("_slice") * F.lit(width)
+    kept = kept.withColumns({"_start": F.greatest("_from", low), "_end": F.least("_to", low + F.lit(width - 1))})
+    schema = kept.select("_room", "_slice", "_start", "_end", "_code").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stack, at = None, [], 0
@@ -203,13 +210,14 @@ def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_q
                 while stack and at < limit:
                     _, end, code = stack[-1]
                     if end >= at:
-                        out.append((now, at, min(end, limit - 1), code))
+                        out.append((*now, at, min(end, limit - 1), code))
                     if end >= limit:
                         break
                     at = max(at, end + 1)
                     stack.pop()
 
-            for r, start, end, code in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            rooms, slices, starts, ends = (batch.column(i).to_pylist() for i in range(4))
+            for r, start, end, code in zip(zip(rooms, slices), starts, ends, batch.column(4), strict=True):
                 if r != now:
                     run_until(_NEVER)
                     now, stack, at = r, [], start
@@ -223,16 +231,21 @@ def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_q
             run_until(_NEVER)
             yield _interval_batch(out, batch.schema)
 
-    return (kept.repartition("_room").sortWithinPartitions("_room", "_start", F.col("_id").asc_nulls_first())
-            .select("_room", "_start", "_end", "_code").mapInArrow(cut, schema))
+    order = "_room", "_slice", "_from", F.col("_id").asc_nulls_first()
+    return (kept.repartition("_room", "_slice").sortWithinPartitions(*order)
+            .select("_room", "_slice", "_start", "_end", "_code").mapInArrow(cut, schema))
+
+
+def _slice(c: Column, width: int) -> Column:
+    return F.floor(c / F.lit(width)).cast("long")
 
 
 _NEVER = 1 << 62
 
 
 def _interval_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)]
-    columns.append(pa.array([r[3].as_py() for r in rows], schema.field(3).type))
+    columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)]
+    columns.append(pa.array([r[4].as_py() for r in rows], schema.field(4).type))
     return pa.RecordBatch.from_arrays(columns, schema.names)
 
 
@@ -247,24 +260,25 @@ def validate_attendance(scans: DataFrame, codes: DataFrame, room: str = "id_aula
     invalid.  The code's id, text and (if the codes have it) subject are
     returned as ``id_qr_vigente``, ``codigo_vigente`` and ``asignatura_vigente``.
 
-    Plan: the codes alone are cut into disjoint intervals with one code in
-    force (``code_intervals``), each listed under every time bucket of
-    ``bucket_days`` it touches.  So a scan meets one interval at most: one
-    join on (room, bucket) with the interval as a condition, whose output
-    is a row per scan, with no regrouping.  When both sides are shuffled,
-    AQE can split a (room, bucket) that holds a large share of the scans."""
-    width = bucket_days * _DAY_US
-
-    def bucket(c: Column) -> Column:
-        return F.floor(c / F.lit(width)).cast("long")
-
-    cut = code_intervals(codes, room, code_id, valid_from, valid_to)
-    cut = cut.withColumn("_bk", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_end")))))
-    s = scans.withColumn("_at", _micros(time)).withColumn("_sb", bucket(F.col("_at")))
-    j = s.join(cut, (F.col(room) == F.col("_room")) & (F.col("_sb") == F.col("_bk"))
+    Plan: the codes alone are cut into disjoint pieces with one code in force,
+    each within one time slice of ``bucket_days`` (``code_intervals``).  So a
+    scan meets one piece at most: one join on (room, slice) with the piece as a
+    condition, whose output is a row per scan, with no regrouping.  When both
+    sides are shuffled, AQE can split a (room, slice) that holds a large share
+    of the scans."""
+    return validate_in(scans, code_intervals(codes, room, code_id, valid_from, valid_to, bucket_days * _DAY_US), room, time,
+                       code, code_id, code_text, subject, bucket_days)
+
+
+def validate_in(scans: DataFrame, pieces: DataFrame, room: str = "id_aula", time: str = "hora_scan", code: str = "codigo_qr",
+                code_id: str = "id_qr", code_text: str = "codigo_qr", subject: str = "id_asignatura",
+                bucket_days: int = 7) -> DataFrame:
+    """``validate_attendance`` with codes that ``code_intervals`` has cut before, in slices of ``bucket_days``."""
+    s = scans.withColumn("_at", _micros(time)).withColumn("_sb", _slice(F.col("_at"), bucket_days * _DAY_US))
+    j = s.join(pieces, (F.col(room) == F.col("_room")) & (F.col("_sb") == F.col("_slice"))
                & F.col("_at").between(F.col("_start"), F.col("_end")), "left")
     found = [F.col("_code")[code_id].alias("id_qr_vigente"), F.col("_code")[code_text].alias("codigo_vigente")]
-    if subject in codes.columns:
+    if subject in pieces.schema["_code"].dataType.names:
         found.append(F.col("_code")[subject].alias("asignatura_vigente"))
     return j.select(*scans.columns, *found,
                     F.coalesce(F.col("_code")[code_text] == F.col(code), F.lit(False)).alias("valida"))

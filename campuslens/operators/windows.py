@@ -4,7 +4,8 @@
 aggregation before the shuffle, so a key holding a third of the rows is
 already reduced map-side).  Running numbers and "previous row" gaps use
 the range-partitioned global order of ``plans.ordered`` instead of a
-window with no partition or a window over one hot key.
+window with no partition, and the segments of ``plans.segmented`` instead
+of a window over one hot key.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans import ordered
+from ..plans import ordered, segmented
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str], nulls: str = "first") -> DataFrame:
@@ -73,13 +74,14 @@ def running_visits(df: DataFrame, ts: str, by: str | None = None, id_col: str |
                    out: str = "visita") -> DataFrame:
     """Cumulative visit number over time (1, 2, ...), globally or per key.
 
-    Both forms number rows in a range-partitioned order (``plans.ordered``),
-    so neither the whole table nor a key with most of the rows is ever
-    windowed in one task."""
+    The global form numbers rows in a range-partitioned order
+    (``plans.ordered``), the form per key by segments of time
+    (``plans.segmented``), so neither the whole table nor a key with most
+    of the rows is ever windowed in one task."""
+    if by is not None:
+        return segmented.row_number(df, [by], [ts] + ([id_col] if id_col else []), out)
     tie = [F.col(id_col).asc_nulls_last()] if id_col else []
-    if by is None:
-        return ordered.global_row_number(df, [F.col(ts).asc_nulls_last(), *tie], {ts, id_col}, out=out)
-    return ordered.per_key_row_number(df, by, [F.col(ts).asc_nulls_last(), *tie], {ts, id_col}, out=out)
+    return ordered.global_row_number(df, [F.col(ts).asc_nulls_last(), *tie], {ts, id_col}, out=out)
 
 
 def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: str | None = None,
@@ -91,19 +93,14 @@ def report_gaps(df: DataFrame, key: str, ts: str, minutes: float = 15, id_col: s
     rows of the whole table in time order (what the page's loop does).
     Rows are ordered by time ascending with NULL last (PostgreSQL ASC),
     then by ``id_col``.  A NULL time gives a NULL gap and no alert."""
-    tie = [F.col(id_col).asc_nulls_last()] if id_col else []
     if per_key:
-        order = [F.col(key).asc_nulls_last(), F.col(ts).asc_nulls_last(), *tie]
-        carry = [key, ts]
+        prev = segmented.previous(df, [key], [ts] + ([id_col] if id_col else []), [ts], "_prev_")
     else:
-        order = [F.col(ts).asc_nulls_last(), *tie]
-        carry = [ts]
-    used = {ts} | ({key} if per_key else set()) | ({id_col} if id_col else set())
-    prev = ordered.global_previous(df, order, used, carry, prefix="_prev_")
-    same = F.col("_prev_" + key).eqNullSafe(F.col(key)) if per_key else F.lit(True)
-    gap = F.when(same, C.minutes_between("_prev_" + ts, ts))
-    out = prev.withColumn("minutos", gap).withColumn("alerta", F.coalesce(F.col("minutos") > minutes, F.lit(False)))
-    return out.drop(*["_prev_" + c for c in carry])
+        tie = [F.col(id_col).asc_nulls_last()] if id_col else []
+        used = {ts, id_col} if id_col else {ts}
+        prev = ordered.global_previous(df, [F.col(ts).asc_nulls_last(), *tie], used, [ts], prefix="_prev_")
+    out = prev.withColumn("minutos", C.minutes_between("_prev_" + ts, ts))
+    return out.withColumn("alerta", F.coalesce(F.col("minutos") > minutes, F.lit(False))).drop("_prev_" + ts)
 
 
 def report_gaps_global(df: DataFrame, ts: str, minutes: float = 15, id_col: str | None = None,
@@ -116,11 +113,10 @@ def report_gaps_global(df: DataFrame, ts: str, minutes: float = 15, id_col: str
 def route_path(stops: DataFrame, route: str = "id_ruta", order: str = "orden", stop: str = "id_parada") -> DataFrame:
     """Stops of each route in drawing order (``orden``, ties by stop id)
     with their 1-based step number ``paso``: the polyline the stop page
-    draws, as rows.  Numbering uses the range-partitioned per-key order,
-    so a route with a very large number of stops is still split across
-    tasks and no per-route array is built."""
-    return ordered.per_key_row_number(stops, route, [F.col(order).asc_nulls_last(), F.col(stop).asc_nulls_last()],
-                                      {order, stop}, out="paso")
+    draws, as rows.  Steps are numbered by segments of the order, so a
+    route with a very large number of stops is still split across tasks
+    and no per-route array is built."""
+    return segmented.row_number(stops, [route], [order, stop], "paso")
 
 
 def fleet_alerts(pos: DataFrame, max_speed: float = 60, gap: float = 15, per_bus: bool = False,
@@ -132,7 +128,8 @@ def fleet_alerts(pos: DataFrame, max_speed: float = 60, gap: float = 15, per_bus
     The gap uses ``report_gaps`` (global by default, as the page's loop);
     the three alert kinds are built in one pass with ``explode`` of the
     non-null members of an array, which equals the union of three filters."""
-    g = report_gaps(pos, bus, ts, gap, id_col=id_col, per_key=per_bus)
+    used = [c for c in pos.columns if c in (id_col, bus, ts, address, speed)]
+    g = report_gaps(pos.select(*used), bus, ts, gap, id_col=id_col, per_key=per_bus)
     kinds = F.array(
         F.when(F.col(speed) > max_speed, F.struct(F.lit("exceso_velocidad").alias("tipo"),
                                                   F.col(speed).cast("double").alias("valor"))),

@@ -20,15 +20,14 @@ exactly-once log, or per-batch folders written by ``foreachBatch``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import columns as C
 from ..operators import joins as J
+from ..plans import segmented
 from ..sources import io
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -218,59 +217,52 @@ def start_stream_fleet_alerts(spark, in_path, out_path, checkpoint, schema, max_
                   checkpoint, trigger)
 
 
-GAP_OUT = T.StructType([
-    T.StructField("id_posicion", T.LongType()), T.StructField("id_bus", T.LongType()),
-    T.StructField("fecha_hora", T.TimestampNTZType()), T.StructField("minutos", T.DoubleType()),
-    T.StructField("alerta", T.BooleanType()), T.StructField("tardia", T.BooleanType())])
-GAP_STATE = T.StructType([T.StructField("last_us", T.LongType())])
-
-
-def _gap_state(minutes: float):
-    def fn(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["_us", "id_posicion"], kind="mergesort")
-        us = pdf["_us"].astype("int64")
-        late = (us < last) if last is not None else pd.Series(False, index=pdf.index)
-        on_time = pdf[~late.values]
-        prev = on_time["_us"].shift(1)
-        if last is not None and len(on_time):
-            prev.iloc[0] = last
-        gap = (on_time["_us"] - prev) / 60_000_000.0
-        out = pd.DataFrame({
-            "id_posicion": on_time["id_posicion"].astype("int64"), "id_bus": on_time["id_bus"].astype("int64"),
-            "fecha_hora": on_time["fecha_hora"], "minutos": gap.astype("float64"),
-            "alerta": (gap > minutes).fillna(False).astype(bool), "tardia": False})
-        dropped = pdf[late.values]
-        if len(dropped):
-            out = pd.concat([out, pd.DataFrame({
-                "id_posicion": dropped["id_posicion"].astype("int64"), "id_bus": dropped["id_bus"].astype("int64"),
-                "fecha_hora": dropped["fecha_hora"], "minutos": float("nan"), "alerta": False,
-                "tardia": True})], ignore_index=True)
-        if len(on_time):
-            newest = int(on_time["_us"].max())
-            state.update((newest if last is None else max(newest, last),))
-        out["minutos"] = out["minutos"].where(out["minutos"].notna(), None)
-        yield out
-    return fn
-
-
-def start_stream_report_gaps(spark, in_path, out_path, checkpoint, schema, minutes=15,
-                             max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    """Per-bus gap alert with the last seen time as state
-    (``applyInPandasWithState``).  Inside a batch a bus's rows are sorted;
-    a row older than the bus's state is marked ``tardia`` and gets no gap.
-    Rows without a time are skipped (they cannot be ordered)."""
-    rows = (source(spark, in_path, schema, max_files).where(F.col("fecha_hora").isNotNull() & F.col("id_bus").isNotNull())
-            .select("id_posicion", "id_bus", "fecha_hora",
-                    F.timestamp_diff("MICROSECOND", _epoch(), F.col("fecha_hora")).alias("_us")))
-    out = rows.groupBy("id_bus").applyInPandasWithState(
-        _gap_state(minutes), GAP_OUT, GAP_STATE, "append", GroupStateTimeout.NoTimeout)
-    out = out.withColumn("minutos", F.when(F.isnan("minutos"), None).otherwise(F.col("minutos")))
-    return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
-                  checkpoint, trigger)
+def report_gap_batches(out_path: str, last_path: str, minutes: float = 15, reject_path: str | None = None):
+    """``foreachBatch`` function of ``start_stream_report_gaps``.
+
+    What a batch needs of the earlier ones is the last time of each bus, a
+    snapshot like those of the update-mode sinks.  Gaps inside the batch come
+    from ``plans.segmented``, so a bus that brings most of a backfill is
+    spread over its days; the first report of each bus looks at the snapshot.
+    A replayed batch reads the same earlier snapshot and writes the same
+    folder and slot."""
+    merge = merge_into_snapshot(last_path, ["id_bus"])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        placed = F.col("fecha_hora").isNotNull() & F.col("id_bus").isNotNull()
+        if reject_path:
+            batch.where(~placed).write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
+        rows = batch.where(placed).select("id_posicion", "id_bus", "fecha_hora")
+        _init_slots(spark, last_path, rows.select("id_bus", "fecha_hora").schema)
+        earlier = {k: v for k, v in _slot_batches(spark, last_path).items() if v < batch_id}
+        if earlier:
+            last = spark.read.parquet(f"{last_path}/slot={max(earlier, key=earlier.get)}").select("id_bus", "fecha_hora")
+        else:
+            last = spark.createDataFrame([], rows.select("id_bus", "fecha_hora").schema)
+        marked = rows.join(last.withColumnRenamed("fecha_hora", "_last"), "id_bus", "left").withColumn(
+            "tardia", F.coalesce(F.col("fecha_hora") < F.col("_last"), F.lit(False))).drop("_last")
+        on_time = marked.where("NOT tardia")
+        gaps = segmented.previous(on_time, ["id_bus"], ["fecha_hora", "id_posicion"], ["fecha_hora"], "_prev_", before=last)
+        gaps = gaps.withColumn("minutos", C.minutes_between("_prev_fecha_hora", "fecha_hora")).drop("_prev_fecha_hora")
+        out = gaps.unionByName(marked.where("tardia").withColumn("minutos", F.lit(None).cast("double")))
+        out = out.withColumn("alerta", F.coalesce(F.col("minutos") > minutes, F.lit(False)))
+        out.select("id_posicion", "id_bus", "fecha_hora", "minutos", "alerta", "tardia").write.mode("overwrite").parquet(
+            f"{out_path}/batch_id={batch_id}")
+        merge(on_time.groupBy("id_bus").agg(F.max("fecha_hora").alias("fecha_hora")), batch_id)
+    return run
+
+
+def start_stream_report_gaps(spark, in_path, out_path, checkpoint, schema, minutes=15, max_files: int | None = None,
+                             trigger=AVAILABLE_NOW, reject_path: str | None = None) -> StreamingQuery:
+    """Per-bus gap alert.  The last seen time of each bus is kept between batches (a snapshot beside the
+    checkpoint, one row a bus); inside a batch a bus's rows are taken in order of time, split by day
+    (``report_gap_batches``), so no task holds a bus.  A row older than the bus's last time is marked
+    ``tardia`` and gets no gap.  Rows without a time or a bus cannot be ordered: they go to ``reject_path``
+    if one is given.  Read the result with ``spark.read.parquet(out_path).drop("batch_id")``."""
+    rows = source(spark, in_path, schema, max_files)
+    run = report_gap_batches(out_path, f"{checkpoint}-last", minutes, reject_path)
+    return _start(rows.writeStream.foreachBatch(run), checkpoint, trigger)
 
 
 def start_stream_wifi_severity(spark, in_path, out_path, checkpoint, schema, max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
