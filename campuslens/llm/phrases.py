@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from .common import emptied, forget, saved_at
 from .shingles import portions
 
-SHARDS = 4
+SHARDS = 2
 LONGEST = 4  #: words of a phrase
 THRESHOLD = 30
 TOGETHER = 2_000_000  #: words counted at once

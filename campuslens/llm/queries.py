@@ -63,7 +63,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = _langid.learn(_langid.training_rows(docs.where(~held_out)))
-    return _langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return _langid.predict(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")  # a null id is in neither fold
 
 
 #: Verdict, host and path of the rules.
@@ -74,7 +75,8 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 @query("op1_url_filter")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: by rule, else by the ratio of two character models."""
-    return _urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    judged = _urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "llr", "threshold")
 
 
 @query("op5_nearest_neighbours")

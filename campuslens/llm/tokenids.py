@@ -20,7 +20,8 @@ parts (emptied when full).  Other tokenizers get whole texts.
 Defined cases: a null or empty text has the end id alone; documents are
 in order of id, a null id first, rows that share an id in order of their
 text's hash (equal rows one after the other); strings of special tokens in
-a text are ordinary text; an empty table gives an empty table; columns
+a text get the ids that the library gives by default; very long texts are
+encoded whole, part by part; an empty table gives an empty table; columns
 other than the id and the text are ignored, whatever their names.
 """
 
@@ -53,9 +54,7 @@ _SCHEMA = "part int, place int, first long, n_ids long, n_docs long, record bina
 def _tokenizer(definition: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
-    own = Tokenizer.from_str(definition)
-    own.encode_special_tokens = True
-    return own, {}
+    return Tokenizer.from_str(definition), {}
 
 
 def encode_texts(definition: str, texts: list[str | None], cut_at_blanks: bool) -> list[bytes]:

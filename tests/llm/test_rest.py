@@ -205,3 +205,22 @@ def test_pipeline_stages_take_effect(spark, docs):
     every = set(range(15))
     assert left[0] == every - {10, 11} and left[1] == left[0] - {8, 9} and left[2] == left[1] and left[3] == left[2] - {12}
     assert left[4] == left[3]
+
+
+def test_pipeline_stages_with_any_rows_and_columns(spark, docs):
+    import corpus_pipeline as C
+    from .conftest import AWKWARD
+    clash = {n: F.lit("x") for n in ("removed", "key", "a b", "spans", "row", "rest", "score")}
+    rows = docs([(i, t, "en", "s", None if t is None else len(t)) for i, t in AWKWARD] + [(i, words(i, 80), "en", "s", 9) for i in range(20, 26)],
+                "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
+    for frame in (rows, rows.limit(0)):
+        for name, stage in C.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == frame.columns, name
+            assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in frame.collect()}
+        assert C.STAGES[-1][1](spark, frame, SF).count() == frame.count()
+
+
+def test_op1_columns_and_op10_null_ids(spark):
+    assert QUERIES["op1_url_filter"](spark, SF).columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    assert "held_out" in QUERIES["op10_language_id"](spark, SF).where("held_out IS NOT NULL").columns

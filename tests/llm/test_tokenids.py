@@ -41,7 +41,6 @@ def test_documents_come_back_in_order(spark, scratch, awkward, docs, monkeypatch
     T.write_ids(awkward, f"{scratch}/ids", PATH, 2, cut_at_blanks=True)
     rows = T.read_ids(spark, f"{scratch}/ids").orderBy("start").collect()
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     order = sorted(awkward.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     at = 0
     for r, (doc_id, text) in zip(rows, order, strict=True):
@@ -62,3 +61,12 @@ def test_cutting_at_blanks_changes_no_id():
     with open(PATH, encoding="utf-8") as f:
         definition = f.read()
     assert T.encode_texts(definition, texts, True) == T.encode_texts(definition, texts, False)
+
+
+def test_special_strings_get_the_librarys_ids(spark, scratch, docs):
+    texts = ["<|endoftext|> z", "a<|endoftext|>b <|startoftext|>", "<|endoftext|><|endoftext|>", "<|endof text|>", "x " * 60_000 + "<|endoftext|>"]
+    T.write_ids(docs(list(enumerate(texts))), f"{scratch}/special", PATH, 2, cut_at_blanks=True)
+    own = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids for r in T.read_ids(spark, f"{scratch}/special").collect()}
+    assert got == {i: own.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert got[0] == [49407, 345, 2]
