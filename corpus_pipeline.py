@@ -2,12 +2,19 @@
 
 Every stage reads all documents that the stage before kept, and all
 stages but the last return the columns of ``documents``.
+
+Defined cases: a document with a null, empty or blank text has no language
+and goes in the first stage; repeated rows are one near-duplicate class, of
+which one row stays; rows that share an id are documents of their own;
+very long texts pass whole; an empty table gives an empty result; extra
+columns are kept to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from campuslens.llm import bpe, langid, minhash, paragraphs
 from campuslens.llm import decontaminate as benchmark
@@ -28,9 +35,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the paragraphs and passages that an earlier one has; ``n_chars`` follows
     the text, and a document of which nothing is left goes."""
     kept = paragraphs.without_duplicates(docs)
-    left = kept.where("removed.bytes = 0 OR trim(text) <> ''")
-    return left.selectExpr(*(
-        f"IF(removed.bytes > 0, CAST(length(text) AS BIGINT), {c}) AS {c}" if c == "n_chars" else c for c in docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns by place: they may be called anything
+    text = F.col(names[docs.columns.index("text")])
+    gone = F.col("gone.bytes") > 0
+    left = kept.toDF(*names, "gone").where(~gone | (F.trim(text) != ""))
+    return left.select(*(F.when(gone, F.length(text).cast("long")).otherwise(F.col(n)).alias(c) if c == "n_chars" else F.col(n).alias(c)
+                         for n, c in zip(names, docs.columns, strict=True)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
