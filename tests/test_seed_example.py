@@ -1,4 +1,4 @@
-"""The reference's seed rows as a small end-to-end example.
+"""Invented campus rows as a small end-to-end example.
 
 The seed file inserts some department and degree names twice although
 the schema declares them UNIQUE; the second insert is what
