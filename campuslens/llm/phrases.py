@@ -20,7 +20,7 @@ too is counted over one whole cycle: hashes decide how much is counted and
 never a count.  Beyond that bound more phrases are counted than needed, and
 none is lost.
 
-Tasks turn the words of a language into numbers and count by sorting pairs
+Tasks turn the words of a language into numbers and count by numbering pairs
 of numbers; when ``TOGETHER`` words have been read the counts go on, so a
 task's memory is bounded.  Counts are added up by phrase, not by language,
 so a language with most of the rows is spread like any other.  The running
@@ -44,6 +44,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -140,7 +141,7 @@ class Words:
             reached = cells[(key & mask).astype(np.int64)].astype(np.int16)
             reached = np.where((start < NEVER) & (reached < NEVER), np.maximum(reached, start + 1), NEVER)
             used = np.flatnonzero(active | (reached < NEVER))
-            pairs, back = np.unique(number[:-1][used] << 32 | late[used], return_inverse=True)
+            back, pairs = pd.factorize(number[:-1][used] << 32 | late[used])
             phrases = [shorter[p >> 32] + b" " + names[p & 0xFFFFFFFF] for p in pairs.tolist()]
             uses = np.bincount(back[active[used]], minlength=len(pairs))
             starts = np.zeros(len(pairs), np.int16)
@@ -226,7 +227,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             seen = seen.unionByName(state.where(_kept(scan - 1, shards, threshold)).withColumn("before", F.col("n")))
         seen = seen.groupBy("lang", "length", "phrase", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
         old, old_path = state, state_path
-        state, state_path = saved_at(seen, "phrase-counts")
+        # the first scan keeps all words, whose number gives the size of the table
+        state, state_path = saved_at(seen.where(_kept(scan, shards, threshold)) if scan else seen, "phrase-counts")
         if old is not None:
             emptied(old, old_path)
         # ``before`` is the count up to the scan before, so a phrase reaches the threshold once
