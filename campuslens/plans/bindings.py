@@ -114,6 +114,21 @@ BINDINGS: dict[str, Binding] = {
         "c_mktsegment AS rol",
         "'F' || CAST(c_nationkey AS STRING) AS facultad",
     )),
+    "accounts": Binding("customer", (
+        "c_custkey AS id_registro",
+        "CASE WHEN c_custkey % 11 = 0 THEN -c_custkey ELSE c_custkey END AS id_usuario",
+        "CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN c_name || '/' || c_name || '/' || c_name ELSE c_name END AS username",
+        "'p' || c_name AS password",
+        "CASE c_custkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'profesor' WHEN 2 THEN 'estudiante' "
+        "WHEN 3 THEN c_mktsegment END AS rol",
+    )),
+    "prof_attendance": Binding("orders", (
+        "CAST(floor(o_orderkey / 2) AS BIGINT) AS id_asistencia",
+        "o_custkey AS id_profesor",
+        "o_orderkey + o_orderkey % 3 AS id_qr",
+        "o_orderdate AS fecha",
+        "CASE WHEN o_orderstatus = 'F' THEN 'presente' WHEN o_orderstatus = 'O' THEN 'ausente' ELSE o_orderpriority END AS estado",
+    )),
     "students": Binding("orders", (
         "o_orderkey AS id_estudiante",
         "o_custkey AS id_usuario",
