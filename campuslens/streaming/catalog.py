@@ -9,7 +9,11 @@ windowed append jobs only windows closed by the final watermark count.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.bindings import AS_OF, BINDINGS, Binding, bind, cte
 from ..plans.catalog import ORACLE, register
@@ -139,6 +143,46 @@ def _stream_validate_attendance(spark, sf) -> DataFrame:
     return spark.read.parquet(out).drop("batch_id")
 
 
+@register("stream_attendance", ORACLE["stream_validate_attendance"])
+def _stream_attendance(spark, sf) -> DataFrame:
+    """Scans and codes land together in three time ranges, with a run from the checkpoint after each; a last scan and
+    code of no room, far ahead, let the watermark pass all others."""
+    scans, codes = bind(spark, sf, "scans"), bind(spark, sf, "qr_codes")
+    scans_in, codes_in = scratch_path(spark, "landing-scans"), scratch_path(spark, "landing-codes")
+    out, ck = _paths(spark, "attendance")
+    low, high = scans.agg(F.min("hora_scan"), F.max("hora_scan")).first()
+    edges = [low + (high - low) * i / 3 for i in (1, 2)] if low else []
+
+    def land_range(df, time, i):
+        part = F.lit(True)
+        if i > 0:
+            part &= F.col(time) > F.lit(edges[i - 1]).cast("timestamp_ntz")
+        if i < len(edges):
+            part &= F.col(time) <= F.lit(edges[i]).cast("timestamp_ntz")
+        return df.where(part)
+
+    rounds = [(land_range(scans, "hora_scan", i), land_range(codes, "fecha_generacion", i)) for i in range(len(edges) + 1)]
+    ahead = F.lit((high or dt.datetime(2000, 1, 1)) + dt.timedelta(days=3650)).cast("timestamp_ntz")
+    one = spark.range(1)
+
+    def last(df, **known):
+        return one.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    rounds.append((last(scans, id_aula=F.lit(-1), hora_scan=ahead),
+                   last(codes, id_aula=F.lit(-1), fecha_generacion=ahead, valido_hasta=ahead)))
+    for some_scans, some_codes in rounds:
+        some_scans.write.mode("append").parquet(scans_in)
+        some_codes.write.mode("append").parquet(codes_in)
+        _drain(jobs.start_stream_attendance(spark, scans_in, codes_in, out, ck, scans.schema, codes.schema))
+    return spark.read.schema(_verdict_schema(scans, codes)).parquet(out)
+
+
+def _verdict_schema(scans: DataFrame, codes: DataFrame) -> T.StructType:
+    of = codes.schema
+    return T.StructType([*scans.schema.fields, T.StructField("id_qr_vigente", of["id_qr"].dataType),
+                         T.StructField("codigo_vigente", of["codigo_qr"].dataType),
+                         T.StructField("asignatura_vigente", of["id_asignatura"].dataType), T.StructField("valida", T.BooleanType())])
+
+
 @register("stream_audit_fanout", ORACLE["append_audit"])
 def _stream_audit_fanout(spark, sf) -> DataFrame:
     src, schema = _land(spark, sf, "activity")

@@ -280,6 +280,47 @@ def start_stream_validate_attendance(spark, in_path, out_path, checkpoint, schem
     return _start(scans.writeStream.foreachBatch(fn), checkpoint, trigger)
 
 
+def start_stream_attendance(spark, scans_path, codes_path, out_path, checkpoint, scan_schema, code_schema, validity="7 days",
+                            delay="1 hour", max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
+    """Verdicts of ``validate_attendance`` for scans and codes that both arrive as streams.
+
+    A scan is judged when the watermark (``delay`` behind the slower stream) has passed its time: no code can come
+    any more that starts before it, so the verdict doesn't depend on how the rows were cut into batches.  Until then
+    it waits in the join's state.  A code may be valid for ``validity`` at most (a longer one stops the query with an
+    error) and leaves the state when no scan of its time can come.  Codes are listed under each day they touch, and
+    the join key is (room, day), so a busy room is spread over its days.  A scan is told from an equal one by its file
+    and row, so each gets its verdict, also after a restart.
+
+    Rows later than the watermark are dropped and counted (``late_rows``); scans without a time cannot be judged: see
+    ``start_stream_rejects(..., time_col="hora_scan")``."""
+    day = F.lit(86_400_000_000)
+
+    def day_of(c: str) -> Column:
+        return F.floor(F.unix_micros(c) / day).cast("long")
+
+    bound = F.expr(f"INTERVAL {validity}")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    scans = source(spark, scans_path, scan_schema, max_files).select("*", *place).where("hora_scan IS NOT NULL")
+    scans = scans.withColumn("_t", instant("hora_scan")).withWatermark("_t", delay).withColumn("_day", day_of("_t"))
+    codes = source(spark, codes_path, code_schema, max_files).where("fecha_generacion IS NOT NULL")
+    codes = codes.withColumn("_from", instant("fecha_generacion")).withWatermark("_from", delay)
+    until = F.when(instant("valido_hasta") > F.col("_from") + bound,
+                   F.raise_error(F.concat(F.lit("a code is valid for longer than "), F.lit(validity))).cast("timestamp")
+                   ).otherwise(instant("valido_hasta"))
+    found = ["id_qr", "codigo_qr"] + (["id_asignatura"] if "id_asignatura" in code_schema.names else [])
+    codes = codes.select(F.col("id_aula").alias("_room"), "_from", until.alias("_to"), F.struct(*found).alias("_code")).where("_from <= _to")
+    codes = codes.withColumn("_code_day", F.explode(F.sequence(day_of("_from"), day_of("_to"))))
+    met = scans.join(codes, (F.col("id_aula") == F.col("_room")) & (F.col("_day") == F.col("_code_day")) & (F.col("_from") <= F.col("_t"))
+                     & (F.col("_t") <= F.col("_to")) & (F.col("_from") >= F.col("_t") - bound), "leftOuter")
+    newest = F.max(F.when(F.col("_from").isNotNull(), F.struct("_from", F.col("_code.id_qr").alias("_id"), "_code"))).alias("_best")
+    best = met.groupBy(*scan_schema.names, "_file", "_row", "_t").agg(newest)
+    shown = [F.col(f"_best._code.{c}").alias(n) for c, n in
+             zip(found, ("id_qr_vigente", "codigo_vigente", "asignatura_vigente"), strict=False)]
+    out = best.select(*scan_schema.names, *shown,
+                      F.coalesce(F.col("_best._code.codigo_qr") == F.col("codigo_qr"), F.lit(False)).alias("valida"))
+    return _start(out.writeStream.format("parquet").option("path", out_path).outputMode("append"), checkpoint, trigger)
+
+
 def start_stream_audit_fanout(spark, in_path, log_path, footprint_path, checkpoint, schema, as_of,
                               max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Each action goes to the activity log and the footprint table.  The

@@ -5,6 +5,7 @@ a second batch with the first batch's state."""
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from campuslens.streaming import jobs
@@ -117,6 +118,41 @@ def test_stream_validate_attendance_per_batch(spark, scratch):
     assert got == {1: True, 2: False, 3: False}
 
 
+CODE = "id_qr long, id_aula long, codigo_qr string, fecha_generacion timestamp_ntz, valido_hasta timestamp_ntz"
+
+
+def _attendance_rounds(spark, folder, rounds):
+    """Verdicts after scans and codes landed in rounds, with a run after each."""
+    scans_in, codes_in, out, ck = (f"{folder}/{n}" for n in ("scans", "codes", "out", "ck"))
+    for scans, codes in rounds:
+        s, c = land(spark, scans, SCAN, scans_in), land(spark, codes, CODE, codes_in)
+        q = jobs.start_stream_attendance(spark, scans_in, codes_in, out, ck, s, c)
+        q.awaitTermination()
+        assert q.exception() is None and jobs.late_rows(q) == 0
+    return sorted(((r.id_profesor, r.id_qr_vigente, r.valida) for r in spark.read.parquet(out).collect()), key=str)
+
+
+def test_stream_attendance_with_codes_issued_between_batches(spark, scratch):
+    day = "2024-01-0{} 09:00:00".format
+    codes = [(1, 5, "A", t(day(1)), t(day(8))), (2, 5, "B", t(day(3)), t(day(4))), (3, 6, "C", t(day(2)), t(day(3)))]
+    scans = [(1, 5, "A", t(day(2))), (2, 5, "A", t(day(3))), (3, 5, "B", t(day(3))), (3, 5, "B", t(day(3))), (4, 6, "C", t(day(4))),
+             (5, None, "A", t(day(4))), (6, 5, "A", t(day(5)))]
+    end = ([(99, -1, "", t("2024-06-01 00:00:00"))], [(99, -1, "", t("2024-06-01 00:00:00"), t("2024-06-01 00:00:00"))])
+    want = sorted([(1, 1, True), (2, 2, False), (3, 2, True), (3, 2, True), (4, None, False), (5, None, False), (6, 1, True)], key=str)
+    assert _attendance_rounds(spark, f"{scratch}/one", [(scans, codes), end]) == want
+    # the code in force on day 3 lands after the first scans of that day
+    assert _attendance_rounds(spark, f"{scratch}/cut", [(scans[:3], codes[:1]), (scans[3:], codes[1:]), end]) == want
+
+
+def test_stream_attendance_refuses_longer_codes(spark, scratch):
+    scans_in, codes_in = f"{scratch}/scans", f"{scratch}/codes"
+    s = land(spark, [(1, 5, "A", t("2024-01-02 09:00:00"))], SCAN, scans_in)
+    c = land(spark, [(1, 5, "A", t("2024-01-01 09:00:00"), t("2024-01-09 09:00:00"))], CODE, codes_in)
+    q = jobs.start_stream_attendance(spark, scans_in, codes_in, f"{scratch}/out", f"{scratch}/ck", s, c)
+    with pytest.raises(Exception, match="longer than 7 days"):
+        q.awaitTermination()
+
+
 def test_stream_audit_fanout_writes_both_tables(spark, scratch):
     src, log, foot, ck = f"{scratch}/in", f"{scratch}/log", f"{scratch}/foot", f"{scratch}/ck"
     schema = land(spark, [act(1, "2024-01-01 10:00:00")], ACT, src)
