@@ -208,4 +208,4 @@ def _stream_audience(spark, sf) -> DataFrame:
     src, schema = _land(spark, sf, "listens")
     out, ck = _paths(spark, "audience")
     _drain(jobs.start_stream_audience(spark, src, out, ck, schema))
-    return jobs.read_snapshot(spark, out)
+    return jobs.read_audience(spark, out)

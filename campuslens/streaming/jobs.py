@@ -128,6 +128,40 @@ def merge_into_snapshot(path: str, keys: list[str]):
     return merge
 
 
+def merge_into_partitions(path: str, keys: list[str], part: str, part_of: Column):
+    """``foreachBatch`` function: as ``merge_into_snapshot``, but only the partitions that the batch touches are
+    read and rewritten.  ``part`` is the name of the partition column and ``part_of`` its value, a whole number.
+
+    Each partition has two slots.  The batch's rows and the partition's other rows (of its newest earlier slot) go
+    to the other slot, by one write that replaces just these folders.  All rows of a slot carry the batch that wrote
+    it, so a replayed batch sees what it saw the first time and writes the same slots again."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn(part, part_of.cast("long")).persist()
+        stored = T.StructType([*rows.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_slot", T.IntegerType())])
+        spark.createDataFrame([], stored).write.mode("ignore").parquet(path)
+        touched = rows.select(part).distinct()
+        old = spark.read.schema(stored).parquet(path).join(touched, part, "left_semi").where(F.col("_batch") < batch_id)
+        newest = old.groupBy(part).agg(F.max(F.struct("_batch", "_slot"))["_slot"].alias("_newest"))
+        kept = (old.join(newest, part).where("_slot = _newest").join(rows.select(*keys), keys, "left_anti")
+                .select(*rows.columns))
+        merged = kept.unionByName(rows).join(newest, part, "left").select(
+            *rows.columns, F.lit(batch_id).cast("long").alias("_batch"), (1 - F.coalesce("_newest", F.lit(1))).alias("_slot"))
+        (merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(part, "_slot").parquet(path))
+        rows.unpersist()
+    return merge
+
+
+def read_partitions(spark: SparkSession, path: str, schema: T.StructType, part: str) -> DataFrame:
+    """The newest slot of every partition that ``merge_into_partitions`` wrote; ``schema`` is that of its batches."""
+    stored = T.StructType([*schema.fields, T.StructField("_batch", T.LongType()), T.StructField(part, T.LongType()),
+                           T.StructField("_slot", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(path)
+    newest = rows.groupBy(part).agg(F.max(F.struct("_batch", "_slot"))["_slot"].alias("_slot"))
+    return rows.join(newest, [part, "_slot"], "left_semi").select(*schema.names)
+
+
 def write_batch_folder(path: str, transform=None):
     """``foreachBatch`` function writing each batch to its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -349,12 +383,21 @@ def start_stream_audience(spark, in_path, out_path, checkpoint, schema, watermar
                           max_files: int | None = None, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Running weekly plays and seconds per programme.  Weekly windows are
     offset by 4 days from the epoch (a Thursday), so they start on Monday
-    like DATE_TRUNC('week').  Update mode, merged into a snapshot."""
+    like DATE_TRUNC('week').  Update mode; a batch rewrites the weeks it
+    touches only.  Read the result with ``read_audience``; plays without a
+    time are left to ``start_stream_rejects(..., time_col="fecha")``."""
     rows = (source(spark, in_path, schema, max_files).withColumn("_t", instant("fecha"))
             .withWatermark("_t", watermark))
     agg = rows.groupBy(F.window("_t", "7 days", "7 days", "4 days").alias("w"), "id_programa").agg(
         F.count(F.lit(1)).alias("total_reproducciones"),
         F.sum("segundos_escuchados").cast("long").alias("total_segundos"))
     out = agg.select(wall("w.start").alias("semana"), "id_programa", "total_reproducciones", "total_segundos")
-    return _start(out.writeStream.outputMode("update").foreachBatch(
-        merge_into_snapshot(out_path, ["semana", "id_programa"])), checkpoint, trigger)
+    merge = merge_into_partitions(out_path, ["semana", "id_programa"], "dia_semana", F.datediff("semana", F.lit("1970-01-01").cast("date")))
+    return _start(out.writeStream.outputMode("update").foreachBatch(merge), checkpoint, trigger)
+
+
+def read_audience(spark: SparkSession, path: str, programme: str = "long") -> DataFrame:
+    """The running audience that ``start_stream_audience`` keeps; ``programme`` is the type of its ids."""
+    schema = T.StructType().add("semana", "timestamp_ntz").add("id_programa", programme)
+    schema = schema.add("total_reproducciones", "long").add("total_segundos", "long")
+    return read_partitions(spark, path, schema, "dia_semana")

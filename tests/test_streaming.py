@@ -191,11 +191,49 @@ def test_stream_audience_equals_batch_over_several_batches(spark, scratch):
     q = jobs.start_stream_audience(spark, src, out, ck, schema, max_files=1)
     q.awaitTermination()
     assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 4
-    got = sorted(tuple(r) for r in jobs.read_snapshot(spark, out).collect())
+    got = sorted(tuple(r) for r in jobs.read_audience(spark, out).collect())
     want = sorted(tuple(r) for r in A.audience(listens.where(F.col("fecha").isNotNull()), "week").collect())
     assert got == want
 
 
+def test_stream_audience_rewrites_touched_weeks_and_replays(spark, scratch):
+    import glob
+    import os
+
+    def file_times(week):
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{out}/dia_semana={week}/*/*.parquet")}
+    out = f"{scratch}/out"
+    merge = jobs.merge_into_partitions(out, ["semana", "id_programa"], "dia_semana",
+                                       F.datediff("semana", F.lit("1970-01-01").cast("date")))
+    monday, next_monday = t("2024-01-01 00:00:00"), t("2024-01-08 00:00:00")
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "semana timestamp_ntz, id_programa long, total_reproducciones long, total_segundos long")
+
+    def now():
+        return sorted(tuple(r) for r in jobs.read_audience(spark, out).collect())
+    merge(batch((monday, 1, 1, 10), (monday, 2, 1, 5)), 0)
+    first = file_times(19723)
+    merge(batch((next_monday, 1, 1, 7)), 1)
+    assert first and file_times(19723) == first      # the first week's files are as they were
+    for _ in range(2):                               # a replayed batch changes nothing
+        merge(batch((next_monday, 1, 3, 9), (next_monday, 4, 1, 1), (monday, 2, 2, 6)), 2)
+        assert now() == [(monday, 1, 1, 10), (monday, 2, 2, 6), (next_monday, 1, 3, 9), (next_monday, 4, 1, 1)]
+    merge(batch((monday, 1, 5, 50)), 3)
+    assert now()[:2] == [(monday, 1, 5, 50), (monday, 2, 2, 6)] and len(now()) == 4
+
+
+def test_every_play_is_counted_or_rejected(spark, scratch):
+    from campuslens.plans.bindings import bind
+    listens = bind(spark, "/root/testdata/sf0.001", "listens")
+    listens.write.parquet(f"{scratch}/in")
+    jobs.start_stream_audience(spark, f"{scratch}/in", f"{scratch}/out", f"{scratch}/ck", listens.schema).awaitTermination()
+    jobs.start_stream_rejects(spark, f"{scratch}/in", f"{scratch}/rejects", f"{scratch}/ck2", listens.schema, "fecha").awaitTermination()
+    plays = jobs.read_audience(spark, f"{scratch}/out").agg(F.sum("total_reproducciones")).first()[0]
+    rejects = spark.read.parquet(f"{scratch}/rejects").count()
+    assert rejects > 0 and plays + rejects == listens.count()
+
+
 def test_stream_latest_position_equals_batch_over_several_batches(spark, scratch):
     from campuslens.operators import windows as W
     from campuslens.plans.bindings import bind
