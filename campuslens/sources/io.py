@@ -87,19 +87,82 @@ def _search_predicate(df: DataFrame, search: str) -> Column:
                      if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))])
 
 
+SHALLOW = 10_000  #: rows up to which a page is sorted straight from the top
+_PIVOTS, _SAMPLE = 16, 2_000
+_ORDERED_TYPES = (T.StringType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def _after(order: list[tuple[str, bool]], schema: T.StructType, pivot: tuple) -> Column:
+    """Whether a row comes after ``pivot`` in the page order (ascending: NULL first; descending: NULL last)."""
+    found = F.lit(False)
+    for (name, asc), value in reversed(list(zip(order, pivot, strict=True))):
+        c, kind = F.col(f"`{name}`"), schema[name].dataType
+        at = F.timestamp_micros(F.lit(value)) if isinstance(kind, T.TimestampType) else F.lit(value).cast(kind)
+        if value is None:
+            later, same = (c.isNotNull() if asc else F.lit(False)), c.isNull()
+        else:
+            later, same = F.coalesce(c > at, F.lit(False)) if asc else F.coalesce(c < at, F.lit(True)), c.eqNullSafe(at)
+        found = later | (same & found)
+    return found
+
+
+def _around(rows: DataFrame, order: list[tuple[str, bool]], columns: list[Column], offset: int, size: int) -> tuple[DataFrame, int]:
+    """Rows among which those at ``offset`` to ``offset + size`` are, and how many rows come before them.
+
+    The bounds are narrowed as in a search for a quantile: some rows of a sample part the rest, one pass counts
+    what lies between them, and the parts with the page go on."""
+    def micros(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.unix_micros(c) if isinstance(rows.schema[name].dataType, T.TimestampType) else c
+
+    inside, before, left = F.lit(True), 0, rows.count()
+    while left > max(SHALLOW, 4 * size) and offset < before + left:
+        some = rows.where(inside).sample(min(1.0, _SAMPLE / left)).limit(4 * _SAMPLE).orderBy(*columns)
+        sample = [tuple(r) for r in some.select(*[micros(c).alias(f"c{i}") for i, (c, _) in enumerate(order)]).collect()]
+        pivots = list(dict.fromkeys(sample[len(sample) * i // (_PIVOTS + 1)] for i in range(1, _PIVOTS + 1))) if sample else []
+        tests = [_after(order, rows.schema, p) for p in pivots]
+        part = sum((t.cast("int") for t in tests), F.lit(0))
+        counts = dict(rows.where(inside).groupBy(part.alias("part")).count().collect())
+        first = last = 0
+        while first < len(pivots) and offset >= before + counts.get(first, 0):
+            before += counts.get(first, 0)
+            first = last = first + 1
+        held = counts.get(first, 0)
+        while last < len(pivots) and offset + size > before + held:
+            last += 1
+            held += counts.get(last, 0)
+        if held == left:  # equal rows: no pivot parts them
+            break
+        if first > 0:
+            inside = inside & tests[first - 1]
+        if last < len(pivots):
+            inside = inside & ~tests[last]
+        left = held
+    return rows.where(inside), before
+
+
 def browse_page(df: DataFrame, search: str | None = None, sort: list[tuple[str, bool]] | None = None,
                 page: int = 0, size: int = 10) -> DataFrame:
     """One page of a table view: case-insensitive text search over all
     columns, sort (ascending flag per column; NULL first when ascending,
     last when descending) completed by every other column so that pages
-    never overlap, then ``offset``/``limit``."""
+    never overlap, then ``offset``/``limit``.
+
+    A page that ends within the first ``SHALLOW`` rows is a plain top-k.  For
+    a later one its bounds are found first by counting (a few passes over the
+    sort columns while the frame is built), and only the rows between them are
+    sorted; so no task gets the pages before it.  Tables with array or struct
+    columns, which have no literal to compare with, are sorted from the top."""
     out = df.where(_search_predicate(df, search)) if search else df
-    sort = sort or []
-    order = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in sort]
-    used = {c for c, _ in sort}
-    order += [F.col(f.name).asc_nulls_first() for f in df.schema.fields
-              if f.name not in used and not isinstance(f.dataType, (T.MapType,))]
-    return out.orderBy(*order).offset(page * size).limit(size)
+    order = list(sort or [])
+    used = {c for c, _ in order}
+    order += [(f.name, True) for f in df.schema.fields if f.name not in used and not isinstance(f.dataType, T.MapType)]
+    columns = [F.col(f"`{c}`").asc_nulls_first() if asc else F.col(f"`{c}`").desc_nulls_last() for c, asc in order]
+    offset = page * size
+    if offset + size > SHALLOW and all(isinstance(df.schema[c].dataType, _ORDERED_TYPES) for c, _ in order):
+        out, before = _around(out, order, columns, offset, size)
+        offset -= before
+    return out.orderBy(*columns).offset(offset).limit(size)
 
 
 def write_by_day(df: DataFrame, path: str, ts: str, day_col: str = "dia") -> None:

@@ -184,3 +184,26 @@ def test_a_range_without_a_bucket_key_raises(spark, monkeypatch):
     monkeypatch.setattr(ordered, "_bucket_keys", lambda spark, n: spark.createDataFrame([(0, 0)], "_pid long, _bk long"))
     with pytest.raises(Exception, match="no bucket key"):
         ordered.ranged(spark.range(100), [F.col("id").asc()], {"id"}, n=4)
+
+
+def test_a_deep_page_is_that_of_the_whole_order(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    from campuslens.sources import io
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b", "\u00e9", ""]), rng.choice([None, 1.5, -2.0, 7.25]), rng.randrange(40),
+             dt.datetime(2024, 1, 1 + rng.randrange(3), rng.randrange(24))) for _ in range(1500)] + [("a", 1.5, 3, None)] * 300
+    df = spark.createDataFrame(rows, "`a b` string, x double, n long, at timestamp").repartition(5)
+    sort = [("a b", False), ("x", True)]
+
+    def pages():
+        return [[tuple(r) for r in io.browse_page(df, sort=sort, page=p, size=70).collect()] for p in (0, 3, 11, 25, 26)]
+    plain = pages()
+    monkeypatch.setattr(io, "SHALLOW", 50)
+    monkeypatch.setattr(io, "_SAMPLE", 60)
+    monkeypatch.setattr(io, "_PIVOTS", 5)
+    assert pages() == plain and len(plain[3]) == 50 and plain[4] == []
+    narrowed, before = io._around(df, sort + [("n", True), ("at", True)],
+                                  [df["`a b`"].desc_nulls_last(), df.x.asc_nulls_first(), df.n.asc_nulls_first(), df["at"].asc_nulls_first()], 770, 70)
+    assert before <= 770 < before + narrowed.count() < 1800
