@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BLOCK = 4096  #: bytes of one bitmap that Spark builds
+
 #: A word: digits, a-z (after lower-casing A-Z) and every character beyond ASCII.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,6 +56,46 @@ def emptied(df: DataFrame, path: str) -> None:
     df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
+class Scratch:
+    """Stored tables of one operator in a folder of their own, removed together once its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder, self.count = spark, scratch_path(spark, f"llm-{name}"), 0
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function ``saved``, in this folder."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def removed(self) -> None:
+        """Overwrite the folder with a table without rows: no later job may read from it."""
+        self.spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(self.folder)
+        forget(self.spark)
+
+
+def repeated_bits(hashes: DataFrame, bits: int) -> bytes:
+    """A bit for each value of the first ``bits`` bits of a hash (``hash``, a long), set if a row has it.
+
+    The size is fixed (2 ** ``bits`` / 8 bytes), so it may go through the driver to every task; where many rows
+    set all bits it lets all hashes pass, so whatever it is used for needs an exact step behind it."""
+    cell = F.shiftrightunsigned("hash", 64 - bits) + 1
+    blocks = hashes.groupBy(F.bitmap_bucket_number(cell).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).toArrow()
+    out = bytearray(max((1 << bits) // 8, _BLOCK))
+    for block, part in zip(blocks.column("block").to_pylist(), blocks.column("bits"), strict=True):
+        out[(block - 1) * _BLOCK:block * _BLOCK] = part.as_py()
+    return bytes(out)
+
+
+def has_bit(filter_bits: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit set in ``repeated_bits``."""
+    cell = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (filter_bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of frames that are gone: it learns of them when the
     driver's JVM collects its garbage, which may be long after."""

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node of the links (a, b).
 
     Each round points neighbours at their smallest neighbour, first from
     above, then from below; the links end as stars.  Rounds read the
-    stored links of the round before.  Links with a null end are ignored.
+    stored links of the round before, in ``scratch``.  Links with a null end are ignored.
     """
     edges = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = scratch.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         pairs = edges.join(low, "u")
-        edges = saved(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = scratch.saved(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .union(low.select("u", "m")).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, saved
+from .common import Scratch, batches, forget, saved
 from .components import components
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
@@ -212,35 +212,38 @@ def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float,
+             scratch: Scratch) -> DataFrame:
     """The components (``node``, ``root``) of ``links`` and of all links between nodes that share a bucket.
 
     ``shared``: ``bucket``, ``node``; ``nodes``: ``node``, ``sketch`` (packed 32-bit registers); ``sets``: ``node``,
     ``packed`` (weighted set, as ``pack`` makes it)."""
-    roots = components(links)
+    roots = components(links, scratch)
     at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
-    at = saved(at.join(mixed, "bucket"), "mixed")
-    return components(links.union(saved(_across(at, nodes, sets, threshold), "across")))
+    at = scratch.saved(at.join(mixed, "bucket"), "mixed")
+    across = scratch.saved(_across(at, nodes, sets, threshold, scratch), "across")
+    forget(at.sparkSession)
+    return components(links.union(across), scratch)
 
 
-def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join different components in open buckets; ``at``: ``bucket``, ``node``, ``root`` and
     ``x``, the bucket's smallest root.
 
     Components that meet in buckets form a group.  A group is cut into blocks of about ``BLOCK`` nodes, blocks of
     one component where it is that large, and each pair of blocks is one record, unless both hold the same one
     component.  Comparing a pair of blocks puts out one link at most for each two components that it joins."""
-    groups = components(at.where("root <> x").select(F.col("root").alias("a"), F.col("x").alias("b")).distinct())
+    groups = components(at.where("root <> x").select(F.col("root").alias("a"), F.col("x").alias("b")).distinct(), scratch)
     own = at.select("node", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("group")), "root")
     own = own.join(sets, "node").join(nodes.select("node", "sketch"), "node")
-    own = saved(own.select("group", "root", "node", "sketch", "packed", F.octet_length("packed").alias("size")), "open")
+    own = scratch.saved(own.select("group", "root", "node", "sketch", "packed", F.octet_length("packed").alias("size")), "open")
     many = own.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn(
         "one", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(bytearray())))
     parts = many.groupBy("group", "one").agg(F.ceil(F.greatest(
         F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
     dealt = own.join(many.select("group", "root", "one"), ["group", "root"]).join(parts, ["group", "one"])
-    blocks = saved(dealt.groupBy("group", "one", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
+    blocks = scratch.saved(dealt.groupBy("group", "one", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
         F.collect_list(F.struct("node", "root", "sketch", "packed")).alias("rows")), "blocks")  # about BLOCK rows
     key = blocks.select("group", "one", "part")
     x, y = (key.withColumnsRenamed({"one": f"one_{i}", "part": f"part_{i}"}) for i in "xy")
@@ -291,23 +294,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     """One row per document row: ``doc_id``, ``key`` (hash of id and text), ``class_id`` (the smallest id
     of its class), ``class_size`` (rows), ``n_texts`` (different weighted sets) and ``first`` (true for the
     rows of one document of the class)."""
-    rows = saved(sketches(docs, n, id_col, text_col), "sketches")
-    nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows = scratch.saved(sketches(docs, n, id_col, text_col), "sketches")
+    nodes = scratch.saved(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch")), "nodes")
     every = _buckets(nodes)
     several = every.groupBy("bucket").count().where("count > 1").select("bucket")
-    shared = saved(every.join(several, "bucket"), "buckets")
-    pairs = saved(_estimated(_pairs(shared), nodes, least_alike(threshold, BANDS * ROWS)), "pairs")
+    shared = scratch.saved(every.join(several, "bucket"), "buckets")
+    pairs = scratch.saved(_estimated(_pairs(shared), nodes, least_alike(threshold, BANDS * ROWS)), "pairs")
     wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = saved(_sets(docs, wanted, n, id_col, text_col), "sets")
+    sets = scratch.saved(_sets(docs, wanted, n, id_col, text_col), "sets")
+    forget(docs.sparkSession)
 
     best = pairs.groupBy("a").agg(F.max_by("b", "alike").alias("b")).union(
         pairs.groupBy("b").agg(F.max_by("a", "alike").alias("a")).select("a", "b")).distinct()
-    links = saved(_verified(best, sets, threshold).select("a", "b"), "wave")
-    roots = components(links)
+    links = scratch.saved(_verified(best, sets, threshold).select("a", "b"), "wave")
+    roots = components(links, scratch)
     rest = _in_different(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    links = saved(links.union(_verified(rest, sets, threshold).select("a", "b")), "wave")
-    roots = complete(shared, links, nodes, sets, threshold)
+    links = scratch.saved(links.union(_verified(rest, sets, threshold).select("a", "b")), "wave")
+    roots = complete(shared, links, nodes, sets, threshold, scratch)
+    forget(docs.sparkSession)
 
     # classes
     whole = rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
@@ -320,7 +326,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     alone = whole.where("root IS NULL").select(
         "doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
         F.lit(0).cast("long").alias("n_texts"), F.lit(True).alias("first"))
-    return out.select("doc_id", "key", "class_id", "class_size", "n_texts", "first").union(alone)
+    out = saved(out.select("doc_id", "key", "class_id", "class_size", "n_texts", "first").union(alone), "classes")
+    scratch.removed()
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

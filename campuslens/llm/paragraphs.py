@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import batches, cut, forget, saved
+from .common import Scratch, batches, cut, forget, has_bit, repeated_bits, saved
 from .minhash import complete, pack, unpack
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
@@ -56,6 +56,7 @@ RUN, SEED, TEXT = 0, 1, 2  #: kinds of equal-words units
 RECALL = 0.995
 REGISTERS = 16
 PART = 1000
+FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB)
 _ODD = 0xD6E8FEB86659FD93
 
 
@@ -208,17 +209,20 @@ def paragraph_units(source: DataFrame, n: int, min_words: int, registers: int) -
     return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, node binary, sketch binary")
 
 
-def passage_units(source: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` (64 bits each) of every passage, seed and
-    text, and which of these it is (``unit``)."""
+def passage_units(source: DataFrame, min_words: int, wanted: bytes) -> DataFrame:
+    """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` (64 bits each) of the passages, seeds and
+    texts whose hash has its bit in ``wanted``, and which of these each is (``unit``)."""
+    shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 2):
             u = Units(*text_bytes(b.column(2)), min_words, True)
             if len(u.run_row):
-                at = pa.array(u.run_row)
+                some = has_bit(shared.value, u.run_hash[0], FILTER_BITS)
+                at = pa.array(u.run_row[some])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(u.run_start, pa.int32()), pa.array(u.run_end, pa.int32()),
-                     *map(pa.array, u.run_hash), pa.array(u.run_kind)], ["doc_id", "key", "start", "end", "hash", "more", "unit"])
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(u.run_start[some], pa.int32()), pa.array(u.run_end[some], pa.int32()),
+                     *(pa.array(h[some]) for h in u.run_hash), pa.array(u.run_kind[some])], ["doc_id", "key", "start", "end", "hash", "more", "unit"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, hash long, more long, unit byte")
@@ -275,14 +279,18 @@ def _later() -> Column:
     return ~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))
 
 
-def _node_sets(source: DataFrame, n: int, min_words: int) -> DataFrame:
+def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes) -> DataFrame:
+    """``node`` and ``packed`` set of the paragraphs whose node has its bit in ``wanted``."""
+    shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 0):
             u = Units(*text_bytes(b.column(0)), min_words)
             if len(u.line_row):
                 h, bounds, nodes = u.sets(n)
-                packed = [pack(h[x:y], np.ones(y - x)) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["node", "packed"])
+                some = has_bit(shared.value, np.frombuffer(b"".join(nodes), ">u8")[::2].astype(np.uint64), FILTER_BITS)
+                own = {nodes[i]: pack(h[bounds[i]:bounds[i + 1]], np.ones(bounds[i + 1] - bounds[i])) for i in np.flatnonzero(some)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["node", "packed"])
 
     return source.select("text").mapInArrow(run, "node binary, packed binary")
 
@@ -318,24 +326,28 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min_words: int, bands: int, rows: int) -> DataFrame:
+def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min_words: int, bands: int, rows: int,
+              scratch: Scratch) -> DataFrame:
     """``node`` and ``cluster`` of the paragraphs that are like others of another set."""
-    nodes = saved(units.select("node", "sketch").dropDuplicates(["node"]), "paragraph-nodes")
+    nodes = scratch.saved(units.select("node", "sketch").dropDuplicates(["node"]), "paragraph-nodes")
     every = _bands(nodes, bands, rows)
     several = every.groupBy("bucket").count().where("count > 1")
-    shared = saved(every.join(several, "bucket"), "paragraph-buckets")
+    shared = scratch.saved(every.join(several, "bucket"), "paragraph-buckets")
     centre = shared.groupBy("bucket").agg(F.min("node").alias("centre"))
     order = F.xxhash64("node", "bucket")
     part = Window.partitionBy("bucket", F.pmod(order, F.ceil(F.col("count") / PART))).orderBy(order, "node")
     placed = shared.join(centre, "bucket").withColumn("before", F.lag("node").over(part))
-    pairs = saved(placed.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(
+    pairs = scratch.saved(placed.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(
         placed.where("before IS NOT NULL").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")))
         .distinct(), "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = saved(_node_sets(source, n, min_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
-    links = saved(_similar(pairs, sets, threshold), "paragraph-links")
     forget(source.sparkSession)
-    return complete(shared.select("bucket", "node"), links, nodes, sets, threshold).withColumnRenamed("root", "cluster")
+    # the first 8 bytes of a node are a hash
+    bits = repeated_bits(wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("hash")), FILTER_BITS)
+    sets = scratch.saved(_node_sets(source, n, min_words, bits).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
+    links = scratch.saved(_similar(pairs, sets, threshold), "paragraph-links")
+    forget(source.sparkSession)
+    return complete(shared.select("bucket", "node"), links, nodes, sets, threshold, scratch).withColumnRenamed("root", "cluster")
 
 
 def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_words: int = MIN_WORDS, recall: float = RECALL,
@@ -343,34 +355,38 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     """Every unit to cut out: ``doc_id``, ``key``, ``start`` and ``end`` (bytes), ``kind``, and ``first_doc``
     (the document whose unit stays)."""
     source = _source(docs, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "paragraphs")
     # passages: the counts of the hashes alone, then the units behind those that repeat
-    several = saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
+    several = scratch.saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
     forget(docs.sparkSession)
-    again = saved(passage_units(source, min_words).join(several, "hash"), "passages")
+    wanted = repeated_bits(several, FILTER_BITS)
+    again = scratch.saved(passage_units(source, min_words, wanted).join(several, "hash"), "passages")
     forget(docs.sparkSession)
-    common = saved(again.join(_first_of_equal(again), ["hash", "more"]).drop("hash", "more"), "passages-common")
+    common = scratch.saved(again.join(_first_of_equal(again), ["hash", "more"]).drop("hash", "more"), "passages-common")
     runs = common.where(_later())
     # grams around common seeds; a later copy of a whole text needs none
     copies = runs.where(F.col("unit") == TEXT).select("key").distinct()
     seeds = common.where(F.col("unit") == SEED).join(copies, "key", "left_anti").groupBy("key").agg(
         F.collect_set("start").alias("seeds"))
-    grams = saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
+    grams = scratch.saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
     forget(docs.sparkSession)
     runs = runs.select("doc_id", "key", "start", "end", "least").union(
         grams.join(_first_of_equal(grams), ["hash", "more"]).where(_later()).select("doc_id", "key", "start", "end", "least"))
-    runs = runs.withColumn("kind", F.lit("passage"))
+    runs = saved(runs.withColumn("kind", F.lit("passage")), "passage-spans")
+    scratch.removed()
     # paragraphs
     bands, rows = tune(threshold, recall)
-    units = saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
-    clusters = saved(_clusters(units, source, threshold, n, min_words, bands, rows), "paragraph-clusters")
+    units = scratch.saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
+    clusters = scratch.saved(_clusters(units, source, threshold, n, min_words, bands, rows, scratch), "paragraph-clusters")
     forget(docs.sparkSession)
     of = units.select("doc_id", "key", "start", "end", "node").join(clusters, "node", "left").withColumn(
         "cluster", F.coalesce("cluster", "node"))
     least = of.groupBy("cluster").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("all"))
     lines = of.join(least.where("all > 1"), "cluster").select("doc_id", "key", "start", "end", "least", F.lit("paragraph").alias("kind"))
-    found = runs.union(lines)
-    return found.where(_later()).select(
-        "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc"))
+    found = saved(runs.union(lines.where(_later())).select(
+        "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc")), "spans")
+    scratch.removed()
+    return found
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
