@@ -172,7 +172,7 @@ def passengers_by_route(routes: DataFrame, stops: DataFrame, passengers: DataFra
 _DAY_US = 86_400_000_000
 
 
-def _micros(c: str) -> Column:
+def micros(c: str) -> Column:
     """Microseconds since 1970 on the wall clock; exact, and independent of the session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
 
@@ -191,7 +191,7 @@ def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_q
     read in order of their start, so the codes still valid form a stack with the
     newest on top; a task holds the stack of one slice at a time.  At most two
     pieces come out for each code and slice."""
-    kept = codes.select(F.col(room).alias("_room"), _micros(valid_from).alias("_from"), _micros(valid_to).alias("_to"),
+    kept = codes.select(F.col(room).alias("_room"), micros(valid_from).alias("_from"), micros(valid_to).alias("_to"),
                         F.col(code_id).alias("_id"), F.struct(*codes.columns).alias("_code"))
     kept = kept.where("_room IS NOT NULL AND _from <= _to").withColumn(
         "_slice", F.explode(F.sequence(_slice(F.col("_from"), width), _slice(F.col("_to"), width))))
@@ -231,7 +231,7 @@ def code_intervals(codes: DataFrame, room: str = "id_aula", code_id: str = "id_q
             run_until(_NEVER)
             yield _interval_batch(out, batch.schema)
 
-    order = "_room", "_slice", "_from", F.col("_id").asc_nulls_first()
+    order = "_room", "_slice", "_from", F.col("_id").asc_nulls_first(), "_code"
     return (kept.repartition("_room", "_slice").sortWithinPartitions(*order)
             .select("_room", "_slice", "_start", "_end", "_code").mapInArrow(cut, schema))
 
@@ -274,7 +274,7 @@ def validate_in(scans: DataFrame, pieces: DataFrame, room: str = "id_aula", time
                 code_id: str = "id_qr", code_text: str = "codigo_qr", subject: str = "id_asignatura",
                 bucket_days: int = 7) -> DataFrame:
     """``validate_attendance`` with codes that ``code_intervals`` has cut before, in slices of ``bucket_days``."""
-    s = scans.withColumn("_at", _micros(time)).withColumn("_sb", _slice(F.col("_at"), bucket_days * _DAY_US))
+    s = scans.withColumn("_at", micros(time)).withColumn("_sb", _slice(F.col("_at"), bucket_days * _DAY_US))
     j = s.join(pieces, (F.col(room) == F.col("_room")) & (F.col("_sb") == F.col("_slice"))
                & F.col("_at").between(F.col("_start"), F.col("_end")), "left")
     found = [F.col("_code")[code_id].alias("id_qr_vigente"), F.col("_code")[code_text].alias("codigo_vigente")]

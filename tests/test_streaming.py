@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from campuslens.operators import joins as J
 from campuslens.streaming import jobs
 
 POS = ("id_posicion long, id_bus long, id_ruta long, latitud double, longitud double, velocidad decimal(18,4), "
@@ -144,6 +145,42 @@ def test_stream_attendance_with_codes_issued_between_batches(spark, scratch):
     assert _attendance_rounds(spark, f"{scratch}/cut", [(scans[:3], codes[:1]), (scans[3:], codes[1:]), end]) == want
 
 
+def test_stream_attendance_holds_a_row_for_each_scan_and_code(spark, scratch):
+    """Codes valid at the same time are not paired with each scan, nor listed for each of their days."""
+    hour = "2024-01-{:02d} {:02d}:00:00".format
+    codes = [(i, 5, f"Q{i % 3}", t(hour(1 + i % 5, i % 24)), t(hour(6 + i % 2, i % 24))) for i in range(200)]
+    scans = [(i, 5, f"Q{i % 3}", t(hour(1 + i % 7, (i * 7) % 24))) for i in range(200)]
+    end = (99, -1, "", t("2024-06-01 00:00:00"))
+    s, c = land(spark, [*scans, end], SCAN, f"{scratch}/scans"), land(spark, [*codes, (*end, end[-1])], CODE, f"{scratch}/codes")
+    q = jobs.start_stream_attendance(spark, f"{scratch}/scans", f"{scratch}/codes", f"{scratch}/out", f"{scratch}/ck", s, c)
+    q.awaitTermination()
+    assert q.exception() is None
+    want = J.validate_attendance(spark.createDataFrame(scans, SCAN), spark.createDataFrame(codes, CODE))
+    got = spark.read.parquet(f"{scratch}/out").drop("batch_id")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert sum(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= len(scans) + len(codes)
+
+
+def test_stream_attendance_batch_run_again_and_late_rows(spark, scratch):
+    day = "2024-01-0{} 09:00:00".format
+    s, c = spark.createDataFrame([], SCAN).schema, spark.createDataFrame([], CODE).schema
+
+    def rows(scans, codes):
+        a, b = spark.createDataFrame(scans, s), spark.createDataFrame(codes, c)
+        return a.select(F.struct("*").alias("scan"), F.lit(None).cast(c).alias("code")).union(
+            b.select(F.lit(None).cast(s).alias("scan"), F.struct("*").alias("code")))
+    run = jobs.attendance_batches(f"{scratch}/out", f"{scratch}/state", f"{scratch}/late", s, c, 3_600_000_000)
+    batches = [rows([(1, 5, "A", t(day(2))), (2, 5, "B", t(day(4)))], [(1, 5, "A", t(day(1)), t(day(5)))]),
+               rows([(3, 5, "A", t(day(3)))], [(2, 5, "B", t(day(4)), t(day(5)))]),
+               rows([(4, 5, "A", t(day(1))), (5, 5, "B", t(day(6)))], [(3, 5, "C", t(day(7)), t(day(8)))])]
+    for i, b in enumerate(batches):
+        run(b, i)
+        run(b, i)
+    got = sorted((r.id_profesor, r.id_qr_vigente, r.valida) for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert got == [(1, 1, True), (2, 2, True), (3, 1, True)]
+    assert [r.scan.id_profesor for r in spark.read.parquet(f"{scratch}/late").collect()] == [4]
+
+
 def test_stream_attendance_refuses_longer_codes(spark, scratch):
     scans_in, codes_in = f"{scratch}/scans", f"{scratch}/codes"
     s = land(spark, [(1, 5, "A", t("2024-01-02 09:00:00"))], SCAN, scans_in)
