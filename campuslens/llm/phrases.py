@@ -46,6 +46,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -109,11 +110,11 @@ class Words:
         found = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         self.read += [found[found != 1], np.zeros(1, np.int32)]
 
-    def counted(self, cells: np.ndarray | None, scan: int, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """For each length: the phrases that are counted in this scan, the scan before the first in which
-        they are, and their occurrences.  Length 0 is all words."""
+    def counted(self, cells: np.ndarray | None, scan: int, shards: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+        """For each length: the phrases that are counted in this scan (large binary), the scan before the first in
+        which they are, and their occurrences.  Length 0 is all words."""
         at = np.concatenate(self.read)
-        names = list(self.numbers)
+        names = pa.array(list(self.numbers), pa.large_binary())
         word = at > 0
         if not word.any():
             return
@@ -121,12 +122,12 @@ class Words:
             uses = np.bincount(at, minlength=len(names))
             uses[0] = 0
             some = np.flatnonzero(uses)
-            yield 1, [names[i] for i in some.tolist()], np.full(len(some), -1), uses[some]
-            yield 0, [b""], np.array([-1]), np.array([word.sum()])
+            yield 1, names.take(pa.array(some)), np.full(len(some), -1), uses[some]
+            yield 0, pa.array([b""], pa.large_binary()), np.array([-1]), np.array([word.sum()])
         if cells is None:
             return
         mask = np.uint64(len(cells) - 1)
-        hashes = _hashes(self.lang, names)
+        hashes = _hashes(self.lang, list(self.numbers))
         # of the phrase one word shorter that starts at each place: its number, its hash, and the scan in which it reached the threshold
         number, shorter, key = at.astype(np.int64), names, hashes[at]
         reached = np.where(word, cells[(key & mask).astype(np.int64)], NEVER).astype(np.int16)
@@ -142,13 +143,14 @@ class Words:
             reached = np.where((start < NEVER) & (reached < NEVER), np.maximum(reached, start + 1), NEVER)
             used = np.flatnonzero(active | (reached < NEVER))
             back, pairs = pd.factorize(number[:-1][used] << 32 | late[used])
-            phrases = [shorter[p >> 32] + b" " + names[p & 0xFFFFFFFF] for p in pairs.tolist()]
+            phrases = pc.binary_join_element_wise(shorter.take(pa.array(pairs >> 32)), names.take(pa.array(pairs & 0xFFFFFFFF)),
+                                                  pa.scalar(b" ", pa.large_binary()))
             uses = np.bincount(back[active[used]], minlength=len(pairs))
             starts = np.zeros(len(pairs), np.int16)
             starts[back] = start[used]
             some = np.flatnonzero(uses)
             if len(some):
-                yield length, [phrases[i] for i in some.tolist()], starts[some], uses[some]
+                yield length, phrases.take(pa.array(some)), starts[some], uses[some]
             number = np.zeros(len(start), np.int64)
             number[used] = back
             shorter = phrases
@@ -167,10 +169,10 @@ def _count(docs: DataFrame, scan: int, shards: int, cells: Broadcast[bytes] | No
             for lang in list(waiting):
                 for length, phrases, start, n in waiting.pop(lang).counted(table, scan, shards):
                     for at in range(0, len(phrases), 1 << 16):
-                        some = phrases[at:at + (1 << 16)]
+                        some = phrases.slice(at, 1 << 16)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), length, np.int32)),
-                             pa.array(some, pa.binary()), pa.array(start[at:at + len(some)].astype(np.int32)),
+                            [pa.repeat(pa.scalar(lang, pa.string()), len(some)), pa.array(np.full(len(some), length, np.int32)),
+                             some.cast(pa.binary()), pa.array(start[at:at + len(some)].astype(np.int32)),
                              pa.array(n[at:at + len(some)].astype(np.int64))], ["lang", "length", "phrase", "start", "n"])
 
         read = 0
@@ -225,7 +227,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         seen = _count(source, scan, shards, shared).withColumn("before", F.lit(0).cast("long"))
         if state is not None:
             seen = seen.unionByName(state.where(_kept(scan - 1, shards, threshold)).withColumn("before", F.col("n")))
-        seen = seen.groupBy("lang", "length", "phrase", "start").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+        # a task's phrases are different ones by far the most: rows are shuffled first and added up once
+        key = "lang", "length", "phrase", "start"
+        seen = seen.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
         old, old_path = state, state_path
         # the first scan keeps all words, whose number gives the size of the table
         state, state_path = saved_at(seen.where(_kept(scan, shards, threshold)) if scan else seen, "phrase-counts")

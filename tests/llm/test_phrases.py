@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,13 @@ def test_no_rows_and_a_long_text(spark):
     assert none.collect() == [] and phrases.collocations(none).collect() == []
     rows = [(1, "one two three, " * 100_000, "en"), (2, "", "en"), (3, " \t.;", "de")]
     assert found(phrases.frequent_phrases(spark.createDataFrame(rows, ROW), shards=2)) == wanted(rows, 30)
+
+
+def test_a_tasks_phrases_stay_in_arrow():
+    w = phrases.Words("en")
+    w.add(phrases.words_of("a b  c.a b é".encode()))
+    cells = np.zeros(1024, np.uint8)
+    found = {length: (p, dict(zip(p.to_pylist(), n.tolist()))) for length, p, _, n in w.counted(cells, 1, 2)}
+    assert all(isinstance(p, pa.Array) for p, _ in found.values())
+    assert found[1][1] == {b"a": 2, b"b": 2, b"c": 1, "é".encode(): 1} and found[0][1] == {b"": 6}
+    assert found[2][1] == {b"a b": 2, b"b c": 1, "b é".encode(): 1}
