@@ -61,14 +61,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ensure_checkpoint_dir(spark)
-        self.spark, self.folder, self.count = spark, scratch_path(spark, f"llm-{name}"), 0
+        self.spark, self.folder, self.tables = spark, scratch_path(spark, f"llm-{name}"), []
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         """As the function ``saved``, in this folder."""
-        self.count += 1
-        path = f"{self.folder}/{self.count}-{name}"
+        path = f"{self.folder}/{len(self.tables) + 1}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def emptied(self, *tables: DataFrame) -> None:
+        """As the function ``emptied``, for tables of this folder."""
+        for df, path in self.tables:
+            if any(df is t for t in tables):
+                emptied(df, path)
 
     def removed(self) -> None:
         """Overwrite the folder with a table without rows: no later job may read from it."""

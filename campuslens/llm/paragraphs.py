@@ -23,7 +23,7 @@ Clusters
   predecessor in it, the exact Jaccard of the pairs is verified, and so is
   every pair of a bucket that still joins two components
   (``minhash.complete``).  The connected components are the clusters.  Passages, seeds, grams and texts
-  with equal words are a cluster (128 bits of hash; all but grams looked up by the first 64).
+  with equal words are a cluster (128 bits of hash; all but grams looked up by some of the first 64).
 
 Removal: of each cluster the units of its first document (by id) stay,
 those of all other documents are cut out of their texts.
@@ -38,6 +38,7 @@ names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ RUN, SEED, TEXT = 0, 1, 2  #: kinds of equal-words units
 RECALL = 0.995
 REGISTERS = 16
 PART = 1000
+SLICES = 4  #: of the hashes of units, looked at one after the other
 FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB)
 _ODD = 0xD6E8FEB86659FD93
 
@@ -279,6 +281,18 @@ def _later() -> Column:
     return ~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))
 
 
+def _shared(units: DataFrame, scratch: Scratch, name: str, later: bool = False) -> DataFrame:
+    """The units (without their hashes) that several documents have, with the ``least`` document of each; those of the
+    ``later`` documents only, if so wanted.  The shuffles of one slice of the hashes are gone before those of the next."""
+    found = []
+    for i in range(SLICES):
+        some = units.where(F.pmod("hash", F.lit(SLICES)) == i)
+        some = some.join(_first_of_equal(some), ["hash", "more"]).drop("hash", "more")
+        found.append(scratch.saved(some.where(_later()) if later else some, name))
+        forget(units.sparkSession)
+    return reduce(DataFrame.union, found)
+
+
 def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes) -> DataFrame:
     """``node`` and ``packed`` set of the paragraphs whose node has its bit in ``wanted``."""
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
@@ -360,9 +374,9 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     several = scratch.saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
     forget(docs.sparkSession)
     wanted = repeated_bits(several, FILTER_BITS)
-    again = scratch.saved(passage_units(source, min_words, wanted).join(several, "hash"), "passages")
-    forget(docs.sparkSession)
-    common = scratch.saved(again.join(_first_of_equal(again), ["hash", "more"]).drop("hash", "more"), "passages-common")
+    again = scratch.saved(passage_units(source, min_words, wanted), "passages")
+    common = _shared(again, scratch, "passages-common")
+    scratch.emptied(several, again)
     runs = common.where(_later())
     # grams around common seeds; a later copy of a whole text needs none
     copies = runs.where(F.col("unit") == TEXT).select("key").distinct()
@@ -371,7 +385,7 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     grams = scratch.saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
     forget(docs.sparkSession)
     runs = runs.select("doc_id", "key", "start", "end", "least").union(
-        grams.join(_first_of_equal(grams), ["hash", "more"]).where(_later()).select("doc_id", "key", "start", "end", "least"))
+        _shared(grams, scratch, "grams-common", later=True).select("doc_id", "key", "start", "end", "least"))
     runs = saved(runs.withColumn("kind", F.lit("passage")), "passage-spans")
     scratch.removed()
     # paragraphs

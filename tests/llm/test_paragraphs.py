@@ -107,3 +107,26 @@ def test_winnowing_leaves_no_window_out():
             part = grams[i:min(i + P.WINDOW, b)]
             want.add(int(i + part.argmin()))
     assert got == want
+
+
+def test_tables_of_a_step_are_emptied_before_the_next(spark, docs, monkeypatch):
+    """Passages and their hashes hold no rows any more when the grams are looked for."""
+    text = words(1, 120)
+    rows = docs([(1, text), (2, "x y z " + text + " end"), (3, words(2, 90))])
+    held, tables, grams = {}, [], P.gram_units
+    stored = P.Scratch.saved
+
+    def saved(self, df, name):
+        out = stored(self, df, name)
+        tables.append((name, out.inputFiles()[0].rsplit("/", 1)[0]))
+        return out
+
+    def looked(source, min_words):
+        for name, path in tables:
+            held[name] = held.get(name, 0) + spark.read.parquet(path).count()
+        return grams(source, min_words)
+    monkeypatch.setattr(P.Scratch, "saved", saved)
+    monkeypatch.setattr(P, "gram_units", looked)
+    gone = P.duplicate_spans(rows).where("doc_id = 2").agg({"start": "min", "end": "max"}).first()
+    assert held["passages"] == held["passage-hashes"] == 0 < held["passages-common"]
+    assert tuple(gone) == (6 + len(text) + 1, 6)
