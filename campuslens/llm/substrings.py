@@ -53,7 +53,7 @@ LENGTH = 50
 GRAM = 24  #: shorter ones are shared by chance more often, longer ones are more
 FLUSH = 1_000_000
 PORTION = 1 << 19  #: bytes of text looked at together
-RANGE_BYTES = 4 << 20  #: text for each hash range
+RANGE_BYTES = 2 << 20  #: text for each hash range
 FILTER_BITS = 27
 STRINGS = 2048  #: strings in one transform, or those of one anchor
 _BLOCK = 1 << 20
