@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, forget
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         pairs = edges.join(low, "u")
         edges = scratch.saved(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .union(low.select("u", "m")).distinct(), "links")
+        forget(scratch.spark)  # the driver's heap, too: a round leaves plans and broadcasts behind
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -85,19 +86,16 @@ def learn(rows: DataFrame, min_count: int = 2) -> dict:
     kept = saved(counts.groupBy("n", "gram").agg(F.sum("count").alias("all"), F.collect_list(
         F.struct("lang", "count")).alias("by")).where(F.col("all") >= min_count), "langid")
     rows = kept.select("n", "gram", F.explode("by").alias("x")).select("n", "gram", "x.lang", "x.count").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    place = {x: i for i, x in enumerate(langs)}
+    langs = sorted(rows.column("lang").unique().to_pylist())
     tables = {}
-    n_of, lang_of = rows.column("n").to_numpy(), np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
-    grams, count_of = rows.column("gram").to_pylist(), rows.column("count").to_numpy()
     for n in range(MAX_N + 1):
-        at = np.flatnonzero(n_of == n)
-        index: dict[str, int] = {}
-        row = np.array([index.setdefault(grams[i], len(index)) for i in at], np.int64)
-        table = np.zeros((len(index), len(langs)))
-        np.add.at(table, (row, lang_of[at]), count_of[at])
-        table = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * max(1, len(index)))).astype(np.float32)
-        tables[n] = (list(index), table)
+        own = rows.filter(pc.equal(rows.column("n"), n)).combine_chunks()
+        grams = pa.array(own.column("gram").combine_chunks(), pa.string()).dictionary_encode()  # the driver holds no strings of Python
+        of = pc.index_in(own.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        table = np.zeros((len(grams.dictionary), len(langs)))
+        np.add.at(table, (grams.indices.to_numpy(), of), own.column("count").to_numpy())
+        table = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * max(1, len(table)))).astype(np.float32)
+        tables[n] = (grams.dictionary, table)
     return {"key": uuid.uuid4().hex, "langs": langs, "tables": tables}
 
 
@@ -106,7 +104,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.index = [{g: i for i, g in enumerate(model["tables"][n][0])} for n in range(MAX_N + 1)]
+        self.index = [{g: i for i, g in enumerate(model["tables"][n][0].to_pylist())} for n in range(MAX_N + 1)]
         self.tables = [model["tables"][n][1] for n in range(MAX_N + 1)]
         self.known = len(self.index[0])
         self.extra: dict[str, int] = {}

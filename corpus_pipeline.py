@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from campuslens.llm import bpe, langid, minhash, paragraphs
 from campuslens.llm import decontaminate as benchmark
-from campuslens.llm.common import read_table, saved
+from campuslens.llm.common import forget, read_table, saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
