@@ -24,9 +24,11 @@ collection is first cut into segments that can be transformed apart:
 4.  What goes from each document is collected by document and cut out.
 
 Segments travel packed, a record for each range and some ``FLUSH``
-anchors of a task.  A task takes the segments of a range first and then
-the places where they occur, record by record, so a segment that very many
-documents share never has all its places in memory.
+anchors of a task, in order of their documents.  Their places are a record
+of their own that counts on the order of the segments; both have one
+``tag``.  A task takes the segments of a range first and then the places
+where they occur, record by record, so a segment that very many documents
+share never has all its places in memory.
 
 Defined cases: null and empty texts have no bytes; ids are taken as long
 integers, a null id is smaller than all others; rows that share an id are
@@ -42,16 +44,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import transform
-from .common import cut, forget
+from .common import batches, cut, forget
 from .shingles import mix, portions, text_bytes
 
 LENGTH = 50
 GRAM = 24  #: shorter ones are shared by chance more often, longer ones are more
 FLUSH = 1_000_000
+WINDOWS = 1 << 19  #: windows judged together
 PORTION = 1 << 19  #: bytes of text looked at together
 RANGE_BYTES = 2 << 20  #: text for each hash range
 FILTER_BITS = 27
@@ -109,7 +113,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> dict
             np.zeros(0, np.uint64 if x in ("hash", "whole") else np.int64) for x in names}
 
 
-def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1 << 14) -> np.ndarray:
+def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1 << 13) -> np.ndarray:
     """Hashes of the ``size`` bytes from each start, some at a time."""
     out = np.zeros(len(starts), np.uint64)
     for i in range(0, len(starts), some):
@@ -120,6 +124,15 @@ def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1
     return out
 
 
+def _string_hashes(data: np.ndarray, ends: np.ndarray, some: int = 1 << 13) -> np.ndarray:
+    """Hashes of the strings of ``data`` that end at ``ends``, some at a time."""
+    out, starts = np.zeros(len(ends), np.uint64), np.append(0, ends[:-1])
+    for i in range(0, len(ends), some):
+        a, b = starts[i:i + some], ends[i:i + some]
+        out[i:i + some] = _Sums(data[a[0]:b[-1]]).of(a - a[0], b - a[0])
+    return out
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0] places, and so on."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -186,7 +199,8 @@ def _repeated(source: DataFrame, length: int, gram: int, bits: int, filter_bits:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    raw = [np.ascontiguousarray(c).tobytes() for c in columns]
+    """Columns of numbers, the first bytes of all numbers of a column first, as these compress better."""
+    raw = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
@@ -194,75 +208,96 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 8 * len(types), []
     for size, kind in zip(struct.unpack_from(f"<{len(types)}q", raw), types, strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
-_SEGMENTS = ("<u8", "u1", "u1", "<i8", "u1")  # hash, size, anchor's place, smallest id, bytes
-_PLACES = ("<u8", "<u4", "<u4", "<i4", "<i8", "<i4")  # hash, count, document's number, start; ids, marks
+_SEGMENTS = ("<u2", "u1", "<i8", "u1")  # size, anchor's place, smallest id (less the one before), bytes
+_PLACES = ("<u4", "<i4", "<i4", "<i8", "<i4")  # count, document's number (less the one before), start; ids (so, too), marks
 
 
 def _records(source: DataFrame, repeated: np.ndarray, length: int, gram: int, bits: int, filter_bits: int) -> DataFrame:
-    """``range``, ``kind`` (0: segments, 1: their places) and ``packed``."""
+    """``range``, ``kind`` (0: segments, 1: their places), ``tag`` and ``packed``."""
     shared = source.sparkSession.sparkContext.broadcast(repeated)
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, docs, tag = 0, 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, g, n, a, start, ids, marks = (np.concatenate([x[i] for x in held]) for i in range(7))
-            offset = np.cumsum([0, *(len(x[7]) for x in held[:-1])])
-            at = np.concatenate([x[8] + o for x, o in zip(held, offset, strict=True)])
-            data = np.concatenate([x[7] for x in held])
-            order = np.lexsort((marks, ids, g, h))
-            h, g, n, a, start, ids, marks, at = (x[order] for x in (h, g, n, a, start, ids, marks, at))
+            h, g, n, a, start, row, ids, marks = (np.concatenate([x[i] for x in held]) for i in range(8))
+            offset = np.cumsum([0, *(len(x[9]) for x in held[:-1])])
+            at = np.concatenate([x[8] + o for x, o in zip(held, offset, strict=True)])  # where each document begins
+            data = np.concatenate([x[9] for x in held])
+            held.clear()
+            # documents by number, in order
+            order = np.lexsort((marks, ids))
+            new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0))
+            number = np.empty(len(ids), np.int32)
+            number[order] = np.cumsum(new) - 1
+            ids, marks, number = ids[order][new], marks[order][new], number[row]
+            order = np.lexsort((number, g, h))
+            h, g, n, a, start, row, number = (x[order] for x in (h, g, n, a, start, row, number))
             new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
             count = np.diff(np.append(new, len(h)))
             of = _ranges(h[new], bits)
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             for x, y in zip(first, np.append(first[1:], len(new)), strict=True):
-                c = new[x:y]
-                lo, hi = c[0], c[-1] + count[y - 1]
-                doc = np.stack([ids[lo:hi], marks[lo:hi].astype(np.int64)], axis=1)
-                doc, number = np.unique(doc, axis=0, return_inverse=True)
-                bytes_ = data[_ragged(at[c], n[c])]
-                rows = [_pack(g[c], n[c].astype("u1"), a[c].astype("u1"), ids[c], bytes_),
-                        _pack(g[c], count[x:y].astype("<u4"), number.ravel().astype("<u4"), start[lo:hi].astype("<i4"),
-                              doc[:, 0], doc[:, 1].astype("<i4"))]
+                own = x + np.argsort(number[new[x:y]], kind="stable")
+                c, each = new[own], count[own]
+                places = _ragged(c, each)
+                doc, of_doc = np.unique(number[places], return_inverse=True)
+                begin, some = at[row[c]] + start[c], 1 << 13
+                bytes_ = np.concatenate([data[_ragged(begin[i:i + some], n[c[i:i + some]].astype(np.int64))] for i in range(0, len(c), some)])
+                rows = [_pack(n[c], a[c], np.diff(ids[number[c]], prepend=0), bytes_),
+                        _pack(each.astype("<u4"), np.diff(of_doc.ravel(), prepend=0).astype("<i4"), start[places],
+                              np.diff(ids[doc], prepend=0), marks[doc])]
                 yield pa.RecordBatch.from_arrays([pa.array([int(of[x])] * 2, pa.int64()), pa.array([0, 1], pa.int32()),
-                                                  pa.array(rows, pa.binary())], ["range", "kind", "packed"])
+                                                  pa.array([tag] * 2, pa.int64()), pa.array(rows, pa.binary())],
+                                                 ["range", "kind", "tag", "packed"])
 
         for b in portions(stream, 2, PORTION):
             data, ends = text_bytes(b.column(2))
             s = segments(data, ends, length, gram)
             cell = (s["hash"] >> np.uint64(64 - filter_bits)).astype(np.int64)
-            s = {x: v[(shared.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)] for x, v in s.items()}
-            if len(s["row"]):
-                ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-                held.append((s["hash"], s["whole"], s["end"] - s["start"], s["anchor"] - s["start"], s["start"] - ends[s["row"]],
-                             ids[s["row"]], marks[s["row"]], data, s["start"]))
-                size += len(s["row"]) + len(data) // 64
+            some = np.flatnonzero(shared.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+            s = {x: v[some] for x, v in s.items()}
+            if len(some):
+                held.append((s["hash"], s["whole"], (s["end"] - s["start"]).astype("<u2"), (s["anchor"] - s["start"]).astype("u1"),
+                             (s["start"] - ends[s["row"]]).astype("<i4"), (s["row"] + docs).astype(np.int32),
+                             b.column(0).to_numpy(), b.column(1).to_numpy(), ends[:-1], data))
+                size += len(some) + len(data) // 64
+                docs += b.num_rows
             if size > FLUSH // 2:
                 yield from flush()
-                held, size = [], 0
+                size, docs, tag = 0, 0, tag + 1
         if size:
             yield from flush()
 
-    return source.mapInArrow(scan, "range long, kind int, packed binary")
+    return source.mapInArrow(scan, "range long, kind int, tag long, packed binary")
 
 
 class _Range:
     """The segments of one hash range, each with the smallest id of every window."""
 
-    def __init__(self, blobs: list[bytes], length: int, gram: int):
-        g, size, anchor, least, data = (np.concatenate(x) for x in zip(*(_unpack(b, *_SEGMENTS) for b in blobs), strict=True))
+    def __init__(self, blobs: dict[int, bytes], length: int, gram: int):
+        parts = [_unpack(b, *_SEGMENTS) for b in blobs.values()]
+        size, anchor, data = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
         size, anchor = size.astype(np.int64), anchor.astype(np.int64)
-        start = np.cumsum(size) - size
+        least = np.concatenate([np.cumsum(p[2]) for p in parts])
+        ends = np.cumsum(size)
+        start = ends - size
+        g = _string_hashes(data, ends)
         order = np.lexsort((least, g))
-        order = order[np.append(True, g[order][1:] != g[order][:-1])]
-        self.whole, size, anchor, least, start = (x[order] for x in (g, size, anchor, least, start))
+        new = np.append(True, g[order][1:] != g[order][:-1])
+        number = np.empty(len(g), np.int32)
+        number[order] = np.cumsum(new) - 1
+        #: which segment each one of a record is
+        self.of = dict(zip(blobs, np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True))
+        order = order[new]
+        size, anchor, least, start = (x[order] for x in (size, anchor, least, start))
         self.windows = size - length + 1
         self.first = np.cumsum(self.windows) - self.windows
         #: the smallest id of each window of each segment: its own, until an equal window has a smaller one
@@ -303,28 +338,38 @@ class _Range:
         window = self.first[string[s]] + skip[s] + o
         self.least[window] = np.minimum(self.least[window], np.repeat(low, np.diff(np.append(at, len(run)))))
 
-    def gone(self, blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ids and marks of the documents of one record of places, and the spans that go from each (packed)."""
-        g, count, number, start, ids, marks = _unpack(blob, *_PLACES)
-        at, number = np.repeat(np.searchsorted(self.whole, g), count), number.astype(np.int64)
+    def gone(self, tag: int, blob: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Ids and marks of the documents of one record of places, and the spans that go from each (packed), for
+        places with some ``WINDOWS`` windows at a time."""
+        count, number, start, ids, marks = _unpack(blob, *_PLACES)
+        at, number, ids = np.repeat(self.of[tag], count), np.cumsum(number, dtype=np.int64), np.cumsum(ids)
+        order = np.lexsort((start, number))  # the segments of a document have no window in common
+        at, number, start = at[order], number[order], start[order].astype(np.int64)
+        upto = np.cumsum(self.windows[at])
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WINDOWS, "right")))
+            found = self._spans(at[lo:hi], number[lo:hi], start[lo:hi], ids, length)
+            if found:
+                yield ids[found[0]], marks[found[0]], found[1]
+            lo = hi
+
+    def _spans(self, at, number, start, ids, length) -> tuple[np.ndarray, list[bytes]] | None:
+        """Numbers of documents and the spans that go from each, of places in order of document and start."""
         n = self.windows[at]
         window = _ragged(self.first[at], n)
-        place = np.repeat(start.astype(np.int64) - self.first[at], n) + window
-        doc = np.repeat(number, n)
-        goes = self.least[window] < ids[doc]
-        place, doc = place[goes], doc[goes]
-        order = np.lexsort((place, doc))
-        place, doc = place[order], doc[order]
+        goes = self.least[window] < np.repeat(ids[number], n)
+        place = (np.repeat(start - self.first[at], n) + window)[goes]
+        doc = np.repeat(number, n)[goes]
         if not len(doc):
-            return ids[:0], marks[:0], []
+            return None
         new = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + length))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc)) - 1
         spans = np.stack([place[first], place[last] + length], axis=1).astype("<i4")
         owner = doc[first]
         each = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        return ids[owner[each]], marks[owner[each]], [spans[x:y].tobytes() for x, y in zip(
-            each, np.append(each[1:], len(owner)), strict=True)]
+        return owner[each], [spans[x:y].tobytes() for x, y in zip(each, np.append(each[1:], len(owner)), strict=True)]
 
 
 def repeated_spans(source: DataFrame, total_bytes: int, length: int, gram: int, filter_bits: int) -> DataFrame:
@@ -335,22 +380,22 @@ def repeated_spans(source: DataFrame, total_bytes: int, length: int, gram: int,
     records = _records(source, repeated, length, gram, bits, filter_bits)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, blobs, ready = None, [], None
+        number, blobs, ready = None, {}, None
         for b in stream:
-            for r, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for r, kind, tag, blob in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 if r != number:
-                    number, blobs, ready = r, [], None
+                    number, blobs, ready = r, {}, None
                 if kind == 0:
-                    blobs.append(blob.as_py())
+                    blobs[tag] = blob.as_py()
                     continue
                 if ready is None:
-                    ready, blobs = _Range(blobs, length, gram), []
-                ids, marks, spans = ready.gone(blob.as_py(), length)
-                if len(ids):
+                    ready, blobs = _Range(blobs, length, gram), {}
+                for ids, marks, spans in ready.gone(tag, blob.as_py(), length):
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(spans, pa.binary())],
                                                      ["id", "mark", "spans"])
 
-    return records.repartition(1 << bits, "range").sortWithinPartitions("range", "kind").mapInArrow(
+    # a task for each range, and no more: all records of a task are one Arrow batch
+    return records.repartitionById(1 << bits, F.col("range").cast("int")).sortWithinPartitions("range", "kind").mapInArrow(
         work, "id long, mark int, spans binary")
 
 
@@ -367,13 +412,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fil
 
     def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        for b in stream:
+        for b in batches(stream):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(
                 [z.compress((x.as_py() or "").encode()) for x in b.column(3)], pa.binary())], ["doc_id", "id", "mark", "text"])
 
     def finish(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for b in stream:
+        for b in batches(stream):
             rows = []
             for raw, found in zip(b.column(1), b.column(2), strict=True):
                 text = z.decompress(raw.as_py())

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -82,3 +83,20 @@ def test_transform_puts_all_suffixes_in_order(chunk):
     assert list(zip(who.tolist(), place.tolist(), strict=True)) == [(i, k) for _, i, k in order]
     for (x, _, _), (y, _, _), c in zip(order[:-1], order[1:], common[1:], strict=True):
         assert c == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
+def test_places_of_a_record_are_judged_some_at_a_time():
+    n, string = 200_000, np.frombuffer(hashlib.sha512(b"x").digest() + b"twelve bytes", np.uint8)
+    segment = S._pack(np.array([76], "<u2"), np.array([26], "u1"), np.array([0]), string)
+    places = S._pack(np.array([n], "<u4"), np.minimum(np.arange(n), 1).astype("<i4"), np.zeros(n, "<i4"),
+                     np.minimum(np.arange(n), 1), np.zeros(n, "<i4"))
+    ready = S._Range({7: segment}, 50, 24)
+    tracemalloc.start()
+    found = {}
+    for ids, _, spans in ready.gone(7, places, 50):
+        assert set(spans) == {np.array([0, 76], "<i4").tobytes()}
+        found.update(dict.fromkeys(ids.tolist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == list(range(1, n))
+    assert peak < 120e6  # all windows at once take 260 MB and more
