@@ -37,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import batches
+from .common import batches, model_at_hand
 
 SHORT = 128
 CACHE = 800_000
 _INF = np.int64(1) << 62
-_MODELS: dict[str, Model] = {}
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -224,10 +223,7 @@ _NOT_PLAIN = re.compile(r" (?:\s|$)").search
 def model(tokens: list[bytes], pattern: str) -> Model:
     """The model of this Python process, built once."""
     key = hashlib.sha256(b"\0".join(tokens) + pattern.encode()).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(tokens, pattern)
-    return _MODELS[key]
+    return model_at_hand(("bpe", key), lambda: Model(tokens, pattern))
 
 
 def _lists(packed: list[bytes]) -> pa.Array:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,20 +62,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ensure_checkpoint_dir(spark)
-        self.spark, self.folder, self.tables = spark, scratch_path(spark, f"llm-{name}"), []
+        self.spark, self.folder = spark, scratch_path(spark, f"llm-{name}")
+        self.tables: list[tuple[weakref.ref, str]] = []  # frames hold their lists of files in the driver: not kept from here
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         """As the function ``saved``, in this folder."""
         path = f"{self.folder}/{len(self.tables) + 1}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.tables.append((out, path))
+        self.tables.append((weakref.ref(out), path))
         return out
 
     def emptied(self, *tables: DataFrame) -> None:
         """As the function ``emptied``, for tables of this folder."""
-        for df, path in self.tables:
-            if any(df is t for t in tables):
+        for ref, path in self.tables:
+            if (df := ref()) is not None and any(df is t for t in tables):
                 emptied(df, path)
 
     def removed(self) -> None:
@@ -115,6 +117,23 @@ def row_key(*cols: Column) -> Column:
     return F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
 
 
+_MODEL: dict = {}  #: the model at hand in this Python process, by its key
+
+
+def model_at_hand(key: tuple, build: Callable[[], object]) -> object:
+    """The model of this Python process, built unless the one at hand has the key.  Spark uses a process again
+    for other operators, so it holds one model only, of whichever operator runs."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
+def let_go() -> None:
+    """Drop the model at hand: an operator without one runs in this Python process."""
+    _MODEL.clear()
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows,
     else ``df`` itself, which the planner then joins by a shuffle."""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batches, saved
+from .common import batches, model_at_hand, saved
 
 MAX_N = 4
 DOCS_PER_LANG = 2000
@@ -44,7 +44,6 @@ SMOOTH = 0.5
 UNDETERMINED = "und"
 
 _words = re.compile(r"[^\W\d_]+").findall
-_READY: dict[str, Scorer] = {}
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -151,10 +150,7 @@ class Scorer:
 
 
 def _ready(model: dict) -> Scorer:
-    if model["key"] not in _READY:
-        _READY.clear()
-        _READY[model["key"]] = Scorer(model)
-    return _READY[model["key"]]
+    return model_at_hand(("langid", model["key"]), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import let_go
+
 MAX_BYTES = 2 << 20
 _POWERS = 1 << 16
 
@@ -32,6 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def portions(stream: Iterable[pa.RecordBatch], text_at: int, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts hold about ``max_bytes`` (or are one row)."""
+    let_go()
     for b in stream:
         _, ends = text_bytes(b.column(text_at))
         at = 0

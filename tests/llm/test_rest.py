@@ -224,3 +224,21 @@ def test_pipeline_stages_with_any_rows_and_columns(spark, docs):
 def test_op1_columns_and_op10_null_ids(spark):
     assert QUERIES["op1_url_filter"](spark, SF).columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
     assert "held_out" in QUERIES["op10_language_id"](spark, SF).where("held_out IS NOT NULL").columns
+
+
+def test_a_python_process_holds_one_model_only():
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from campuslens.llm import bpe, langid, shingles
+    first = weakref.ref(bpe.model([bytes([i]) for i in range(256)], r"\S+|\s+"))
+    assert first() is not None
+    empty = (pa.array([], pa.string()), np.zeros((0, 1), np.float32))
+    second = weakref.ref(langid._ready({"key": "k", "langs": ["en"], "tables": dict.fromkeys(range(langid.MAX_N + 1), empty)}))
+    gc.collect()
+    assert first() is None and second() is not None
+    list(shingles.portions([], 0))  # an operator without a model
+    gc.collect()
+    assert second() is None
