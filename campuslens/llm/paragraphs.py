@@ -58,7 +58,8 @@ RECALL = 0.995
 REGISTERS = 16
 PART = 1000
 SLICES = 4  #: of the hashes of units, looked at one after the other
-FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB)
+SLICE_BYTES = 16 << 20  #: a smaller collection has a slice for each of these
+FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB), at most
 _ODD = 0xD6E8FEB86659FD93
 
 
@@ -211,7 +212,7 @@ def paragraph_units(source: DataFrame, n: int, min_words: int, registers: int) -
     return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, node binary, sketch binary")
 
 
-def passage_units(source: DataFrame, min_words: int, wanted: bytes) -> DataFrame:
+def passage_units(source: DataFrame, min_words: int, wanted: bytes, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` (64 bits each) of the passages, seeds and
     texts whose hash has its bit in ``wanted``, and which of these each is (``unit``)."""
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
@@ -220,7 +221,7 @@ def passage_units(source: DataFrame, min_words: int, wanted: bytes) -> DataFrame
         for b in portions(stream, 2):
             u = Units(*text_bytes(b.column(2)), min_words, True)
             if len(u.run_row):
-                some = has_bit(shared.value, u.run_hash[0], FILTER_BITS)
+                some = has_bit(shared.value, u.run_hash[0], filter_bits)
                 at = pa.array(u.run_row[some])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), b.column(1).take(at), pa.array(u.run_start[some], pa.int32()), pa.array(u.run_end[some], pa.int32()),
@@ -281,19 +282,26 @@ def _later() -> Column:
     return ~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))
 
 
-def _shared(units: DataFrame, scratch: Scratch, name: str, later: bool = False) -> DataFrame:
+def extent(source: DataFrame) -> tuple[int, int]:
+    """Bits of the filters (a bit for each byte of text) and number of slices: a small collection does with less of the
+    driver's memory and fewer jobs."""
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(FILTER_BITS, max(15, total.bit_length())), min(SLICES, 1 + total // SLICE_BYTES)
+
+
+def _shared(units: DataFrame, scratch: Scratch, name: str, slices: int, later: bool = False) -> DataFrame:
     """The units (without their hashes) that several documents have, with the ``least`` document of each; those of the
     ``later`` documents only, if so wanted.  The shuffles of one slice of the hashes are gone before those of the next."""
     found = []
-    for i in range(SLICES):
-        some = units.where(F.pmod("hash", F.lit(SLICES)) == i)
+    for i in range(slices):
+        some = units.where(F.pmod("hash", F.lit(slices)) == i)
         some = some.join(_first_of_equal(some), ["hash", "more"]).drop("hash", "more")
         found.append(scratch.saved(some.where(_later()) if later else some, name))
         forget(units.sparkSession)
     return reduce(DataFrame.union, found)
 
 
-def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes) -> DataFrame:
+def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes, filter_bits: int) -> DataFrame:
     """``node`` and ``packed`` set of the paragraphs whose node has its bit in ``wanted``."""
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
 
@@ -302,7 +310,7 @@ def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes) -> Data
             u = Units(*text_bytes(b.column(0)), min_words)
             if len(u.line_row):
                 h, bounds, nodes = u.sets(n)
-                some = has_bit(shared.value, np.frombuffer(b"".join(nodes), ">u8")[::2].astype(np.uint64), FILTER_BITS)
+                some = has_bit(shared.value, np.frombuffer(b"".join(nodes), ">u8")[::2].astype(np.uint64), filter_bits)
                 own = {nodes[i]: pack(h[bounds[i]:bounds[i + 1]], np.ones(bounds[i + 1] - bounds[i])) for i in np.flatnonzero(some)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["node", "packed"])
 
@@ -341,7 +349,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min_words: int, bands: int, rows: int,
-              scratch: Scratch) -> DataFrame:
+              scratch: Scratch, filter_bits: int) -> DataFrame:
     """``node`` and ``cluster`` of the paragraphs that are like others of another set."""
     nodes = scratch.saved(units.select("node", "sketch").dropDuplicates(["node"]), "paragraph-nodes")
     every = _bands(nodes, bands, rows)
@@ -357,8 +365,8 @@ def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     forget(source.sparkSession)
     # the first 8 bytes of a node are a hash
-    bits = repeated_bits(wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("hash")), FILTER_BITS)
-    sets = scratch.saved(_node_sets(source, n, min_words, bits).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
+    bits = repeated_bits(wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("hash")), filter_bits)
+    sets = scratch.saved(_node_sets(source, n, min_words, bits, filter_bits).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
     links = scratch.saved(_similar(pairs, sets, threshold), "paragraph-links")
     forget(source.sparkSession)
     return complete(shared.select("bucket", "node"), links, nodes, sets, threshold, scratch).withColumnRenamed("root", "cluster")
@@ -370,12 +378,13 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     (the document whose unit stays)."""
     source = _source(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "paragraphs")
+    filter_bits, slices = extent(source)
     # passages: the counts of the hashes alone, then the units behind those that repeat
     several = scratch.saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
     forget(docs.sparkSession)
-    wanted = repeated_bits(several, FILTER_BITS)
-    again = scratch.saved(passage_units(source, min_words, wanted), "passages")
-    common = _shared(again, scratch, "passages-common")
+    wanted = repeated_bits(several, filter_bits)
+    again = scratch.saved(passage_units(source, min_words, wanted, filter_bits), "passages")
+    common = _shared(again, scratch, "passages-common", slices)
     scratch.emptied(several, again)
     runs = common.where(_later())
     # grams around common seeds; a later copy of a whole text needs none
@@ -385,13 +394,13 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     grams = scratch.saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
     forget(docs.sparkSession)
     runs = runs.select("doc_id", "key", "start", "end", "least").union(
-        _shared(grams, scratch, "grams-common", later=True).select("doc_id", "key", "start", "end", "least"))
+        _shared(grams, scratch, "grams-common", slices, later=True).select("doc_id", "key", "start", "end", "least"))
     runs = saved(runs.withColumn("kind", F.lit("passage")), "passage-spans")
     scratch.removed()
     # paragraphs
     bands, rows = tune(threshold, recall)
     units = scratch.saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
-    clusters = scratch.saved(_clusters(units, source, threshold, n, min_words, bands, rows, scratch), "paragraph-clusters")
+    clusters = scratch.saved(_clusters(units, source, threshold, n, min_words, bands, rows, scratch, filter_bits), "paragraph-clusters")
     forget(docs.sparkSession)
     of = units.select("doc_id", "key", "start", "end", "node").join(clusters, "node", "left").withColumn(
         "cluster", F.coalesce("cluster", "node"))

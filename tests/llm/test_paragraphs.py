@@ -130,3 +130,15 @@ def test_tables_of_a_step_are_emptied_before_the_next(spark, docs, monkeypatch):
     gone = P.duplicate_spans(rows).where("doc_id = 2 AND kind = 'passage'").collect()
     assert held["passages"] == held["passage-hashes"] == 0 < held["passages-common"]
     assert (min(r.start for r in gone), max(r.end for r in gone)) == (6, 6 + len(text) + 1)
+
+
+def test_a_small_collection_has_small_filters_and_few_jobs(docs, monkeypatch):
+    used, real = [], P.repeated_bits
+    monkeypatch.setattr(P, "repeated_bits", lambda hashes, bits: used.append(bits) or real(hashes, bits))
+    text = words(1, 60)
+    rows = docs([(1, text), (2, "before " * 3 + text), (3, words(2, 60))])
+    got = {r.doc_id: r.removed.bytes for r in P.without_duplicates(rows).collect()}
+    assert got[1] == got[3] == 0 and got[2] > 0
+    assert used and max(used) <= 20
+    assert P.extent(rows.select("text"))[1] == 1
+    assert P.extent(docs([(1, None)]).select("text")) == (15, 1)
