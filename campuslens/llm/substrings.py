@@ -56,7 +56,7 @@ LENGTH = 50
 GRAM = 24  #: shorter ones are shared by chance more often, longer ones are more
 FLUSH = 1_000_000
 WINDOWS = 1 << 19  #: windows judged together
-PORTION = 1 << 19  #: bytes of text looked at together
+PORTION = 1 << 17  #: bytes of text looked at together; `segments` needs some 100 times as many of memory
 RANGE_BYTES = 2 << 20  #: text for each hash range
 FILTER_BITS = 27
 STRINGS = 2048  #: strings in one transform, or those of one anchor
@@ -113,7 +113,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> dict
             np.zeros(0, np.uint64 if x in ("hash", "whole") else np.int64) for x in names}
 
 
-def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1 << 13) -> np.ndarray:
+def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1 << 11) -> np.ndarray:
     """Hashes of the ``size`` bytes from each start, some at a time."""
     out = np.zeros(len(starts), np.uint64)
     for i in range(0, len(starts), some):
@@ -124,7 +124,7 @@ def _range_hashes(data: np.ndarray, starts: np.ndarray, size: int, some: int = 1
     return out
 
 
-def _string_hashes(data: np.ndarray, ends: np.ndarray, some: int = 1 << 13) -> np.ndarray:
+def _string_hashes(data: np.ndarray, ends: np.ndarray, some: int = 1 << 11) -> np.ndarray:
     """Hashes of the strings of ``data`` that end at ``ends``, some at a time."""
     out, starts = np.zeros(len(ends), np.uint64), np.append(0, ends[:-1])
     for i in range(0, len(ends), some):

@@ -3,10 +3,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from campuslens.llm import substrings as S
 from campuslens.llm.bwt import transform
+from campuslens.llm.shingles import portions, text_bytes
 
 
 def by_hand(rows, length):
@@ -100,3 +102,15 @@ def test_places_of_a_record_are_judged_some_at_a_time():
     tracemalloc.stop()
     assert sorted(found) == list(range(1, n))
     assert peak < 120e6  # all windows at once take 260 MB and more
+
+
+def test_a_scan_of_long_batches_needs_little_memory():
+    text = "".join(random.Random(3).choices("abcdefgh ", k=4000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 300)], ["text"])
+    S._POWERS.clear()
+    tracemalloc.start()
+    n = sum(len(S.segments(*text_bytes(b.column(0)), 50, 24)["hash"]) for b in portions([batch], 0, S.PORTION))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 300 * 100
+    assert peak < 25e6  # 50 MB with 512 KB of text at a time
