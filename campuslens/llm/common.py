@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
@@ -54,7 +55,12 @@ def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def emptied(df: DataFrame, path: str) -> None:
     """Write a table without rows over a stored one that no later job reads."""
-    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    _no_rows(df.sparkSession, df.schema).write.mode("overwrite").parquet(path)
+
+
+def _no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A table without rows; one made of a Python list starts a Python process for each core."""
+    return spark.range(0, 0, 1, 1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
 class Scratch:
@@ -81,7 +87,7 @@ class Scratch:
 
     def removed(self) -> None:
         """Overwrite the folder with a table without rows: no later job may read from it."""
-        self.spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(self.folder)
+        _no_rows(self.spark, StructType().add("gone", "integer")).write.mode("overwrite").parquet(self.folder)
         forget(self.spark)
 
 

@@ -57,7 +57,8 @@ RUN, SEED, TEXT = 0, 1, 2  #: kinds of equal-words units
 RECALL = 0.995
 REGISTERS = 16
 PART = 1000
-SLICES = 4  #: of the hashes of units, looked at one after the other
+PORTION = 1 << 19  #: bytes of text looked at together
+SLICES = 2  #: of the hashes of units, looked at one after the other
 SLICE_BYTES = 16 << 20  #: a smaller collection has a slice for each of these
 FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB), at most
 _ODD = 0xD6E8FEB86659FD93
@@ -194,7 +195,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def paragraph_units(source: DataFrame, n: int, min_words: int, registers: int) -> DataFrame:
     """``doc_id``, ``key``, ``start``, ``end``, ``node`` and ``sketch`` of every paragraph."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(stream, 2):
+        for b in portions(stream, 2, PORTION):
             u = Units(*text_bytes(b.column(2)), min_words)
             if not len(u.line_row):
                 continue
@@ -218,7 +219,7 @@ def passage_units(source: DataFrame, min_words: int, wanted: bytes, filter_bits:
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(stream, 2):
+        for b in portions(stream, 2, PORTION):
             u = Units(*text_bytes(b.column(2)), min_words, True)
             if len(u.run_row):
                 some = has_bit(shared.value, u.run_hash[0], filter_bits)
@@ -234,7 +235,7 @@ def passage_units(source: DataFrame, min_words: int, wanted: bytes, filter_bits:
 def _passage_hashes(source: DataFrame, min_words: int) -> DataFrame:
     """``hash`` of every passage, seed and text."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(stream, 0):
+        for b in portions(stream, 0, PORTION):
             u = Units(*text_bytes(b.column(0)), min_words, True, (1,))
             if len(u.run_row):
                 yield pa.RecordBatch.from_arrays([pa.array(u.run_hash[0])], ["hash"])
@@ -246,7 +247,7 @@ def gram_units(source: DataFrame, min_words: int) -> DataFrame:
     """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` of the grams around the seeds of every
     row of ``source``, which start at the bytes ``seeds``."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(stream, 2):
+        for b in portions(stream, 2, PORTION):
             data, ends = text_bytes(b.column(2))
             words, starts, bounds = word_hashes(data, ends)
             gram, gram_bounds = _gram_starts(bounds, min_words)
@@ -271,10 +272,11 @@ def gram_units(source: DataFrame, min_words: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, hash long, more long")
 
 
-def _first_of_equal(units: DataFrame) -> DataFrame:
-    """``hash`` and ``more`` of the units that several documents have, and the ``least`` document."""
-    own = F.struct("doc_id", "key")
-    return units.groupBy("hash", "more").agg(F.min(own).alias("least"), F.max(own).alias("last")).where(
+def _of_several(units: DataFrame) -> DataFrame:
+    """The units that several documents have, with the ``least`` of these: sorted by their hashes once, as hardly any
+    group of equal ones is large enough to be counted before it is shuffled."""
+    own, equal = F.struct("doc_id", "key"), Window.partitionBy("hash", "more")
+    return units.withColumns({"least": F.min(own).over(equal), "last": F.max(own).over(equal)}).where(
         ~F.col("least").eqNullSafe(F.col("last"))).drop("last")
 
 
@@ -283,10 +285,10 @@ def _later() -> Column:
 
 
 def extent(source: DataFrame) -> tuple[int, int]:
-    """Bits of the filters (a bit for each byte of text) and number of slices: a small collection does with less of the
+    """Bits of the filters (a bit for every 4 bytes of text or less) and number of slices: a small collection does with less of the
     driver's memory and fewer jobs."""
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(FILTER_BITS, max(15, total.bit_length())), min(SLICES, 1 + total // SLICE_BYTES)
+    return min(FILTER_BITS, max(15, total.bit_length() - 2)), min(SLICES, 1 + total // SLICE_BYTES)
 
 
 def _shared(units: DataFrame, scratch: Scratch, name: str, slices: int, later: bool = False) -> DataFrame:
@@ -294,8 +296,7 @@ def _shared(units: DataFrame, scratch: Scratch, name: str, slices: int, later: b
     ``later`` documents only, if so wanted.  The shuffles of one slice of the hashes are gone before those of the next."""
     found = []
     for i in range(slices):
-        some = units.where(F.pmod("hash", F.lit(slices)) == i)
-        some = some.join(_first_of_equal(some), ["hash", "more"]).drop("hash", "more")
+        some = _of_several(units.where(F.pmod("hash", F.lit(slices)) == i)).drop("hash", "more")
         found.append(scratch.saved(some.where(_later()) if later else some, name))
         forget(units.sparkSession)
     return reduce(DataFrame.union, found)
@@ -306,7 +307,7 @@ def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes, filter_
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(stream, 0):
+        for b in portions(stream, 0, PORTION):
             u = Units(*text_bytes(b.column(0)), min_words)
             if len(u.line_row):
                 h, bounds, nodes = u.sets(n)
@@ -352,13 +353,11 @@ def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min
               scratch: Scratch, filter_bits: int) -> DataFrame:
     """``node`` and ``cluster`` of the paragraphs that are like others of another set."""
     nodes = scratch.saved(units.select("node", "sketch").dropDuplicates(["node"]), "paragraph-nodes")
-    every = _bands(nodes, bands, rows)
-    several = every.groupBy("bucket").count().where("count > 1")
-    shared = scratch.saved(every.join(several, "bucket"), "paragraph-buckets")
-    centre = shared.groupBy("bucket").agg(F.min("node").alias("centre"))
+    own = Window.partitionBy("bucket")
+    shared = scratch.saved(_bands(nodes, bands, rows).withColumn("count", F.count("*").over(own)).where("count > 1"), "paragraph-buckets")
     order = F.xxhash64("node", "bucket")
     part = Window.partitionBy("bucket", F.pmod(order, F.ceil(F.col("count") / PART))).orderBy(order, "node")
-    placed = shared.join(centre, "bucket").withColumn("before", F.lag("node").over(part))
+    placed = shared.withColumn("centre", F.min("node").over(own)).withColumn("before", F.lag("node").over(part))
     pairs = scratch.saved(placed.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).union(
         placed.where("before IS NOT NULL").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")))
         .distinct(), "paragraph-pairs")
@@ -395,8 +394,7 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     forget(docs.sparkSession)
     runs = runs.select("doc_id", "key", "start", "end", "least").union(
         _shared(grams, scratch, "grams-common", slices, later=True).select("doc_id", "key", "start", "end", "least"))
-    runs = saved(runs.withColumn("kind", F.lit("passage")), "passage-spans")
-    scratch.removed()
+    scratch.emptied(grams)
     # paragraphs
     bands, rows = tune(threshold, recall)
     units = scratch.saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
@@ -404,20 +402,28 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
     forget(docs.sparkSession)
     of = units.select("doc_id", "key", "start", "end", "node").join(clusters, "node", "left").withColumn(
         "cluster", F.coalesce("cluster", "node"))
-    least = of.groupBy("cluster").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("all"))
-    lines = of.join(least.where("all > 1"), "cluster").select("doc_id", "key", "start", "end", "least", F.lit("paragraph").alias("kind"))
-    found = saved(runs.union(lines.where(_later())).select(
+    least = F.min(F.struct("doc_id", "key")).over(Window.partitionBy("cluster"))
+    lines = of.withColumn("least", least).select("doc_id", "key", "start", "end", "least", F.lit("paragraph").alias("kind"))
+    found = saved(runs.withColumn("kind", F.lit("passage")).union(lines.where(_later())).select(
         "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc")), "spans")
     scratch.removed()
     return found
 
 
+def _merged(spans: np.ndarray) -> list[list[int]]:
+    """The maximal runs (start, end) of spans, each packed in a number (start * 2 ** 32 + end)."""
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return np.stack([start[first], end[np.append(first[1:], len(end)) - 1]], axis=1).tolist()
+
+
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated units cut out of the text, and a struct
     ``removed``: ``bytes``, ``spans`` (maximal runs) and ``first_docs`` (ids whose units stay)."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, **options)
     by_doc = spans.groupBy("doc_id", "key").agg(
-        F.collect_set(F.array("start", "end")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+        F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"))
     both = own.join(by_doc.withColumnsRenamed({"doc_id": "d", "key": "k"}),
                     F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
@@ -431,15 +437,15 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(stream, 256):
-            texts, found = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            texts, spans, first_docs = b.column(at).to_pylist(), *b.column(b.num_columns - 1).flatten()
             kept, info = [], []
-            for text, x in zip(texts, found, strict=True):
+            for text, some, first in zip(texts, spans, first_docs.to_pylist(), strict=True):
                 left, n_bytes, n_spans = text, 0, 0
-                if text is not None and x["spans"]:
-                    raw, n_bytes, n_spans = cut(text.encode(), x["spans"])
+                if text is not None and some.is_valid:
+                    raw, n_bytes, n_spans = cut(text.encode(), _merged(some.values.to_numpy()))
                     left = raw.decode()
                 kept.append(left)
-                info.append({"bytes": n_bytes, "spans": n_spans, "first_docs": x["first_docs"] or []})
+                info.append({"bytes": n_bytes, "spans": n_spans, "first_docs": first or []})
             columns = list(b.columns[:-1])
             columns[at] = pa.array(kept, pa.string())
             ids = b.column(b.num_columns - 1).type.field("first_docs").type

@@ -142,3 +142,29 @@ def test_a_small_collection_has_small_filters_and_few_jobs(docs, monkeypatch):
     assert used and max(used) <= 20
     assert P.extent(rows.select("text"))[1] == 1
     assert P.extent(docs([(1, None)]).select("text")) == (15, 1)
+
+
+def test_units_of_several_documents_by_one_shuffle(spark):
+    """Equal units of one document alone go, of several all stay with the first document, ties by key and nulls first."""
+    rows = [(1, 10, 0, 7, 7), (1, 10, 4, 7, 7), (2, 20, 0, 7, 7), (3, 30, 0, 8, 8), (3, 30, 9, 8, 8), (4, 40, 0, 7, 8),
+            (None, 50, 1, 9, 9), (5, 51, 2, 9, 9), (6, 60, 0, 5, 5), (6, 61, 0, 5, 5)]
+    units = spark.createDataFrame(rows, "doc_id long, key long, start int, hash long, more long")
+    found = P._of_several(units)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.hash, r.key, r.start, r.least.key) for r in found.collect())
+    assert got == [(5, 60, 0, 60), (5, 61, 0, 60), (7, 10, 0, 10), (7, 10, 4, 10), (7, 20, 0, 10), (9, 50, 1, 50), (9, 51, 2, 50)]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_packed_spans_become_maximal_runs():
+    r = random.Random(5)
+    for _ in range(50):
+        spans = [(a, a + r.randrange(1, 30)) for a in (r.randrange(300) for _ in range(r.randrange(1, 40)))]
+        gone = sorted(set().union(*(range(*s) for s in spans)))
+        runs = [[a, a + 1] for a in gone[:1]]
+        for a in gone[1:]:
+            if a == runs[-1][1]:
+                runs[-1][1] += 1
+            else:
+                runs.append([a, a + 1])
+        assert P._merged(np.array([a << 32 | b for a, b in spans])) == runs
