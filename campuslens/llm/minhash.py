@@ -222,9 +222,14 @@ def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFr
     at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
     at = scratch.saved(at.join(mixed, "bucket"), "mixed")
+    if at.isEmpty():  # no bucket holds nodes of two components
+        return roots
     across = scratch.saved(_across(at, nodes, sets, threshold, scratch), "across")
     forget(at.sparkSession)
-    return components(links.union(across), scratch)
+    if across.isEmpty():
+        return roots
+    # every node of a component is linked to its root already, which takes fewer rounds than its own links
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across), scratch)
 
 
 def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:

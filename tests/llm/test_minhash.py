@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from campuslens.llm import minhash as M
+from campuslens.llm.common import Scratch
 
 from .conftest import words
 
@@ -84,3 +85,15 @@ def test_large_equal_group_has_one_class(docs):
     df = docs([(0, words(3, 60))]).select("text").crossJoin(docs([(0, "")]).sparkSession.range(2000).select(F.col("id").alias("doc_id")))
     got = M.near_duplicates(df).agg(F.count_distinct("class_id"), F.min("class_size")).first()
     assert tuple(got) == (1, 2000)
+
+
+def test_components_are_sought_once_where_no_bucket_holds_two(spark, monkeypatch):
+    calls, real = [], M.components
+    monkeypatch.setattr(M, "components", lambda links, scratch: calls.append(1) or real(links, scratch))
+    a, b, c = (bytes([i]) * 16 for i in (1, 2, 3))
+    shared = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c)], "bucket long, node binary")
+    links = spark.createDataFrame([(a, b), (b, c)], "a binary, b binary")
+    nodes, sets = (spark.createDataFrame([], f"node binary, {x} binary") for x in ("sketch", "packed"))
+    found = M.complete(shared, links, nodes, sets, 0.8, Scratch(spark, "test"))
+    assert sorted((bytes(r.node), bytes(r.root)) for r in found.collect()) == [(a, a), (b, a), (c, a)]
+    assert len(calls) == 1
