@@ -36,7 +36,7 @@ columns other than the id and the text are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ BANDS, ROWS = 24, 5  #: a pair of similarity 0.8 shares a bucket with probabilit
 PART = 1000
 SIGMAS = 3.5  #: a pair is left out if its share of equal registers is so many standard deviations too low
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+LIGHT_BLOCK = 1024  #: nodes compared together without their sets
+MARK = 256  #: bits of the mark of a set
 
 
 def prob_minhash(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, registers: int) -> np.ndarray:
@@ -114,6 +116,25 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
 
 
+def marks(sets: list[np.ndarray]) -> list[bytes]:
+    """The size of each set of hashes (4 bytes) and, for each of ``MARK`` classes of hashes, a bit that says whether it has an
+    odd number of them."""
+    if not sets:
+        return []
+    size = np.array([len(x) for x in sets])
+    cell = np.repeat(np.arange(len(sets)) * MARK, size) + (mix(np.concatenate(sets) ^ np.uint64(17)) % np.uint64(MARK)).astype(np.int64)
+    bits = np.packbits(np.bincount(cell, minlength=len(sets) * MARK).reshape(len(sets), MARK) & 1, axis=1)
+    return [n.tobytes() + x.tobytes() for n, x in zip(size.astype("<u4"), bits, strict=True)]
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of marks (rows of bytes) may be of sets with a Jaccard of ``threshold`` or more.  An element that only one set of a pair has
+    changes one bit, so as many elements differ as bits do, or as the sizes do, at least; no other pair is that similar."""
+    n, m = (np.ascontiguousarray(z[:, :4]).view("<u4").ravel().astype(np.int64) for z in (x, y))
+    differ = np.maximum(np.bitwise_count(x[:, 4:] ^ y[:, 4:]).sum(axis=1, dtype=np.int64), np.abs(n - m))
+    return differ <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
 def _node(packed: bytes) -> bytes:
     return hashlib.blake2b(packed, digest_size=16).digest()
 
@@ -213,18 +234,19 @@ def _in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float,
-             scratch: Scratch) -> DataFrame:
+             scratch: Scratch, packed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The components (``node``, ``root``) of ``links`` and of all links between nodes that share a bucket.
 
     ``shared``: ``bucket``, ``node``; ``nodes``: ``node``, ``sketch`` (packed 32-bit registers); ``sets``: ``node``,
-    ``packed`` (weighted set, as ``pack`` makes it)."""
+    ``packed`` (weighted set, as ``pack`` makes it; or what the function ``packed`` makes that of, in the last column) and,
+    where the sets are plain, ``mark`` (as ``marks`` makes it) or not."""
     roots = components(links, scratch)
     at = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "x")
     at = scratch.saved(at.join(mixed, "bucket"), "mixed")
     if at.isEmpty():  # no bucket holds nodes of two components
         return roots
-    across = scratch.saved(_across(at, nodes, sets, threshold, scratch), "across")
+    across = scratch.saved(_across(at, nodes, sets, threshold, scratch, packed), "across")
     forget(at.sparkSession)
     if across.isEmpty():
         return roots
@@ -232,24 +254,54 @@ def complete(shared: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFr
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across), scratch)
 
 
-def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch,
+            packed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join different components in open buckets; ``at``: ``bucket``, ``node``, ``root`` and
     ``x``, the bucket's smallest root.
 
-    Components that meet in buckets form a group.  A group is cut into blocks of about ``BLOCK`` nodes, blocks of
-    one component where it is that large, and each pair of blocks is one record, unless both hold the same one
-    component.  Comparing a pair of blocks puts out one link at most for each two components that it joins."""
+    Components that meet in buckets form a group, of which all pairs of nodes of different components are compared
+    twice: by their sketches and marks, which says what nodes may have a link at all, then those nodes by their sets.
+    Comparing a pair of blocks by sets puts out one link at most for each two components that it joins."""
     groups = components(at.where("root <> x").select(F.col("root").alias("a"), F.col("x").alias("b")).distinct(), scratch)
     own = at.select("node", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("group")), "root")
-    own = own.join(sets, "node").join(nodes.select("node", "sketch"), "node")
-    own = scratch.saved(own.select("group", "root", "node", "sketch", "packed", F.octet_length("packed").alias("size")), "open")
-    many = own.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn(
-        "one", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(bytearray())))
+    own = own.join(nodes.select("node", "sketch"), "node")
+    own = own.join(sets.select("node", "mark"), "node") if "mark" in sets.columns else own.withColumn("mark", F.lit(None).cast("binary"))
+    own = scratch.saved(own.select("group", "root", "node", "sketch", "mark"), "open")
+    forget(at.sparkSession)
+
+    def hopeful(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream, 1):
+            if len(found := _hopeful(*(b.column(i)[0].values for i in (0, 1)), threshold)):
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["node"])
+
+    some = scratch.saved(_block_pairs(own, ["node", "root", "sketch", "mark"], LIGHT_BLOCK, scratch).mapInArrow(
+        hopeful, "node binary").distinct(), "hopeful")
+    forget(at.sparkSession)
+    own = own.join(some, "node").join(sets.select("node", sets.columns[-1]), "node").select("group", "root", "node", "sketch", sets.columns[-1])
+    own = packed(own) if packed else own
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream, 1):
+            found = _joining(*(b.column(i)[0].as_py() for i in (0, 1)), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
+                                                  pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+    return _block_pairs(own, ["node", "root", "sketch", "packed"], BLOCK, scratch).mapInArrow(run, "a binary, b binary")
+
+
+def _block_pairs(own: DataFrame, columns: list[str], block: int, scratch: Scratch) -> DataFrame:
+    """A group is cut into blocks of about ``block`` nodes, blocks of one component where it is that large, and each pair
+    of blocks is one record of ``rows_x`` and ``rows_y``, unless both hold the same one component."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    many = own.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).withColumn(
+        "one", F.when(F.col("n") >= block, F.col("root")).otherwise(F.lit(bytearray())))
     parts = many.groupBy("group", "one").agg(F.ceil(F.greatest(
-        F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
+        F.sum("n") / block, F.sum("bytes") / BLOCK_BYTES)).alias("parts"))
     dealt = own.join(many.select("group", "root", "one"), ["group", "root"]).join(parts, ["group", "one"])
     blocks = scratch.saved(dealt.groupBy("group", "one", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).agg(
-        F.collect_list(F.struct("node", "root", "sketch", "packed")).alias("rows")), "blocks")  # about BLOCK rows
+        F.collect_list(F.struct(*columns)).alias("rows")), "blocks")  # about ``block`` rows
+    forget(own.sparkSession)
     key = blocks.select("group", "one", "part")
     x, y = (key.withColumnsRenamed({"one": f"one_{i}", "part": f"part_{i}"}) for i in "xy")
     before = (F.struct("one_x", "part_x") < F.struct("one_y", "part_y")) & ((F.octet_length("one_x") == 0) | (F.col("one_x") != F.col("one_y")))
@@ -258,15 +310,29 @@ def _across(at: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float,
     for i in "xy":
         pairs = pairs.join(blocks.withColumnsRenamed({"one": f"one_{i}", "part": f"part_{i}", "rows": f"rows_{i}"}),
                            ["group", f"one_{i}", f"part_{i}"])
+    return pairs.select("rows_x", "rows_y")
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(stream, 1):
-            found = _joining(*(b.column(i)[0].as_py() for i in (0, 1)), threshold)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
-                                                  pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
-    return pairs.select("rows_x", "rows_y").mapInArrow(run, "a binary, b binary")
+def _alike(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The number of equal registers of each sketch of ``s`` and each of ``t``."""
+    alike = np.zeros((len(s), len(t)), np.int16)
+    for i in range(s.shape[1]):
+        alike += s[:, i, None] == t[:, i]
+    return alike
+
+
+def _hopeful(xs: pa.StructArray, ys: pa.StructArray, threshold: float) -> list[bytes]:
+    """Nodes of both blocks that may have a link to a node of another component in the other, by sketches and marks."""
+    xs, ys = ({c: z.field(c).to_pylist() for c in ("node", "root", "sketch", "mark")} for z in (xs, ys))
+    s, t = (np.frombuffer(b"".join(z["sketch"]), "<u4").reshape(len(z["sketch"]), -1) for z in (xs, ys))
+    number = {r: i for i, r in enumerate({*xs["root"], *ys["root"]})}
+    x, y = (np.array([number[r] for r in z["root"]]) for z in (xs, ys))
+    i, j = np.nonzero((_alike(s, t) >= least_alike(threshold, s.shape[1]) * s.shape[1]) & (x[:, None] != y))
+    if len(i) and xs["mark"][0] is not None:
+        a, b = (np.frombuffer(b"".join(z["mark"]), np.uint8).reshape(len(z["mark"]), -1) for z in (xs, ys))
+        keep = [may_be_similar(a[i[k:k + (1 << 16)]], b[j[k:k + (1 << 16)]], threshold) for k in range(0, len(i), 1 << 16)]
+        i, j = (z[np.concatenate(keep)] for z in (i, j))
+    return [*{xs["node"][k] for k in np.unique(i)} | {ys["node"][k] for k in np.unique(j)}]
 
 
 def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
@@ -279,9 +345,7 @@ def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[byt
         return r
 
     s, t = (np.frombuffer(b"".join(r["sketch"] for r in rows), "<u4").reshape(len(rows), -1) for rows in (xs, ys))
-    alike = np.zeros((len(xs), len(ys)), np.int16)
-    for i in range(s.shape[1]):
-        alike += s[:, i, None] == t[:, i]
+    alike = _alike(s, t)
     sets = [[unpack(r["packed"]) for r in rows] for rows in (xs, ys)]
     i, j = np.nonzero(alike >= least_alike(threshold, s.shape[1]) * s.shape[1])
     out = []

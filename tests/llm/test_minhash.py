@@ -97,3 +97,48 @@ def test_components_are_sought_once_where_no_bucket_holds_two(spark, monkeypatch
     found = M.complete(shared, links, nodes, sets, 0.8, Scratch(spark, "test"))
     assert sorted((bytes(r.node), bytes(r.root)) for r in found.collect()) == [(a, a), (b, a), (c, a)]
     assert len(calls) == 1
+
+
+def test_marks_rule_out_no_similar_pair():
+    r = np.random.default_rng(3)
+    near, far = [], []
+    for trial in range(400):
+        size = int(r.integers(16, 900))
+        x = r.integers(1, 1 << 63, size, np.uint64)
+        y = x.copy()
+        changed = r.choice(size, int(r.integers(0, 1 + size // 9 + 3)), replace=False)
+        y[changed] = r.integers(1, 1 << 63, len(changed), np.uint64)
+        y = np.unique(y[int(r.integers(0, 1 + size // 10)):])
+        x = np.unique(x)
+        common = len(np.intersect1d(x, y))
+        if common >= 0.8 * (len(x) + len(y) - common):
+            near.append((x, y))
+        if size < 300:
+            far.append((x, r.integers(1, 1 << 63, size, np.uint64)))
+    both = [np.frombuffer(b"".join(M.marks([p[i] for p in near + far])), np.uint8).reshape(len(near) + len(far), -1) for i in (0, 1)]
+    kept = M.may_be_similar(*both, 0.8)
+    assert len(near) > 50 and kept[:len(near)].all() and not kept[len(near):].any()
+
+
+def test_sets_are_only_sent_for_nodes_that_may_have_a_link(spark, monkeypatch):
+    """Of a bucket of 30 components with equal sketches, the marks leave the two that are alike."""
+    r = np.random.default_rng(9)
+    sets = [np.sort(r.integers(1, 1 << 63, 60, np.uint64)) for _ in range(29)]
+    sets.append(np.sort(np.append(sets[4][:-2], r.integers(1, 1 << 63, 2, np.uint64))))
+    nodes = [bytes([i + 1]) * 16 for i in range(30)]
+    frame = spark.createDataFrame([(n, bytearray(48), bytearray(m), bytearray(M.pack(x, np.ones(len(x))))) for n, m, x in
+                                   zip(nodes, M.marks(sets), sets, strict=True)], "node binary, sketch binary, mark binary, packed binary")
+    shared, links = frame.selectExpr("1L AS bucket", "node"), spark.createDataFrame([], "a binary, b binary")
+    stored, sent = Scratch.saved, []
+
+    def saved(self, df, name):
+        out = stored(self, df, name)
+        if name == "blocks" and "packed" in out.schema.simpleString():
+            sent.extend(x.node for row in out.collect() for x in row.rows)
+        return out
+    monkeypatch.setattr(Scratch, "saved", saved)
+    for columns in (["node", "mark", "packed"], ["node", "packed"]):
+        sent.clear()
+        roots = M.complete(shared, links, frame.select("node", "sketch"), frame.select(*columns), 0.8, Scratch(spark, "test"))
+        assert {(bytes(x.node), bytes(x.root)) for x in roots.collect()} == {(nodes[4], nodes[4]), (nodes[29], nodes[4])}
+        assert len(sent) == (2 if "mark" in columns else 30)
