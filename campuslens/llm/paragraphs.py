@@ -38,16 +38,17 @@ names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import Scratch, batches, cut, forget, has_bit, repeated_bits, saved
-from .minhash import complete, pack, unpack
+from .minhash import complete, marks, may_be_similar, pack
 from .shingles import mix, portions, shingle_hashes, text_bytes, weighted, word_hashes
 
 MIN_WORDS = 20
@@ -60,6 +61,7 @@ PART = 1000
 PORTION = 1 << 19  #: bytes of text looked at together
 SLICES = 2  #: of the hashes of units, looked at one after the other
 SLICE_BYTES = 16 << 20  #: a smaller collection has a slice for each of these
+GRAM_BYTES = 64  #: of text for each gram that is looked at together: what is shuffled at a time follows the text, however much of it is shared
 FILTER_BITS = 27  #: of the filters that keep units without a partner from being shuffled (16 MB), at most
 _ODD = 0xD6E8FEB86659FD93
 
@@ -243,9 +245,28 @@ def _passage_hashes(source: DataFrame, min_words: int) -> DataFrame:
     return source.select("text").mapInArrow(run, "hash long")
 
 
+def _with_seeds(source: DataFrame, common: DataFrame, filter_bits: int) -> DataFrame:
+    """``doc_id``, ``key``, ``text`` and ``seeds`` (their first bytes) of the documents with seeds that others have, but for
+    later copies of a whole text, which need no grams; and a guess at their ``grams``."""
+    copies = common.where((F.col("unit") == TEXT) & _later()).select("key").distinct()
+    seeds = common.where(F.col("unit") == SEED).join(copies, "key", "left_anti").groupBy("key").agg(F.collect_set("start").alias("seeds"))
+    # a document has a hundred times the text of a unit or more; texts without seeds are not shuffled
+    filter_bits = max(15, filter_bits - 4)
+    shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(
+        repeated_bits(common.where(F.col("unit") == SEED).select(F.col("key").alias("hash")), filter_bits), np.uint8))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            yield b.filter(pa.array(has_bit(shared.value, b.column(1).to_numpy(), filter_bits)))
+
+    some = source.mapInArrow(run, source.schema)
+    return some.join(seeds, "key").select("doc_id", "key", "text", "seeds", F.least(
+        F.size("seeds") * (WINDOW + 9), F.floor(F.octet_length("text") / 6).cast("int")).alias("grams"))
+
+
 def gram_units(source: DataFrame, min_words: int) -> DataFrame:
     """``doc_id``, ``key``, ``start``, ``end``, ``hash`` and ``more`` of the grams around the seeds of every
-    row of ``source``, which start at the bytes ``seeds``."""
+    row of ``source``, which start at the bytes ``seeds``; those of a ``part`` of the ``parts`` of all hashes."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 2, PORTION):
             data, ends = text_bytes(b.column(2))
@@ -259,6 +280,9 @@ def gram_units(source: DataFrame, min_words: int) -> DataFrame:
             np.add.at(step, np.maximum(at - WINDOW + 1, gram_bounds[row]), 1)
             np.add.at(step, np.minimum(at + WINDOW, gram_bounds[row + 1]), -1)
             near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+            part, parts = (np.uint64(b.column(i)[0].as_py()) for i in (4, 5))
+            if parts > 1:
+                near = near[_run_hashes(words, gram[near], gram[near] + min_words, (1,))[0].view(np.uint64) % parts == part]
             s, row = gram[near], np.searchsorted(gram_bounds, near, "right") - 1
             for x in range(0, len(s), 1 << 16):
                 f, r = s[x:x + (1 << 16)], row[x:x + (1 << 16)]
@@ -284,38 +308,96 @@ def _later() -> Column:
     return ~F.struct("doc_id", "key").eqNullSafe(F.struct("least.doc_id", "least.key"))
 
 
+def _text_bytes(source: DataFrame) -> int:
+    return source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def extent(source: DataFrame) -> tuple[int, int]:
     """Bits of the filters (a bit for every 4 bytes of text or less) and number of slices: a small collection does with less of the
     driver's memory and fewer jobs."""
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _extent(_text_bytes(source))
+
+
+def _extent(total: int) -> tuple[int, int]:
     return min(FILTER_BITS, max(15, total.bit_length() - 2)), min(SLICES, 1 + total // SLICE_BYTES)
 
 
-def _shared(units: DataFrame, scratch: Scratch, name: str, slices: int, later: bool = False) -> DataFrame:
-    """The units (without their hashes) that several documents have, with the ``least`` document of each; those of the
-    ``later`` documents only, if so wanted.  The shuffles of one slice of the hashes are gone before those of the next."""
+def _shared(units: DataFrame, scratch: Scratch, name: str, slices: int) -> list[DataFrame]:
+    """The units (without their hashes) that several documents have, with the ``least`` document of each, a table for each
+    slice of the hashes.  The shuffles of one slice are gone before those of the next."""
     found = []
     for i in range(slices):
-        some = _of_several(units.where(F.pmod("hash", F.lit(slices)) == i)).drop("hash", "more")
-        found.append(scratch.saved(some.where(_later()) if later else some, name))
+        found.append(scratch.saved(_of_several(units.where(F.pmod("hash", F.lit(slices)) == i)).drop("hash", "more"), name))
         forget(units.sparkSession)
-    return reduce(DataFrame.union, found)
+    return found
+
+
+def _cut_runs(units: DataFrame) -> DataFrame:
+    """``doc_id``, ``key``, ``start``, ``end`` and ``first_doc`` of the runs that touching units of later documents make up,
+    where these have the same ``least`` document: a few rows where a row for each unit would take more than the text."""
+    rows = units.where(_later()).select("doc_id", "key", "start", "end", F.col("least.doc_id").alias("first_doc"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "first_doc", "start", "end")
+
+    def differ(column: pa.Array) -> np.ndarray:
+        x, y = column.slice(1), column.slice(0, len(column) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+        return ~same.to_numpy(zero_copy_only=False)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            if not b.num_rows:
+                continue
+            group = np.append(0, np.cumsum(reduce(np.logical_or, [differ(b.column(i)) for i in (0, 1, 4)]))).astype(np.int64) << 32
+            start, end = (group + b.column(i).to_numpy() for i in (2, 3))
+            end = np.maximum.accumulate(end)  # of the group, as the next is larger
+            first = np.flatnonzero(np.append(True, (start[1:] > end[:-1]) | (group[1:] != group[:-1])))
+            last = np.append(first[1:], len(start)) - 1
+            at = pa.array(first)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(end[last] & 0xFFFFFFFF, pa.int32()),
+                 b.column(4).take(at)], ["doc_id", "key", "start", "end", "first_doc"])
 
+    return rows.mapInArrow(run, rows.schema)
 
-def _node_sets(source: DataFrame, n: int, min_words: int, wanted: bytes, filter_bits: int) -> DataFrame:
-    """``node`` and ``packed`` set of the paragraphs whose node has its bit in ``wanted``."""
+
+def _node_texts(source: DataFrame, n: int, min_words: int, wanted: bytes, filter_bits: int) -> DataFrame:
+    """``node``, ``mark`` and ``text`` of the paragraphs whose node has its bit in ``wanted``: the set is made of the text again
+    where it is looked at, as it takes more than twice the room."""
     shared = source.sparkSession.sparkContext.broadcast(np.frombuffer(wanted, np.uint8))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(stream, 0, PORTION):
-            u = Units(*text_bytes(b.column(0)), min_words)
+            data, ends = text_bytes(b.column(0))
+            u = Units(data, ends, min_words)
             if len(u.line_row):
                 h, bounds, nodes = u.sets(n)
                 some = has_bit(shared.value, np.frombuffer(b"".join(nodes), ">u8")[::2].astype(np.uint64), filter_bits)
-                own = {nodes[i]: pack(h[bounds[i]:bounds[i + 1]], np.ones(bounds[i + 1] - bounds[i])) for i in np.flatnonzero(some)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["node", "packed"])
+                at = list({nodes[i]: i for i in np.flatnonzero(some)}.values())
+                start, end = (ends[u.line_row[at]] + x[at] for x in (u.line_start, u.line_end))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([nodes[i] for i in at], pa.binary()), pa.array(marks([h[bounds[i]:bounds[i + 1]] for i in at]), pa.binary()),
+                     pa.array([data[x:y].tobytes() for x, y in zip(start, end, strict=True)], pa.binary())], ["node", "mark", "text"])
 
-    return source.select("text").mapInArrow(run, "node binary, packed binary")
+    return source.select("text").mapInArrow(run, "node binary, mark binary, text binary")
+
+
+def _line_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The shingles of each paragraph, as ``Units.sets`` makes them."""
+    words, _, bounds = word_hashes(*text_bytes(texts))
+    h, _, bounds = weighted(*shingle_hashes(words, bounds, n), len(texts))
+    return [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _packed(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the ``packed`` set of the paragraph in place of the last column, its text."""
+    schema = StructType([*rows.schema.fields[:-1], StructField("packed", BinaryType())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(stream, len(schema) - 1, PORTION):
+            sets = [pack(x, np.ones(len(x))) for x in _line_sets(b.column(len(schema) - 1), n)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -332,16 +414,25 @@ def _bands(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     return nodes.mapInArrow(run, "bucket long, node binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard is ``threshold`` or more."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "packed": "s"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "packed": "t"}), "b").select("a", "b", "s", "t")
+def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The pairs whose exact Jaccard is ``threshold`` or more.  Texts are only sent for pairs whose marks allow that."""
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        own = texts.select("node", column)
+        return pairs.join(own.withColumnsRenamed({"node": "a", column: "s"}), "a").join(
+            own.withColumnsRenamed({"node": "b", column: "t"}), "b").select("a", "b", "s", "t")
+
+    def hopeful(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream, 8192):
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            keep = may_be_similar(x, y, threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    both = with_both(with_both(pairs, "mark").mapInArrow(hopeful, "a binary, b binary"), "text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(stream, 4096):
+        for b in portions(stream, 2, PORTION):
             keep = []
-            for s, t in zip(b.column(2), b.column(3), strict=True):
-                x, y = unpack(s.as_py())[0], unpack(t.as_py())[0]
+            for x, y in zip(_line_sets(b.column(2), n), _line_sets(b.column(3), n), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -365,36 +456,40 @@ def _clusters(units: DataFrame, source: DataFrame, threshold: float, n: int, min
     forget(source.sparkSession)
     # the first 8 bytes of a node are a hash
     bits = repeated_bits(wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("hash")), filter_bits)
-    sets = scratch.saved(_node_sets(source, n, min_words, bits, filter_bits).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-sets")
-    links = scratch.saved(_similar(pairs, sets, threshold), "paragraph-links")
+    texts = scratch.saved(_node_texts(source, n, min_words, bits, filter_bits).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "paragraph-texts")
+    links = scratch.saved(_similar(pairs, texts, threshold, n), "paragraph-links")
     forget(source.sparkSession)
-    return complete(shared.select("bucket", "node"), links, nodes, sets, threshold, scratch).withColumnRenamed("root", "cluster")
+    return complete(shared.select("bucket", "node"), links, nodes, texts, threshold, scratch, partial(_packed, n=n)).withColumnRenamed("root", "cluster")
 
 
 def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_words: int = MIN_WORDS, recall: float = RECALL,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every unit to cut out: ``doc_id``, ``key``, ``start`` and ``end`` (bytes), ``kind``, and ``first_doc``
-    (the document whose unit stays)."""
+    """Every paragraph and every run of touching passages to cut out: ``doc_id``, ``key``, ``start`` and ``end`` (bytes),
+    ``kind``, and ``first_doc`` (the document whose unit stays)."""
     source = _source(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    filter_bits, slices = extent(source)
+    total = _text_bytes(source)
+    filter_bits, slices = _extent(total)
     # passages: the counts of the hashes alone, then the units behind those that repeat
     several = scratch.saved(_passage_hashes(source, min_words).groupBy("hash").count().where("count > 1").select("hash"), "passage-hashes")
     forget(docs.sparkSession)
     wanted = repeated_bits(several, filter_bits)
     again = scratch.saved(passage_units(source, min_words, wanted, filter_bits), "passages")
-    common = _shared(again, scratch, "passages-common", slices)
+    slices_of = _shared(again, scratch, "passages-common", slices)
     scratch.emptied(several, again)
-    runs = common.where(_later())
-    # grams around common seeds; a later copy of a whole text needs none
-    copies = runs.where(F.col("unit") == TEXT).select("key").distinct()
-    seeds = common.where(F.col("unit") == SEED).join(copies, "key", "left_anti").groupBy("key").agg(
-        F.collect_set("start").alias("seeds"))
-    grams = scratch.saved(gram_units(source.join(seeds, "key").select("doc_id", "key", "text", "seeds"), min_words), "grams")
+    common = reduce(DataFrame.union, slices_of)
+    runs = [scratch.saved(_cut_runs(common), "passages-cut")]
+    # grams around common seeds: made anew for each part of their hashes, as all together may take more than the text
+    near = scratch.saved(_with_seeds(source, common, filter_bits), "gram-texts")
+    parts = 1 + (near.agg(F.sum("grams")).first()[0] or 0) // max(SLICE_BYTES // GRAM_BYTES, total // GRAM_BYTES)
+    grams = [gram_units(near.select("doc_id", "key", "text", "seeds", F.lit(i).alias("part"), F.lit(parts).alias("parts")), min_words)
+             for i in range(parts)]
+    scratch.emptied(*slices_of)
     forget(docs.sparkSession)
-    runs = runs.select("doc_id", "key", "start", "end", "least").union(
-        _shared(grams, scratch, "grams-common", slices, later=True).select("doc_id", "key", "start", "end", "least"))
-    scratch.emptied(grams)
+    for some in grams:
+        runs.append(scratch.saved(_cut_runs(_of_several(some)), "grams-cut"))
+        forget(docs.sparkSession)
+    scratch.emptied(near)
     # paragraphs
     bands, rows = tune(threshold, recall)
     units = scratch.saved(paragraph_units(source, n, min_words, bands * rows), "paragraphs")
@@ -404,8 +499,8 @@ def duplicate_spans(docs: DataFrame, threshold: float = 0.8, n: int = 5, min_wor
         "cluster", F.coalesce("cluster", "node"))
     least = F.min(F.struct("doc_id", "key")).over(Window.partitionBy("cluster"))
     lines = of.withColumn("least", least).select("doc_id", "key", "start", "end", "least", F.lit("paragraph").alias("kind"))
-    found = saved(runs.withColumn("kind", F.lit("passage")).union(lines.where(_later())).select(
-        "doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc")), "spans")
+    found = saved(reduce(DataFrame.union, runs).select("doc_id", "key", "start", "end", F.lit("passage").alias("kind"), "first_doc").union(
+        lines.where(_later()).select("doc_id", "key", "start", "end", "kind", F.col("least.doc_id").alias("first_doc"))), "spans")
     scratch.removed()
     return found
 

@@ -168,3 +168,45 @@ def test_packed_spans_become_maximal_runs():
             else:
                 runs.append([a, a + 1])
         assert P._merged(np.array([a << 32 | b for a, b in spans])) == runs
+
+
+def test_common_runs_are_stored_as_runs_and_grams_in_parts(docs, monkeypatch):
+    """A passage of 400 words is a row or a few in the stored tables, not one for each word, and the parts of the grams' hashes
+    cut out the same words as all at once, whose documents they come from included."""
+    stored, rows_of = P.Scratch.saved, {}
+
+    def saved(self, df, name):
+        out = stored(self, df, name)
+        rows_of[name] = rows_of.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(P.Scratch, "saved", saved)
+    a, b = words(31, 400, 10 ** 6), words(32, 400, 10 ** 6)
+    own = {i: (words(40 + i, 60, 10 ** 6), words(50 + i, 60, 10 ** 6)) for i in range(4)}
+    rows = docs([(0, f"{own[0][0]} {a} {own[0][1]}"), (1, f"{own[1][0]} {b} {own[1][1]}"),
+                 (2, f"{own[2][0]} {a} {b} {own[2][1]}"), (3, f"{own[3][0]} {b} {own[3][1]}")])
+
+    def cut():
+        rows_of.clear()
+        found = {r.doc_id: (r.text.split(), r.removed) for r in P.without_duplicates(rows).collect()}
+        return found
+    got = cut()
+    assert sum(n for name, n in rows_of.items() if name.startswith(("grams", "passages-cut"))) < 300
+    assert got[0][1].bytes == got[1][1].bytes == 0
+    # the words over the edge of ``a`` and ``b`` are in no other document in a row, but each is in a passage
+    for i, first in ((2, [0, 1]), (3, [1])):
+        assert got[i][0] == " ".join(own[i]).split() and got[i][1].first_docs == first and got[i][1].spans == 1
+    monkeypatch.setattr(P, "GRAM_BYTES", 1 << 20, raising=False)
+    monkeypatch.setattr(P, "SLICE_BYTES", 500 << 20)
+    seen = []
+    real = P.gram_units
+    monkeypatch.setattr(P, "gram_units", lambda source, min_words: seen.append(1) or real(source, min_words))
+    assert cut() == got and len(seen) > 1
+
+
+def test_runs_of_units_by_document_and_first_document(spark):
+    rows = [(2, 20, s, s + 9, 1, 10) for s in range(0, 90, 3)] + [(2, 20, 200, 209, 1, 10), (2, 20, 209, 220, 1, 10), (2, 20, 50, 60, None, 5),
+            (None, 7, 1, 4, 3, 30), (None, 7, 3, 9, 3, 30), (3, 20, 3, 5, 1, 10), (1, 10, 0, 9, 1, 10)]
+    units = spark.createDataFrame(rows, "doc_id long, key long, start int, end int, l long, k long").selectExpr(
+        "doc_id", "key", "start", "end", "struct(l AS doc_id, k AS key) AS least")
+    got = sorted(map(tuple, P._cut_runs(units).collect()), key=str)
+    assert got == sorted([(2, 20, 0, 96, 1), (2, 20, 200, 220, 1), (2, 20, 50, 60, None), (None, 7, 1, 9, 3), (3, 20, 3, 5, 1)], key=str)
